@@ -170,8 +170,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             at: list[int] = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.ids(text or "") + end
+            for k, ids in enumerate(encoder.many([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), step)):
                     part = ids[start : start + step]
                     at.append(k)

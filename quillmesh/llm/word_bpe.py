@@ -9,10 +9,10 @@ any other character, or with a special token's string, goes through the tokenize
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 FAST_BELOW = 0x180
@@ -38,30 +38,56 @@ SLOW = re.compile(f"[^\\x00-\\u{FAST_BELOW - 1:04x}]|İ|[\\x1c-\\x1f]|<\\|")
 
 
 class WordIds:
-    """text -> its ids as little-endian unsigned 32-bit bytes. The cache is cleared at `limit` words."""
+    """texts -> their ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    Words are looked up in a dictionary of at most `limit` of them; once it is full, what it lacks
+    is encoded for the texts at hand and let go. Words that lack ids are encoded together as one
+    text with single spaces, and told apart by the end-of-word mark of their last piece.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000, chunk_chars: int = 2_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.chunk_chars = limit, chunk_chars
         self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return [self._whole(w) for w in words]
+        joined = ids.tobytes()
+        return [joined[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        cut = [None if SLOW.search(t) else WORDS.findall(t.lower()) for t in texts]
+        cache = self.cache
+        missing = list(set().union(*(c for c in cut if c)) - cache.keys())
+        if missing:
+            cache.update(zip(missing, self._words(missing), strict=True))
+        out = [self._whole(t) if c is None else b"".join([cache[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+        if len(cache) > self.limit:
+            for w in missing:
+                del cache[w]
+        return out
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        first = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= self.chunk_chars:
+                out += self._chunk(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out + self._chunk(texts[first:])
 
     def ids(self, text: str) -> bytes:
-        if SLOW.search(text):
-            return self._whole([text])[0]
-        words = WORDS.findall(text.lower())
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            own = set(words)
-            if len(cache) + len(own) > self.limit:
-                cache.clear()
-            missing = [w for w in own if w not in cache]
-            cache.update(zip(missing, self._whole(missing), strict=True))
-            return b"".join([cache[w] for w in words])
+        return self._chunk([text])[0]
 
 
 @lru_cache(maxsize=2)

@@ -21,9 +21,10 @@ def test_word_ids_equal_the_tokenizer():
     alphabet = [chr(c) for c in range(0x250)] + list("aaabbc''stremvld    \n\t09..,,") * 12 + ["́", "中", "\U0001f600", "<|", "|>", " ", "ﬁ"]
     texts = ["", " ", "it's 'sa ''ll I'D 12½ x²", "<|endoftext|> a", "İstanbul ſß Σας"]
     texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
-    own = WordIds(packing.vocabulary_path(), limit=500)
-    for text, ids in zip(texts, whole_ids(texts), strict=True):
-        assert own.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
+    own = WordIds(packing.vocabulary_path(), limit=500, chunk_chars=900)
+    for text, got, ids in zip(texts, own.many(texts), whole_ids(texts), strict=True):
+        assert got == own.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
+    assert len(own.cache) <= 500
 
 
 def check_patterns(histogram, capacity=2048):
