@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import mixing, packing, quality_rules
+from quillmesh.llm import mixing, packing, quality_rules, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
