@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import mixing, packing, quality_rules, toxicity
+from quillmesh.llm import mixing, near_dup, packing, quality_rules, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": near_dup.op1_ngram_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
