@@ -31,8 +31,15 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
     return builder.getOrCreate()
 
 
+#: Rows of text may be long: unless the session says otherwise, Arrow batches hold this many.
+BATCH_ROWS = 1000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the same place as the driver does."""
+    """Let Python workers import this package from the same place as the driver does; bound their batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(key, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
