@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import mixing, near_dup, packing, quality_rules, toxicity
+from quillmesh.llm import mixing, near_dup, packing, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op1_ngram_jaccard_join": near_dup.op1_ngram_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op4_source_mix": mixing.op4_source_mix,
