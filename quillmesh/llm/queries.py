@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import mixing, near_dup, packing, quality_rules, suffix_dedup, toxicity
+from quillmesh.llm import embedding_dedup, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op1_ngram_jaccard_join": near_dup.op1_ngram_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
