@@ -52,7 +52,7 @@ P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes:
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
