@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from quillmesh.runtime import table
 
 BITS = 22
-MOST_ROWS = 20_000
+MOST_ROWS = 10_000
 EPOCHS = 3
+#: A feature is learned once so many sampled texts have it.
+INCLUDED = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.7
 BIAS = 1 << BITS
@@ -41,18 +43,18 @@ FOLDS, HELD_OUT = 3, 1
 class WordHashes:
     """word -> hashes of the word and of its first four and five characters; kept for `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[str, int] = {}
         self.limit = limit
         self.table = np.zeros((1 << 12, 3), np.uint64)
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
-        missing = set(words) - known.keys()
+        missing = [w for w in set(words) if w not in known]
         if missing:
             if len(known) + len(missing) > self.limit:
                 known.clear()
-                missing = set(words)
+                missing = list(set(words))
             first = len(known)
             while len(self.table) < first + len(missing):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -87,13 +89,22 @@ def feature_ids(text: str | None) -> np.ndarray:
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over examples in the given order: (indices, weights), the bias at index BIAS."""
-    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
-
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     examples = [np.append(np.unique(feature_ids(t)), BIAS).astype(np.int32) for t in texts]
+    seen = np.zeros(BIAS + 1, np.int32)
+    for i in examples:
+        seen[i] += 1
+    seen[BIAS] = INCLUDED
+    # The included features are numbered by how common they are, so that the busy state stays in cache.
+    order = np.flatnonzero(seen >= INCLUDED)
+    order = order[np.argsort(-seen[order], kind="stable")]
+    number = np.full(BIAS + 1, -1, np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    examples = [k[k >= 0] for k in (number[i] for i in examples)]
+    z, n = np.zeros(len(order)), np.zeros(len(order))
     for _ in range(epochs):
         for i, y in zip(examples, labels, strict=True):
             w = weights(i)
@@ -103,7 +114,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> tup
             z[i] += gradient - rate * w
             n[i] += square
     found = np.nonzero(np.abs(z) > L1)[0]
-    return found, weights(found)
+    return order[found], weights(found)
 
 
 def held_out(id_col: str = "doc_id"):
