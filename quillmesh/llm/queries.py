@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import embedding_dedup, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from quillmesh.llm import chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op5_html_text": html_text.op5_html_text,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
