@@ -16,3 +16,14 @@ def query(name: str, sql: str | None = None):
         return function
 
     return put
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"quillmesh.{name}")
+
+
+MODULES = ("operators.filters",)
