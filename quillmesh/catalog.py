@@ -26,4 +26,4 @@ def load() -> None:
         import_module(f"quillmesh.{name}")
 
 
-MODULES = ("operators.filters", "operators.aggregates")
+MODULES = ("operators.filters", "operators.aggregates", "operators.joins")
