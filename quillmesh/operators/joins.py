@@ -23,6 +23,14 @@ def token_jaccard(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return rows.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def substrings(text: Column, least: int, most: int) -> Column:
+    """The distinct substrings of a short text, of `least` to `most` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    lengths = F.array(*[F.lit(k) for k in range(least, most + 1)])
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.length(text)), lambda n: F.substring(text, i, n))))
+    return F.array_distinct(parts)
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str) -> DataFrame:
     """Each left row with the right row of its key that is latest at or before it; the earliest where none is.
 
@@ -57,9 +65,9 @@ def j1(spark, d):
 def j2(spark, d):
     # Distinct names and types are a small dimension; AQE decides on broadcasting it.
     e = table(spark, d, "part").select(F.col("p_name").alias("node"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("entity"), F.col("p_type").alias("type")).distinct()
-    by_word = e.select(F.col("node").alias("other"), F.col("type").alias("other_type"), F.explode(F.split("node", " ")).alias("word"))
-    # An entity is one word, so containment is an equi-join on words plus one on types.
-    inside = e.join(by_word, e.entity == by_word.word).select(F.col("node").alias("chunk"), F.col("other").alias("node"), (F.lit(0.9) + F.when(F.col("type") == F.col("other_type"), 0.05).otherwise(0.0)).alias("c"))
+    parts = e.select(F.col("node").alias("other"), F.col("type").alias("other_type"), F.explode(substrings(F.col("node"), 2, 12)).alias("part"))
+    # Names are short, so containment is an equi-join on their substrings, plus one on types.
+    inside = e.join(parts, e.entity == parts.part).select(F.col("node").alias("chunk"), F.col("other").alias("node"), (F.lit(0.9) + F.when(F.col("type") == F.col("other_type"), 0.05).otherwise(0.0)).alias("c"))
     typed = e.join(e.select(F.col("node").alias("other"), F.col("type")), "type").select(F.col("node").alias("chunk"), F.col("other").alias("node"), F.lit(0.65).alias("c"))
     return inside.unionByName(typed).where("chunk != node").groupBy("chunk", "node").agg(F.round(F.max("c"), 4).alias("confidence"))
 
