@@ -26,4 +26,4 @@ def load() -> None:
         import_module(f"quillmesh.{name}")
 
 
-MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.ranking", "functions.text")
+MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.ranking", "functions.text", "functions.scoring")

@@ -142,7 +142,7 @@ def fn14(spark, d):
     )
 
 
-@query("fn15_enriched_metadata", "SELECT doc_id, '{"lang":"' || lang || '","size":"' || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END || '"}' AS meta, (lang = 'en')::INTEGER + (n_chars > 2000)::INTEGER AS n_signals FROM documents")
+@query("fn15_enriched_metadata", """SELECT doc_id, '{"lang":"' || lang || '","size":"' || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END || '"}' AS meta, (lang = 'en')::INTEGER + (n_chars > 2000)::INTEGER AS n_signals FROM documents""")
 def fn15(spark, d):
     size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
     return docs(spark, d).select("doc_id", F.to_json(F.struct(F.col("lang").alias("lang"), size.alias("size"))).alias("meta"), ((F.col("lang") == "en").cast("int") + (F.col("n_chars") > 2000).cast("int")).alias("n_signals"))
