@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = stage(down, "edges")
     star = nodes.where("src != dst")
     for _ in range(MOST_ROUNDS):
-        if star.join(star.select(F.col("dst").alias("src")), "src", "left_semi").isEmpty():
+        above = star.join(star.select(F.col("dst").alias("src")), "src", "left_semi").select("src")
+        split = star.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+        if above.union(split).isEmpty():  # every node below one root, no root below another
             break
         star = stage(_small_star(_large_star(star)), "stars")
     else:
