@@ -38,10 +38,10 @@ def fn25(spark, d):
     return views.geo_events(spark, d).select("id", F.round(threat, 4).alias("threat"), compass(F.col("k") * 3.6).alias("wind"))
 
 
-@query("fn26_biomass_at_risk", "SELECT l_orderkey, l_linenumber, round(l_quantity * 3.14159 * 0.25 * p_size * p_retailprice / 1000, 7) AS tonnes FROM lineitem JOIN part ON p_partkey = l_partkey")
+@query("fn26_biomass_at_risk", "SELECT l_orderkey, l_linenumber, round(l_quantity * 3.14 * 0.25 * p_size * p_retailprice / 1000, 8) AS tonnes FROM lineitem JOIN part ON p_partkey = l_partkey")
 def fn26(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 3.14159 * 0.25 * F.col("p_size") * F.col("p_retailprice") / 1000, 7).alias("tonnes"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 3.14 * 0.25 * F.col("p_size") * F.col("p_retailprice") / 1000, 8).alias("tonnes"))
 
 
 @query("fn27_permit_fee", "SELECT l_orderkey, l_linenumber, (500 + 100 + CASE WHEN l_quantity > 20 THEN 250 ELSE 0 END + l_quantity * CASE l_returnflag WHEN 'R' THEN 12 WHEN 'A' THEN 8 ELSE 5 END + CASE WHEN l_discount > 0.05 THEN 75 ELSE 0 END)::DOUBLE AS fee FROM lineitem")

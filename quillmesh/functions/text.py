@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmesh.catalog import query
 from quillmesh.operators.ranking import normalised
@@ -185,7 +186,7 @@ def fn34(spark, d):
     return docs(spark, d).select("doc_id", F.nullif(F.regexp_extract("text", r"\b(19[0-9]{2}|20[0-9]{2})\b", 1), F.lit("")).cast("int").alias("year"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unaccented(column: pd.Series) -> pd.Series:
     """FN35: NFKD without marks, in lower case; Spark has no normaliser."""
     return column.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
@@ -201,7 +202,7 @@ def fn35(spark, d):
     return w.select("w", F.regexp_replace(slug(F.col("w")), "^(the|un|re)+", "").alias("canonical"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """FN36, FN43, FN44: the Ratcliff-Obershelp ratio."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmesh.catalog import query
 from quillmesh.operators import views
@@ -55,7 +56,7 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, centres: int, probes: int
     model = KMeans(k=centres, seed=seed, maxIter=10).fit(frame)
     middle = np.array(model.clusterCenters())  # `centres` rows, a parameter
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(column: pd.Series) -> pd.Series:
         x = np.stack(column.to_numpy()).astype(np.float64)
         distance = ((middle * middle).sum(axis=1) - 2 * x @ middle.T).argsort(axis=1, kind="stable")
