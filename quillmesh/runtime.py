@@ -31,6 +31,8 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
     return builder.getOrCreate()
 
 
+#: Workers live on from stage to stage: memory that arrays leave goes back to the system.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of text may be long: unless the session says otherwise, Arrow batches hold this many.
 BATCH_ROWS = 1000
 
@@ -44,6 +46,8 @@ def ship_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
