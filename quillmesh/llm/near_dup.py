@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.blocks import in_pairs, linked_roots, runs, with_blocks
+from quillmesh.llm.worker_state import only
 from quillmesh.operators.components import components
 from quillmesh.runtime import stage, table
 
@@ -68,12 +69,9 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
-
-
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit shingle hashes of a text."""
-    h = HASHES.of((text or "").encode("utf-8", "surrogatepass").split())
+    h = only("shingles", WordHashes).of((text or "").encode("utf-8", "surrogatepass").split())
     if not len(h):
         return h
     n = max(1, len(h) - width + 1)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.worker_state import only
 from quillmesh.runtime import stage, table
 
 LENGTH = 200
@@ -52,16 +53,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Tables:
-    """Powers of the hash base, made once a worker."""
-
-    up = down = None
-
-    @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None:
-            cls.up, cls.down = _powers(BASE, 1 << 20), _powers(INVERSE, 1 << 20)
-        return cls.up, cls.down
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse."""
+    return only("powers", lambda: (_powers(BASE, 1 << 20), _powers(INVERSE, 1 << 20)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +65,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def window_hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
     """A 64-bit hash of data[i:i+length] for every i, for each length; under 2^20 bytes."""
-    up, down = _Tables.get()
+    up, down = tables()
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(data.astype(np.uint64) * up[:n] + up[:n], out=sums[1:])

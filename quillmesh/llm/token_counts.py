@@ -17,13 +17,13 @@ rows; an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.worker_state import only
 from quillmesh.runtime import table
 
 MARK = "▁"
@@ -104,10 +104,9 @@ class UnigramCounter:
             return total
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> UnigramCounter:
-    """One per Python worker and file."""
-    return UnigramCounter(vocabulary(path))
+    """One per Python worker."""
+    return only(("unigram", path), lambda: UnigramCounter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

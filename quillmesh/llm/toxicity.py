@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.worker_state import only
 from quillmesh.runtime import table
 
 BITS = 22
@@ -65,7 +66,6 @@ class WordHashes:
         return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
-HASHES = WordHashes()
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Odd multipliers that tell the places of a feature's words apart.
 PLACE = [np.uint64(int.from_bytes(xxhash.xxh64_digest(bytes([k])), "big") | 1) for k in range(6)]
@@ -74,7 +74,7 @@ SHIFT = np.uint64(64 - BITS)
 
 def feature_ids(text: str | None) -> np.ndarray:
     """The hashed indices of a text's features; an index may come more than once."""
-    rows = HASHES.of(WORDS.findall((text or "").lower()))
+    rows = only("toxicity", WordHashes).of(WORDS.findall((text or "").lower()))
     h = rows[:, 0]
     one = h * PLACE[0]
     two, three = h[1:] * PLACE[1], h[2:] * PLACE[2]

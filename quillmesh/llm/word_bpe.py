@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from quillmesh.llm.worker_state import only
+
 FAST_BELOW = 0x180
 SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 
@@ -45,7 +46,7 @@ class WordIds:
     text with single spaces, and told apart by the end-of-word mark of their last piece.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, chunk_chars: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 400_000, chunk_chars: int = 2_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.chunk_chars = limit, chunk_chars
         self.cache: dict[str, bytes] = {}
@@ -67,7 +68,7 @@ class WordIds:
     def _chunk(self, texts: list[str]) -> list[bytes]:
         cut = [None if SLOW.search(t) else WORDS.findall(t.lower()) for t in texts]
         cache = self.cache
-        missing = list(set().union(*(c for c in cut if c)) - cache.keys())
+        missing = [w for w in set().union(*(c for c in cut if c)) if w not in cache]
         if missing:
             cache.update(zip(missing, self._words(missing), strict=True))
         out = [self._whole(t) if c is None else b"".join([cache[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
@@ -90,7 +91,6 @@ class WordIds:
         return self._chunk([text])[0]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One per Python worker and file."""
-    return WordIds(path)
+    """One per Python worker."""
+    return only(("word_ids", path), lambda: WordIds(path))
