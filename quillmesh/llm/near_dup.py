@@ -281,3 +281,27 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+
+
+#: The same in DuckDB: all pairs of shingle sets that share a shingle, links closed by recursion.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+d AS (SELECT doc_id, md5(string_agg(gram, chr(1) ORDER BY gram)) AS digest, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT digest, min(doc_id) AS first, count(*) AS copies, any_value(n) AS n FROM d GROUP BY digest),
+cg AS (SELECT c.first AS c, gram FROM c JOIN g ON g.doc_id = c.first),
+pairs AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM cg x JOIN cg y ON x.gram = y.gram AND x.c <> y.c GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN c ca ON ca.first = a JOIN c cb ON cb.first = b WHERE 9 * shared >= 4 * (ca.n + cb.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+heads AS (SELECT a, least(a, min(b)) AS head FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links, sum(copies) AS linked FROM links JOIN c ON c.first = b GROUP BY a),
+k AS (SELECT digest, first, copies, coalesce(head, first) AS head, coalesce(n_links, 0) AS n_links, coalesce(linked, 0) AS linked
+      FROM c LEFT JOIN heads ON heads.a = first LEFT JOIN n ON n.a = first)
+SELECT w.doc_id, coalesce(first, w.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+       (coalesce(copies - 1, 0) + coalesce(linked, 0))::BIGINT AS n_linked_docs,
+       coalesce(head, w.doc_id) AS component_id, coalesce(head, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN k ON k.digest = d.digest
+"""

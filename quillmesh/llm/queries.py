@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": near_dup.OP1_SQL,
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
