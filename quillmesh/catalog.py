@@ -26,4 +26,4 @@ def load() -> None:
         import_module(f"quillmesh.{name}")
 
 
-MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.ranking", "functions.text", "functions.scoring", "operators.generators", "operators.graph", "sources.files", "streaming.events", "plans.registry")
+MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.ranking", "functions.text", "functions.scoring", "functions.segmentation", "operators.generators", "operators.graph", "sources.files", "streaming.events", "plans.registry")

@@ -286,3 +286,42 @@ def src38(spark, d):
 def src39(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation").where("n_nationkey < 15"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return rows.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "n_name", F.lit("unknown")).alias("title"))
+
+
+@query("src16_index_with_registry", "SELECT label, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY label")
+def src16(spark, d):
+    """An index, its registry and its mapping as three tables, read back and joined."""
+    path = landing(spark, "index")
+    vectors = table(spark, d, "embeddings")
+    vectors.select("vec_id", "embedding").write.parquet(f"{path}/vectors")
+    vectors.select("vec_id", "label").write.parquet(f"{path}/mapping")
+    vectors.groupBy("label").agg(F.count("*").alias("n")).write.parquet(f"{path}/registry")
+    first = spark.read.parquet(f"{path}/mapping").join(spark.read.parquet(f"{path}/vectors").select("vec_id"), "vec_id").groupBy("label").agg(F.min("vec_id").alias("first"))
+    return spark.read.parquet(f"{path}/registry").join(first, "label").select("label", "n", "first")
+
+
+@query("src25_layered_json_recovery", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def src25(spark, d):
+    """Direct, fenced, embedded or mended: the first reading that parses."""
+    from quillmesh.operators.generators import json_objects, repaired_json
+
+    part = F.col("event_id") % 4
+    text = (
+        F.when(part == 0, F.col("props")).when(part == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+        .when(part == 2, F.concat(F.lit("see "), F.col("props"), F.lit(" there"))).otherwise(F.regexp_replace(F.regexp_replace("props", '"', "'"), "}", ",}"))
+    )
+    direct = F.get_json_object("text", "$.k")
+    fenced = F.get_json_object(F.regexp_extract("text", r"```(?:json)?\s*([\s\S]*?)```", 1), "$.k")
+    inner = F.get_json_object(F.get(json_objects(F.col("text")), F.lit(0)), "$.k")
+    mended = F.get_json_object(repaired_json(F.col("text")), "$.k")
+    return table(spark, d, "events").select("event_id", text.alias("text")).select("event_id", F.coalesce(direct, fenced, inner, mended).cast("int").alias("k"))
+
+
+@query("src29_grouped_ingest", f"WITH {views.NODES} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def src29(spark, d):
+    """Nodes landed as CSV and taken in by label, a folder each; batching is the writer's own."""
+    path = landing(spark, "ingest")
+    views.nodes(spark, d).write.option("header", True).csv(f"{path}/csv")
+    nodes = spark.read.schema("node_id string, label string, name string").option("header", True).csv(f"{path}/csv")
+    nodes.write.partitionBy("label").parquet(f"{path}/graph")
+    return spark.read.parquet(f"{path}/graph").groupBy("label").agg(F.count("*").alias("n"))

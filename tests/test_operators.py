@@ -84,3 +84,20 @@ def test_rest_works_without_the_llm_folders():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_space_recovery_finds_the_names(spark, sf_dir):
+    from quillmesh.functions import segmentation
+
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    got = {r.p_partkey: r.recovered for r in segmentation.fn55(spark, sf_dir).collect()}
+    assert got == names
+    assert segmentation.segment("xya", {"a": 1.0}, 1) == "x y a" and segmentation.segment("", {}, 1) == ""
+
+
+def test_stand_in_embeddings_are_unit_and_fixed(spark, sf_dir):
+    from quillmesh.functions import segmentation
+
+    rows = {r.item_id: np.array(r.embedding) for r in segmentation.fn18(spark, sf_dir).collect()}
+    again = {r.item_id: np.array(r.embedding) for r in segmentation.fn18(spark, sf_dir).collect()}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-5 and (v == again[k]).all() for k, v in rows.items())
