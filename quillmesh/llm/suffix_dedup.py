@@ -1,17 +1,19 @@
 """Exact substring dedup: which bytes lie in a string of `LENGTH` bytes that starts somewhere else too.
 
-The method is that of difference-cover suffix arrays, with the cover chosen by content. A cover of
-residues names two samples of three of every text, and at 0.85 bytes a byte of input that is many
-times the disk a pass may use (README). Here the sample is a string synchronizing set: in every
-window of LENGTH bytes the least k-gram by hash, the leftmost of several. Like a difference cover
-it puts a sample at the same distance into any two windows that are equal; unlike one it keeps one
-position in about 69.
-
-1. Sort the sampled k-grams: their names are counted over the corpus, and a sample whose name comes
-   once rules out every window that it stands for.
-2. Remaining samples carry their context, the bytes of the windows that they stand for, and meet by
-   name. Contexts that are equal share one name; of the others all windows are sorted.
-3. Adjacent windows in that order are compared byte by byte over LENGTH bytes.
+Suffixes are sorted by the difference-cover algorithm (suffix_array.py), distributed by a cover of
+the same kind that content chooses: in every window of LENGTH bytes the least k-gram by hash, the
+leftmost of several. Like a difference cover it puts a sample at the same distance into any two
+windows that are equal, so equal windows meet under one sample; one position in about 69 is one.
+
+1. The sampled k-grams are named by hash and counted over the corpus; a sample whose name comes once
+   rules out every window that it stands for.
+2. Samples that are left carry their context, the bytes of the windows that they stand for, and meet
+   by name. Contexts that are equal are repeated as they stand. Of the others all suffixes are
+   sorted: triples at positions 1 and 2 modulo 3, recursion on their names, the rest merged in.
+3. Adjacent windows in that order are compared over LENGTH bytes.
+
+One suffix array of the whole corpus would move every suffix in each round, many times the disk
+that a pass may use (README); this moves a fraction of them once and gives the same bytes.
 
 Names are met by hash exchange; a name with over `GROUP` contexts isn't gathered: its windows are
 named themselves and counted with map-side aggregation.
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.suffix_array import suffix_array
 from quillmesh.llm.worker_state import only
 from quillmesh.runtime import stage, table
 
@@ -41,6 +44,8 @@ GROUP = 100_000
 #: Bytes handled at once; an index into them fits 20 bits.
 PIECE = 1 << 19
 UNIT = 4 << 20
+#: Bytes that one suffix array sorts, unless one name has more.
+SORTED = 1_500_000
 BASE = 0xB5AD4ECEDA1CE2A9
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +135,37 @@ def sampled(texts: list[bytes]):
         yield owners[piece], at + shift, name, lo + shift, hi + shift
 
 
+def shared_windows(texts: list[bytes]) -> np.ndarray:
+    """Per byte of the texts laid end to end: a window starts here that starts in another place of them too.
+
+    All suffixes are sorted, each text closed by a letter of its own; windows that are equal stand
+    side by side, so each is compared with the next one only, eight bytes at a time.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    closed = np.cumsum(lengths + 1)
+    letters = np.zeros(int(closed[-1]), np.int64)
+    inside = np.ones(len(letters), bool)
+    inside[closed - 1] = False
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    letters[inside] = data
+    letters[closed - 1] = 256 + np.arange(len(texts))
+    starts = np.zeros(len(letters), bool)
+    for begin, length in zip((closed - lengths - 1).tolist(), lengths.tolist(), strict=True):
+        starts[begin : begin + length - LENGTH + 1] = True
+    order = suffix_array(letters)
+    windows = order[starts[order]]
+    words = np.zeros(len(letters) - 7, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | letters[k : k + len(words)].astype(np.uint64) & np.uint64(255)
+    same = np.arange(len(windows) - 1)
+    for at in (*range(LENGTH - 8, -1, -8), 0):
+        same = same[words[windows[same] + at] == words[windows[same + 1] + at]]
+    found = np.zeros(len(letters), bool)
+    found[windows[same]] = True
+    found[windows[same + 1]] = True
+    return found[inside]
+
+
 def repeated_windows(contexts: list[bytes], names: np.ndarray) -> list[tuple[int, int, int]]:
     """(context, from, to): runs of window starts, within contexts, whose window comes in another place too.
 
@@ -149,27 +185,13 @@ def repeated_windows(contexts: list[bytes], names: np.ndarray) -> list[tuple[int
     ends = np.cumsum(lengths)
     begins = ends - lengths
     data = np.frombuffer(b"".join(texts), np.uint8)
-    hashes, places = [], []
-    a = 0
-    while a < len(texts):
-        z = max(a + 1, int(np.searchsorted(ends, begins[a] + PIECE, side="right")))
-        part = data[begins[a] : ends[z - 1]]
-        (h,) = window_hashes(part, LENGTH)
-        inside = np.concatenate([np.arange(b, e - LENGTH + 1) for b, e in zip(begins[a:z].tolist(), ends[a:z].tolist(), strict=True)])
-        hashes.append(h[inside - begins[a]])
-        places.append(inside)
-        a = z
-    hashes, places = np.concatenate(hashes), np.concatenate(places)
-    order = np.argsort(hashes, kind="stable")
-    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    equal = np.zeros(len(same), bool)
-    for k in range(0, len(same), 1 << 15):
-        s = same[k : k + (1 << 15)]
-        equal[k : k + (1 << 15)] = (view[places[order[s]]] == view[places[order[s + 1]]]).all(axis=1)
     hit = np.zeros(len(data), bool)
-    hit[places[order[same[equal]]]] = True
-    hit[places[order[same[equal] + 1]]] = True
+    breaks = [*(np.flatnonzero(group[mine][1:] != group[mine][:-1]) + 1).tolist(), len(texts)]  # names stay whole
+    a = 0
+    for k, z in enumerate(breaks):
+        if k + 1 == len(breaks) or ends[breaks[k + 1] - 1] - begins[a] > SORTED:
+            hit[begins[a] : ends[z - 1]] = shared_windows(texts[a:z])
+            a = z
     owners = {int(code): k for k, code in enumerate(codes) if copies[code] == 1}
     marks = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     for b, e in zip(np.flatnonzero(marks == 1).tolist(), np.flatnonzero(marks == -1).tolist(), strict=True):
