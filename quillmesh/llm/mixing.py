@@ -201,7 +201,8 @@ def slot_blocks(spark: SparkSession, mix: Mix, seed: int = SEED) -> DataFrame:
 def taken_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
     """Block parts and `times`, the slots that take their block: the join of slots and blocks by index."""
     times = slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    return parts.join(times, ["source_id", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # The plan's few rows stand for all slots: by their size alone the planner would broadcast these.
+    return parts.join(times.hint("merge"), ["source_id", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix_taken(docs: DataFrame, weights=None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
