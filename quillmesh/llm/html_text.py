@@ -49,6 +49,8 @@ WORDS = set(
     "sidebar aside rail widget related recommended teaser header masthead topbar footer bottombar cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe signup login share sharing social comment comments disqus respond replies form search pagination pager tags toc skip".split()
 )
+#: Words for the head of a page; inside the main text they name the head of an article, which stays.
+HEAD = set("header masthead topbar".split())
 MAIN = set("article main".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -144,8 +146,10 @@ class Page:
             self.tag.append(tag)
             self.key.append(tag + ("." + re.sub(r"\d+", "#", label[0].lower()) if label else "") + (":main" if role == "main" else ""))
             inside = self.in_main(stack[-1])
-            header = tag == "header" and inside
-            self.out.append(self.out[stack[-1]] or tag in HIDDEN or (tag in BOILERPLATE and not header) or role in ROLES or (tag not in ("html", "body", "main") and not WORDS.isdisjoint(words)))
+            boilerplate = tag in BOILERPLATE or not WORDS.isdisjoint(words)
+            if inside and (tag == "header" or tag not in BOILERPLATE):
+                boilerplate = not WORDS.isdisjoint(set(words) - HEAD)
+            self.out.append(self.out[stack[-1]] or tag in HIDDEN or role in ROLES or (tag not in ("html", "body", "main") and boilerplate))
             self.links.append(0)
             self.text_chars.append(0)
             self.parts.append((node, None))

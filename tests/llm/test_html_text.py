@@ -20,6 +20,9 @@ def test_rules_of_the_text():
     )
     assert text_of(page) == "Head & line\nOne two three four five\nSix!\na\nb\nx\ny\n7 < 8"
     assert text_of("plain  text &lt;") == "plain text <"
+    article = '<article><header class="entry-header"><h1>Head</h1></header><div class="article-header">Sub</div><p>x</p><footer>Tags</footer><nav>n</nav></article>'
+    assert text_of(f'<div class="header">Site</div>{article}<main><p>y</p></main>') == "Head\nSub\nx"
+    assert text_of('<body><h1>Only</h1><div class="content"><p>z</p></div><div class="sidebar"><p>no</p></div></body>') == "Only\nz"
     assert text_of("") == ""
     assert text_of("<p>cut <b>off") == "cut off"
     assert text_of('<div><p>a</div><p class="x>b</p>') == "a\nb"
