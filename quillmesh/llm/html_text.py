@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,7 @@ from quillmesh.runtime import stage, table
 
 #: Expressions aligned in one go; a host with more is folded in rounds.
 FOLD = 64
+#: Levels of an expression, which is merged by recursion; a page's own tree has no limit.
 DEPTH = 100
 
 # Element names and class words, by what HTML means by them.
@@ -65,16 +67,21 @@ SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """Block elements in page order: `parent`, `tag`, `key`, `out` (left out); `parts` are (node, text) or (node, None) for a boundary."""
+    """Block elements in page order: `parent`, `depth`, `tag`, `key`, `main` (in the main text), `out` (left out); `parts` are (node, text) or (node, None) for a boundary."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.key, self.out, self.links, self.text_chars = [-1], [""], [""], [False], [0], [0]
+        self.depth, self.main = [0], [False]
         self.parts: list[tuple[int, str | None]] = []
-        stack, depths = [0], {"": 1}
+        stack: list[int] = [0]
+        places: dict[str, list[int]] = {}  # where on the stack each element name is open
         at, n, anchor = 0, len(source), 0
 
-        def close(node: int) -> None:
-            self.parts.append((node, None))
+        def shut(place: int) -> None:
+            while len(stack) > place:
+                node = stack.pop()
+                places[self.tag[node]].pop()
+                self.parts.append((node, None))
 
         def add(text: str) -> None:
             if text:
@@ -98,14 +105,9 @@ class Page:
             if m[1]:
                 if tag == "a":
                     anchor = 0
-                if tag in INLINE or not depths.get(tag):
+                if tag in INLINE or not places.get(tag):
                     continue
-                while True:
-                    node = stack.pop()
-                    depths[self.tag[node]] -= 1
-                    close(node)
-                    if self.tag[node] == tag:
-                        break
+                shut(places[tag][-1])
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
@@ -119,25 +121,14 @@ class Page:
                 if tag == "a" and stack:
                     self.links[stack[-1]] += 1
                 continue
-            if tag in CLOSES or depths.get("p"):
-                ends = CLOSES.get(tag, set()) | ({"p"} if tag not in INLINE else set())
-                scope = SCOPE.get(tag, set())
-                k = len(stack) - 1
-                cut = None
-                while k > 0 and self.tag[stack[k]] not in scope:
-                    if self.tag[stack[k]] in ends:
-                        cut = k
-                    elif self.tag[stack[k]] not in ("p",) and tag not in CLOSES:
-                        break
-                    k -= 1
-                if cut is not None:
-                    for node in reversed(stack[cut:]):
-                        depths[self.tag[node]] -= 1
-                        close(node)
-                    del stack[cut:]
-            if len(stack) > DEPTH:
-                self.parts.append((stack[-1], None))
-                continue
+            if tag in CLOSES:
+                low = max((places[t][-1] for t in SCOPE[tag] if places.get(t)), default=0)
+                ends = [places[t][at_least] for t in (*CLOSES[tag], "p") if t in places and (at_least := bisect_right(places[t], low)) < len(places[t])]
+                if ends:
+                    shut(min(ends))
+            else:
+                while self.tag[stack[-1]] == "p":
+                    shut(len(stack) - 1)
             node = len(self.tag)
             words = [w for value in (attributes.get("class"), attributes.get("id")) if value for w in re.split(r"[^a-z]+", value.lower()) if w]
             label = (attributes.get("class") or attributes.get("id") or "").split()
@@ -145,24 +136,19 @@ class Page:
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.key.append(tag + ("." + re.sub(r"\d+", "#", label[0].lower()) if label else "") + (":main" if role == "main" else ""))
-            inside = self.in_main(stack[-1])
+            inside = self.main[stack[-1]]
             boilerplate = tag in BOILERPLATE or not WORDS.isdisjoint(words)
             if inside and (tag == "header" or tag not in BOILERPLATE):
                 boilerplate = not WORDS.isdisjoint(set(words) - HEAD)
             self.out.append(self.out[stack[-1]] or tag in HIDDEN or role in ROLES or (tag not in ("html", "body", "main") and boilerplate))
+            self.depth.append(self.depth[stack[-1]] + 1)
+            self.main.append(inside or tag in MAIN or self.key[node].endswith(":main"))
             self.links.append(0)
             self.text_chars.append(0)
             self.parts.append((node, None))
             if tag not in VOID:
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(node)
-                depths[tag] = depths.get(tag, 0) + 1
-
-    def in_main(self, node: int) -> bool:
-        while node > 0:
-            if self.tag[node] in MAIN or self.key[node].endswith(":main"):
-                return True
-            node = self.parent[node]
-        return False
 
     def path(self, node: int) -> tuple[str, ...]:
         out = []
@@ -173,8 +159,8 @@ class Page:
 
     def region(self, mains: list[tuple[str, ...]]) -> set[int] | None:
         """The nodes at the wrapper's main paths, else the page's own main elements; None: the whole page."""
-        ends = {m[-1] for m in mains}
-        found = {k for k in range(1, len(self.tag)) if self.key[k] in ends and not self.out[k] and self.path(k) in mains}
+        ends = {(len(m), m[-1]) for m in mains}
+        found = {k for k in range(1, len(self.tag)) if (self.depth[k], self.key[k]) in ends and not self.out[k] and self.path(k) in mains}
         if not found:
             for wanted in ("article", "main"):
                 found = {k for k in range(1, len(self.tag)) if not self.out[k] and (self.tag[k] == wanted or (wanted == "main" and self.key[k].endswith(":main")))}
@@ -205,11 +191,12 @@ class Page:
 
 
 def expression(source: str | None) -> list:
-    """The union-free expression of one page."""
+    """The union-free expression of one page, to DEPTH levels."""
     page = Page(source or "")
     children: list[list[int]] = [[] for _ in page.tag]
     for k in range(1, len(page.tag)):
-        children[page.parent[k]].append(k)
+        if page.depth[k] <= DEPTH:
+            children[page.parent[k]].append(k)
     built: list = [None] * len(page.tag)
     for k in range(len(page.tag) - 1, -1, -1):
         built[k] = [page.key[k], False, False, 1, collapsed([built[c] for c in children[k]])]

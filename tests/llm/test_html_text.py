@@ -29,6 +29,15 @@ def test_rules_of_the_text():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_deep_nests_end_where_they_end():
+    nest = "<div>" * 150 + "deep" + "</div>" * 150
+    assert text_of(f"<div><article><p>a</p>{nest}<p>b</p></article><p>out</p></div>") == "a\ndeep\nb"
+    below = "<div>" * 150 + '<nav>menu</nav><div class="ad">buy</div><form>mail</form><p>kept</p>' + "</div>" * 150
+    assert text_of(f"<article>{below}<p>b</p></article>") == "kept\nb"
+    assert text_of("<div>" * 150 + "<article><p>in</p></article><p>out</p>" + "</div>" * 150) == "in"
+    assert text_of("<ul><li>" * 3000 + "x" + "</ul>" * 3000 + "<p>y") == "x\ny"
+
+
 def test_expressions_are_union_free_and_repeat():
     def shape(node):
         return [node[0] + "+" * node[1] + "?" * node[2], *[shape(c) for c in node[4]]]
