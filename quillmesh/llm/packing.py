@@ -2,8 +2,8 @@
 
 Packing depends on lengths only, and there are at most `capacity` of them: the corpus is reduced to
 a histogram of lengths (at most `capacity` rows, whatever the corpus holds), bin completion with
-branch and bound works on that histogram, and its plan (at most `capacity` patterns) is broadcast
-to place every piece. Texts are tokenized once; no piece moves more than once.
+branch and bound works on that histogram, and its plan (a pattern for each length used up and each
+share that the search took short) is broadcast to place every piece. Texts are tokenized once; no piece moves more than once.
 
 A plan row says: of the pieces of this length, those ranked from..to go `each` to a bin, into bins
 counted from `bin`, at `offset`. Ranks within a length are counted over hash buckets, so that a
@@ -16,7 +16,9 @@ rows are documents of their own; an empty table gives an empty result; extra col
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of one length that one rank window holds, about.
 BUCKET_ROWS = 50_000
+#: Steps of the search once its first pass has met the end: a branch of a filling, four sizes looked at.
+SEARCH_STEPS = 1_000_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,15 +44,15 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 # ---------------------------------------------------------------- the histogram kernel
 
 
-def complete(sizes: list[int], counts: dict[int, int], room: int, nodes: int = 4000) -> list[tuple[int, int]]:
-    """The filling of `room` with least waste from `sizes` (descending, available): [(size, times)].
+def complete(sizes: list[int], counts: dict[int, int], room: int, nodes: int = 4000, steps: list[int] | None = None) -> list[tuple[int, int]]:
+    """The filling of `room` with least waste from `sizes` (descending, available): [(size, times)]; after `nodes`, the best so far.
+
+    It only says which filling the search tries first: `fillings` gives all the others.
 
     Depth first, larger sizes first, so that a filling is met before those it dominates (any part
     of it replaced by smaller pieces). A branch is cut when even a full take of what is left of it
     can't beat the incumbent's waste; the incumbent starts as the best-fit filling, the first branch.
     """
-    from bisect import bisect_left
-
     down = [-s for s in sizes]
     left = [0] * (len(sizes) + 1)  # what all sizes from here on amount to
     for k in range(len(sizes) - 1, -1, -1):
@@ -76,6 +80,8 @@ def complete(sizes: list[int], counts: dict[int, int], room: int, nodes: int = 4
         return False
 
     go(0, room, [])
+    if steps:
+        steps[0] -= seen[0]
     return best[1]
 
 
@@ -103,43 +109,185 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return [(sizes, alike) for group in open_bins.values() for sizes, alike in group]
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Bin completion: the largest piece, with the best completion around it, as often as pieces last.
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, steps: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """All undominated fillings of `room` that waste at most `waste`, larger sizes first; ends early when `steps[0]` is used up.
 
-    Each pattern uses up at least one size, so there are at most as many patterns as sizes. The
-    packing is kept if it beats the incumbent, best-fit decreasing; at the lower bound
-    ceil(total / capacity) no search can improve it.
+    A filling is dominated if one size left out can take the place of some of its pieces, or of none,
+    where these are no larger and it fits: whatever the rest of a packing is, it can be had with that one.
     """
-    if not histogram:
-        return []
-    incumbent = best_fit(histogram, capacity)
-    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
-    most = sum(n for _, n in incumbent)
-    if most == bound:
-        return incumbent
+    down = [-s for s in sizes]
+    left = [0] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        left[k] = left[k + 1] + sizes[k] * min(counts[sizes[k]], room // sizes[k])
+    whole = sum(1 << s for s in sizes)
+
+    def undominated(rest: int, taken: list[tuple[int, int]]) -> bool:
+        one, more, outside = 0, 0, whole  # bit t: a piece of t, two or more pieces of t in all, a size left out
+        for size, times in taken:
+            for _ in range(times):
+                more |= (more | one) << size
+                one |= 1 << size
+            if times == counts[size]:
+                outside &= ~(1 << size)
+        reach = more | 1 | one << 1 if rest else more | 1
+        for _ in range(rest - 1 if rest else 0):
+            reach |= reach << 1
+        return not outside & (reach | (more | 1) << rest)
+
+    def go(k: int, rest: int, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        k = max(k, bisect_left(down, -rest))
+        while k < len(sizes) and rest - left[k] <= waste and steps[0] > 0:
+            size = sizes[k]
+            for times in range(min(counts[size], rest // size), 0, -1):
+                steps[0] -= 1
+                taken.append((size, times))
+                yield from go(k + 1, rest - size * times, taken)
+                taken.pop()
+            k += 1
+        if rest <= waste and steps[0] > 0 and undominated(rest, taken):
+            yield list(taken)
+
+    yield from go(0, room, [])
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: total size, and for each `least` what the sizes from `least` on need beside those that they can't join."""
+    number, total = [0] * (capacity + 2), [0] * (capacity + 2)  # of sizes up to k
+    for k in range(1, capacity + 1):
+        number[k] = number[k - 1] + histogram.get(k, 0)
+        total[k] = total[k - 1] + k * histogram.get(k, 0)
+    half = capacity // 2
+    best = -(-total[capacity] // capacity)
+    for least in range(1, half + 1):
+        joined = number[capacity - least] - number[half]
+        free = joined * capacity - (total[capacity - least] - total[half])
+        best = max(best, number[capacity] - number[half] + max(0, -(-(total[half] - total[least - 1] - free) // capacity)))
+    return max(best, number[capacity] - number[half])
+
+
+def shares(most: int) -> Iterator[int]:
+    """1..most, each once: `most`, its halves, then the rest."""
+    halves, n = [], most
+    while n:
+        halves.append(n)
+        n //= 2
+    yield from halves
+    yield from (n for n in range(most - 1, 0, -1) if n not in halves)
+
+
+def search(histogram: dict[int, int], capacity: int, target: int, steps: int, short: bool = True) -> tuple[list[tuple[dict[int, int], int]] | None, bool]:
+    """(a packing of at most `target` bins or None, whether all was tried): the largest piece left, with each undominated filling around it.
+
+    A branch takes a filling for as many bins as pieces last, or (`short`) for fewer too; the one with
+    least waste comes first. It is cut when its bins waste more than `target` bins may, or when the same pieces
+    were left after as few bins before. `steps` count once the first pass has met its end.
+    """
+    most_waste = target * capacity - sum(s * n for s, n in histogram.items())
     counts = dict(histogram)
-    sizes = sorted(counts, reverse=True)
-    found: list[tuple[dict[int, int], int]] = []
-    used = waste = 0
-    total_waste = most * capacity - sum(s * n for s, n in histogram.items())
-    while sizes:
+    order = sorted(counts, reverse=True)
+    left, budget, met = sum(counts.values()), [max(steps, 1)], False
+    path: list[tuple[dict[int, int], int]] = []
+    seen: dict[tuple, int] = {}
+
+    def branches(used: int, waste: int, but: dict[int, int] | None) -> Iterator[tuple[dict[int, int], int, int]]:
+        sizes = [s for s in order if counts[s]]
+        if met:
+            budget[0] -= len(sizes) // 4 + 1
+        state = tuple(counts[s] for s in order)
+        if seen.get(state, used + 1) <= used:
+            return
+        seen[state] = used
         first = sizes[0]
-        counts[first] -= 1
-        around = complete([s for s in sizes if counts[s]], counts, capacity - first)
-        counts[first] += 1
-        pattern = Counter({first: 1})
-        for size, times in around:
-            pattern[size] += times
-        alike = min(counts[s] // k for s, k in pattern.items())
+        room = capacity - first
+        own = {**counts, first: counts[first] - 1}
+        others = [s for s in sizes if own[s] and s <= room]
+
+        def around() -> Iterator[list[tuple[int, int]]]:
+            greedy = complete(others, own, room, steps=budget if met else None)
+            yield greedy
+            for filling in fillings(others, own, room, min(room, most_waste - waste), budget):
+                if filling != greedy:
+                    yield filling
+
+        for filling in around():
+            pattern = Counter({first: 1})
+            for size, times in filling:
+                pattern[size] += times
+            each = capacity - sum(s * k for s, k in pattern.items())
+            if pattern == but:
+                continue
+            full = min(counts[s] // k for s, k in pattern.items())
+            for alike in shares(full) if short else [full]:
+                if waste + each * alike <= most_waste:
+                    yield dict(pattern), alike, waste + each * alike
+                elif met:
+                    budget[0] -= 1
+                if budget[0] <= 0:
+                    return
+
+    def take(pattern: dict[int, int], alike: int) -> int:
         for s, k in pattern.items():
             counts[s] -= k * alike
-        sizes = [s for s in sizes if counts[s]]
-        found.append((dict(pattern), alike))
-        used += alike
-        waste += alike * (capacity - sum(s * k for s, k in pattern.items()))
-        if sizes and waste >= total_waste:  # no better than the incumbent any more
-            return incumbent
-    return found if used < most else incumbent
+        return alike * sum(pattern.values())
+
+    stack = [(branches(0, 0, None), 0)]
+    while stack and budget[0] > 0:
+        level, used = stack[-1]
+        step = next(level, None)
+        if step is None:
+            if not steps:
+                return None, False
+            met = True
+            stack.pop()
+            if path:
+                pattern, alike = path.pop()
+                left -= take(pattern, -alike)
+            continue
+        pattern, alike, waste = step
+        if met:
+            budget[0] -= 1
+        left -= take(pattern, alike)
+        path.append((pattern, alike))
+        if not left:
+            return path, False
+        more = all(counts[s] >= k for s, k in pattern.items())
+        stack.append((branches(used + alike, waste, pattern if more else None), used + alike))
+    return None, short and budget[0] > 0
+
+
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[dict[int, int], int]]:
+    """Bin completion with branch and bound, from the lower bound up, until it is met, nothing is left to try or `steps` are used up.
+
+    The first incumbent is best-fit decreasing, the second a single pass. Then packings are searched
+    for at the lower bound, which rises by one when all was tried in vain, and, where an eighth of the
+    steps didn't settle it, halfway between there and the incumbent.
+    """
+    histogram = {s: n for s, n in histogram.items() if n}
+    if not histogram:
+        return []
+    best = best_fit(histogram, capacity)
+    most = sum(n for _, n in best)
+    bound = lower_bound(histogram, capacity)
+    if most > bound:
+        best = search(histogram, capacity, most - 1, 0)[0] or best
+        most = sum(n for _, n in best)
+    target = bound
+    for _ in range(8):
+        while target < most:
+            found, tried = search(histogram, capacity, target, steps // 16, short=False)
+            if not found:  # what a filling takes in full doesn't depend on how often the lengths come; the rest may
+                found, tried = search(histogram, capacity, target, steps // 16)
+            if found:
+                best, most = found, sum(n for _, n in found)
+                target = bound
+            elif tried:
+                bound = target = target + 1
+            else:
+                break
+        if target >= most - 1:
+            break
+        target += max(1, (most - 1 - target) // 2)
+    return best
 
 
 def plan_rows(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -209,7 +357,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "length long, from_rank long, to_rank long, each long, bin long, at long",
     )
     ranked = rank_in_length(pieces, sum(histogram.values())).alias("p")
-    # The plan has `capacity` patterns at most, each of under sqrt(2 * capacity) sizes: a proven bound.
+    # A pattern has under sqrt(2 * capacity) sizes. Patterns: one a length used up, and one a share taken short, of which SEARCH_STEPS bounds the number.
     placed = ranked.join(
         F.broadcast(plan.alias("q")),
         (F.col("p.length") == F.col("q.length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")),

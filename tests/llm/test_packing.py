@@ -54,6 +54,37 @@ def test_bin_completion_is_near_the_bound():
     assert check_patterns({6: 2, 5: 2, 4: 2, 3: 2, 2: 2}, 10) == 4  # 6+4, 6+4, 5+5, 3+3+2+2
 
 
+def fewest(lengths, capacity):
+    """Bins by brute force: each piece into each bin."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[k]}:
+            at = rooms.index(room)
+            go(k + 1, [*rooms[:at], room - lengths[k], *rooms[at + 1 :]])
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_goes_back():
+    lengths = [13, 12, 12, 11, 10, 9, 8, 8, 7]  # 13+9+8, 12+10+8, 12+11+7
+    for k in (1, 7, 100_000):
+        assert check_patterns({s: k * lengths.count(s) for s in lengths}, 30) == 3 * k
+    rng = random.Random(4)
+    for _ in range(300):
+        capacity = rng.randint(10, 40)
+        some = [rng.randint(1 + capacity // 8, capacity // 2 + 2) for _ in range(rng.randint(1, 10))]
+        histogram = {s: some.count(s) for s in some}
+        assert packing.lower_bound(histogram, capacity) <= fewest(some, capacity) == sum(n for _, n in packing.bin_completion(histogram, capacity))
+
+
 def check_packing(rows, docs, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
