@@ -1,5 +1,6 @@
 import random
 
+from quillmesh.operators import graph
 from quillmesh.operators.components import components
 
 
@@ -30,3 +31,9 @@ def test_components_equal_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_components_of_every_edge(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 50.0), (2, 1, 3.0), (2, 2, 4.0), (3, 2, 50.0), (4, 3, 1.0)], "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = graph.gr3b(spark, str(tmp_path)).first()
+    assert (got.n_components, got.n_nodes) == (2, 7)
