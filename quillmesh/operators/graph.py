@@ -123,6 +123,25 @@ def radius_pairs(events: DataFrame, km: float, hours: float | None = None) -> Da
     return pairs.select(F.col("id").alias("src"), F.col("id2").alias("dst"))
 
 
+def near_links(events: DataFrame, km: float, hours: float) -> DataFrame:
+    """Links (src, dst) with the components of radius_pairs, but a few an event, however many share its place.
+
+    Events of a place, and of two places within the radius, are all near each other: among them a
+    step in time of at most `hours` links neighbours, and a pair in the window is a chain of such steps.
+    """
+    seconds = F.unix_timestamp("ts")
+    events = stage(events.select("id", "lat", "lon", seconds.alias("at")), "located")
+    places = events.groupBy("lat", "lon").agg(F.min("id").alias("id")).withColumn("ts", F.lit(None).cast("timestamp"))
+    near = radius_pairs(places, km)
+    own = events.join(places.select("lat", "lon", F.col("id").alias("place")), ["lat", "lon"]).select("id", "at", "place")
+    own = stage(own, "placed")
+    met = own.join(near, F.col("place") == F.col("src")).select("src", "dst", "place", "id", "at").union(own.join(near, F.col("place") == F.col("dst")).select("src", "dst", "place", "id", "at"))
+    lone = own.select(F.col("place").alias("src"), F.col("place").alias("dst"), "place", "id", "at")
+    rows = Window.partitionBy("src", "dst").orderBy("at", "id")
+    before = met.union(lone).select("id", "at", F.lag("id").over(rows).alias("id0"), F.lag("at").over(rows).alias("at0"))
+    return before.where(F.col("at") - F.col("at0") <= hours * 3600).select(F.least("id", "id0").alias("src"), F.greatest("id", "id0").alias("dst")).distinct()
+
+
 @query("gr10_event_clusters", f"WITH {views.GEO}, g AS (SELECT * FROM geo WHERE type = 'error' AND k >= 90), p AS (SELECT a.id AS src, b.id AS dst FROM g a JOIN g b ON a.id < b.id AND {HAVERSINE_SQL.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 10.0) SELECT count(*) AS n_pairs, count(DISTINCT src) AS n_sources FROM p")
 def gr10(spark, d):
     pairs = radius_pairs(views.geo_events(spark, d).where("type = 'error' AND k >= 90"), 10.0)
@@ -131,8 +150,25 @@ def gr10(spark, d):
 
 @query("gr10b_cluster_members")
 def gr10b(spark, d):
-    """The order-free clusters themselves: components of events within 10 km and 72 hours."""
-    return components(radius_pairs(views.geo_events(spark, d).where("type = 'error' AND k >= 90"), 10.0, 72.0)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    """The order-free clusters themselves: components of all events within 10 km and 72 hours."""
+    return components(near_links(views.geo_events(spark, d), 10.0, 72.0)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+@query("gr10d_event_pairs")
+def gr10d(spark, d):
+    """gr10_event_clusters over all events: pairs are counted by place, so events at one place never meet one by one."""
+    places = views.geo_events(spark, d).groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last"))
+    places = stage(places, "places")
+    near = radius_pairs(places.withColumn("ts", F.lit(None).cast("timestamp")), 10.0)
+    sides = [places.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("last").alias(f"last_{k}")) for k in ("src", "dst")]
+    near = stage(near.join(sides[0], "src").join(sides[1], "dst"), "place-pairs")
+    pairs = places.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p")).union(near.select((F.col("n_src") * F.col("n_dst")).alias("p")))
+    # An event is a source if a later one is within the radius: if it isn't the last of its place and of those near.
+    far = near.select("src", F.col("last_dst").alias("last")).union(near.select(F.col("dst"), F.col("last_src"))).union(places.select("id", "last"))
+    last = far.groupBy("src").agg(F.max("last").alias("most"))
+    lone = places.join(last, F.col("id") == F.col("src")).where(F.col("most") == F.col("last")).agg(F.count("*").alias("lone"))
+    total = pairs.agg(F.sum("p").alias("n_pairs")).crossJoin(F.broadcast(places.agg(F.sum("n").alias("n")))).crossJoin(F.broadcast(lone))
+    return total.select(F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), (F.coalesce("n", F.lit(0)) - F.col("lone")).alias("n_sources"))
 
 
 @query("gr11_column_boundaries")

@@ -101,3 +101,32 @@ def test_stand_in_embeddings_are_unit_and_fixed(spark, sf_dir):
     rows = {r.item_id: np.array(r.embedding) for r in segmentation.fn18(spark, sf_dir).collect()}
     again = {r.item_id: np.array(r.embedding) for r in segmentation.fn18(spark, sf_dir).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-5 and (v == again[k]).all() for k, v in rows.items())
+
+
+def located(spark, folder):
+    """Events of all types at places that repeat and lie near others, over 60 days, with no row that the SQL twin of gr10 would take."""
+    import datetime
+    import random
+
+    rng = random.Random(6)
+    ids = [1000 * rng.randrange(3) + k for k in rng.sample(range(1000), 250)] + [3000 + k for k in range(0, 200, 7)]
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(hours=rng.randrange(24 * 60)), rng.choice(["view", "error"]), 1.0, k % 9, '{"k": %d}' % rng.randrange(90)) for k in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double, user_id long, props string").write.parquet(f"{folder}/events.parquet")
+    return graph.views.geo_events(spark, str(folder)).collect()
+
+
+def test_event_clusters_take_all_events(spark, tmp_path):
+    from math import asin, cos, radians, sin, sqrt
+
+    rows = located(spark, tmp_path)
+    km = lambda a, b: 2 * 6371 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))
+    pairs = [(a, b) for a in rows for b in rows if a.id < b.id and km(a, b) <= 10]
+    got = graph.gr10d(spark, str(tmp_path)).first()
+    assert (got.n_pairs, got.n_sources) == (len(pairs), len({a.id for a, _ in pairs})) and pairs
+    cluster = {x: x for a, b in pairs if abs((a.ts - b.ts).total_seconds()) <= 72 * 3600 for x in (a.id, b.id)}
+    links = [(a.id, b.id) for a, b in pairs if abs((a.ts - b.ts).total_seconds()) <= 72 * 3600]
+    for _ in rows:
+        for a, b in links:
+            cluster[a] = cluster[b] = min(cluster[a], cluster[b])
+    assert {r.id: r.cluster for r in graph.gr10b(spark, str(tmp_path)).collect()} == cluster and cluster
