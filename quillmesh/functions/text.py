@@ -170,6 +170,12 @@ def fn20(spark, d):
     return docs(spark, d).select("doc_id", F.md5(F.concat(F.lit("["), F.col("lang"), F.lit("] ["), F.col("source"), F.lit("] "), F.left("text", F.lit(200)))).alias("digest"))
 
 
+@query("fn20b_embedding_input_whole", "SELECT doc_id, md5('[' || lang || '] [' || source || '] ' || text) AS digest FROM documents")
+def fn20b(spark, d):
+    """fn20_embedding_input over the whole text."""
+    return docs(spark, d).select("doc_id", F.md5(F.concat(F.lit("["), F.col("lang"), F.lit("] ["), F.col("source"), F.lit("] "), "text")).alias("digest"))
+
+
 @query("fn22_chunk_class", "SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN regexp_matches(text, '[0-9]{4}') THEN 'dated' WHEN n_chars < 300 THEN 'note' ELSE 'text' END AS class, (contains(text, 'tion')::INTEGER * 2 + contains(text, 'the')::INTEGER) >= 1 AS domain FROM documents")
 def fn22(spark, d):
     kind = F.when(F.contains("text", F.lit("|")), "table").when(F.col("text").rlike("[0-9]{4}"), "dated").when(F.col("n_chars") < 300, "note").otherwise("text")

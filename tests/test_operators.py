@@ -130,3 +130,10 @@ def test_event_clusters_take_all_events(spark, tmp_path):
         for a, b in links:
             cluster[a] = cluster[b] = min(cluster[a], cluster[b])
     assert {r.id: r.cluster for r in graph.gr10b(spark, str(tmp_path)).collect()} == cluster and cluster
+
+
+def test_embedding_input_is_the_whole_text(spark, tmp_path):
+    from quillmesh.functions import text
+
+    spark.createDataFrame([(k, "a" * 200 + end, "en", "web", 201) for k, end in enumerate("xy")], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.digest for r in text.fn20b(spark, str(tmp_path)).collect()}) == 2
