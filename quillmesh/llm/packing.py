@@ -258,36 +258,38 @@ def search(histogram: dict[int, int], capacity: int, target: int, steps: int, sh
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[dict[int, int], int]]:
     """Bin completion with branch and bound, from the lower bound up, until it is met, nothing is left to try or `steps` are used up.
 
-    The first incumbent is best-fit decreasing, the second a single pass. Then packings are searched
-    for at the lower bound, which rises by one when all was tried in vain, and, where an eighth of the
-    steps didn't settle it, halfway between there and the incumbent.
+    Best-fit decreasing is the incumbent: its bins bound the waste of every search, and its packing
+    is returned only if none that completes bins is found with as few. The first packing comes of a
+    single pass. Then packings are searched for at the lower bound, which rises by one when all was
+    tried in vain, and, where an eighth of the steps didn't settle it, halfway between there and the
+    incumbent.
     """
     histogram = {s: n for s, n in histogram.items() if n}
     if not histogram:
         return []
-    best = best_fit(histogram, capacity)
-    most = sum(n for _, n in best)
-    bound = lower_bound(histogram, capacity)
-    if most > bound:
-        best = search(histogram, capacity, most - 1, 0)[0] or best
+    incumbent = best_fit(histogram, capacity)
+    most = sum(n for _, n in incumbent)
+    best = search(histogram, capacity, most, 0)[0]
+    if best:
         most = sum(n for _, n in best)
+    bound = lower_bound(histogram, capacity)
     target = bound
     for _ in range(8):
-        while target < most:
+        while target < most or (target == most and not best):
             found, tried = search(histogram, capacity, target, steps // 16, short=False)
             if not found:  # what a filling takes in full doesn't depend on how often the lengths come; the rest may
                 found, tried = search(histogram, capacity, target, steps // 16)
             if found:
                 best, most = found, sum(n for _, n in found)
                 target = bound
-            elif tried:
+            elif tried and target < most:
                 bound = target = target + 1
             else:
                 break
-        if target >= most - 1:
+        if target >= most - 1 and (best or target >= most):
             break
-        target += max(1, (most - 1 - target) // 2)
-    return best
+        target = min(target + max(1, (most - 1 - target) // 2), most)
+    return best or incumbent
 
 
 def plan_rows(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -85,6 +85,51 @@ def test_bin_completion_goes_back():
         assert packing.lower_bound(histogram, capacity) <= fewest(some, capacity) == sum(n for _, n in packing.bin_completion(histogram, capacity))
 
 
+def test_the_packing_is_that_of_bin_completion():
+    rng = random.Random(12)
+    met = differs = 0
+    for _ in range(30):
+        histogram = defaultdict(int)
+        for _ in range(rng.randint(200, 3000)):
+            histogram[min(2048, int(rng.lognormvariate(5, 1.2)) + 1)] += 1
+        histogram = dict(histogram)
+        incumbent = packing.best_fit(histogram, 2048)
+        most = sum(n for _, n in incumbent)
+        if most > packing.lower_bound(histogram, 2048):
+            continue
+        met += 1  # best fit is as good, and yet its packing isn't returned
+        got = packing.bin_completion(histogram)
+        assert got == packing.search(histogram, 2048, most, 0)[0] and sum(n for _, n in got) == most
+        differs += sorted((sorted(p.items()), n) for p, n in got) != sorted((sorted(p.items()), n) for p, n in incumbent)
+    assert differs == met > 20
+
+
+def test_no_filling_is_dominated():
+    """Every undominated filling of a bin by brute force is met, and none other."""
+    rng = random.Random(5)
+    for _ in range(200):
+        room = rng.randint(5, 14)
+        counts = {s: rng.randint(1, 3) for s in rng.sample(range(1, room + 1), rng.randint(1, 5))}
+        sizes = sorted(counts, reverse=True)
+        got = {tuple(f) for f in packing.fillings(sizes, counts, room, room, [10**9])}
+
+        def all_of(k, rest):
+            if k == len(sizes):
+                return [()]
+            return [((sizes[k], n), *f) if n else f for n in range(min(counts[sizes[k]], rest // sizes[k]) + 1) for f in all_of(k + 1, rest - n * sizes[k])]
+
+        def dominated(filling):
+            left = {s: counts[s] - dict(filling).get(s, 0) for s in sizes}
+            spare = room - sum(s * n for s, n in filling)
+            pieces = [s for s, n in filling for _ in range(n)]
+            sums = {(0, 0)}  # (pieces, their sum)
+            for s in pieces:
+                sums |= {(n + 1, t + s) for n, t in sums}
+            return any(left[s] and any(t <= s <= t + spare and not (n == 1 and t == s) for n, t in sums) for s in sizes)
+
+        assert got == {f for f in all_of(0, room) if not dominated(f)}, (room, counts)
+
+
 def check_packing(rows, docs, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
