@@ -15,6 +15,7 @@ QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "chat_tool_calls": chat_format.chat_tool_calls,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "chat_tool_calls": chat_format.CALLS_SQL,
 }

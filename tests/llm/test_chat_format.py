@@ -77,19 +77,64 @@ def test_order_equals_kahn(spark):
             rows.append((conv, t, *(("assistant", call(rng.choice(ids), a=t)) if kind < 0.35 else ("tool", result(rng.choice(ids))) if kind < 0.75 else ("user", f"t{t}"))))
     rng.shuffle(rows)
     rows.sort(key=lambda r: r[0])
-    got = {r.conv_id: r.messages for r in cf.chat_format(frame(spark, rows)).collect()}
+    got = {r.conv_id: r for r in cf.chat_format(frame(spark, rows)).collect()}
     for conv in range(60):
         own = sorted([r[1:] for r in rows if r[0] == conv])
-        assert got[conv] == kahn(own)
+        assert got[conv].messages == kahn(own)
+        found = [cf.parsed(r, t) for _, r, t in own]
+        calls, answers = [c[0] for f in found for c in f["calls"]], [f["result_id"] for f in found if f["result_id"]]
+        linked = len(set(calls) & set(answers))
+        expected = (len(calls), linked, len(set(calls)) - linked, len(calls) - len(set(calls)), sum(a not in calls for a in answers))
+        assert (got[conv].n_calls, got[conv].n_linked, got[conv].n_unanswered, got[conv].n_repeated, got[conv].n_orphans) == expected
+
+
+def test_large_conversations_go_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(cf, "RANGE_ROWS", 7)
+    rows = [(1, t // 2, "user", f"m{t}") for t in range(40)] + [(2, 0, "user", f"n{t}") for t in range(25)] + [(3, 0, "user", "x")]
+    rows += [(4, 10 * t, "assistant", call(f"c{t}", a=t)) for t in range(20)] + [(4, 10 * t - 55, "tool", result(f"c{t}")) for t in range(20)]
+    got = cf.chat_format(frame(spark, rows), part_bytes=10 * 4200).collect()
+    for conv, n in ((1, 40), (2, 25), (3, 1), (4, 40)):
+        parts = [json.loads(r.messages) for r in sorted(got, key=lambda r: r.part) if r.conv_id == conv]
+        assert sum(map(len, parts)) == n and max(map(len, parts)) <= 11 and len(parts) >= n // 11
+        laid = [m for p in parts for m in p]
+        if conv == 1:
+            assert [m["content"] for m in laid] == [f"m{t}" for t in range(40)]
+        if conv == 4:  # one order over all parts
+            assert cf.canonical(laid) == kahn(sorted(r[1:] for r in rows if r[0] == 4))
+
+
+def test_malformed_schemas_are_errors_of_the_call():
+    check = lambda v, s: len(cf.schema_errors(v, s))
+    for bad in ({"pattern": "("}, {"pattern": 3}, {"minLength": "5"}, {"maximum": None}, {"required": True}, {"required": [1]}, {"enum": None}, {"type": 5}, {"type": "text"},
+                {"type": []}, {"properties": 1}, {"items": "x"}, {"additionalProperties": "no"}, {"maxItems": True}):
+        for value in ("x", 1, None, [], {}, {"a": 1}):
+            assert check(value, bad) == 1, (bad, value)
+    assert [check({}, s) for s in (True, None, False, 3)] == [0, 0, 1, 1]
+    assert [check(v, {"enum": [1, "a"]}) for v in (1, True, "a", 1.0)] == [0, 1, 0, 0]
+    deep = "[" * 700 + "]" * 700
+    schema = '{"items":' * 700 + "{}" + "}" * 700
+    assert cf.call_errors(deep, schema) in (0, 1) and cf.call_errors(deep, None) == 0
+
+
+def test_input_that_broke_programs(spark):
+    tools = lambda schema: json.dumps({"tools": [{"name": "add", "parameters": schema}]})
+    odd = '{"tool_calls":[{"id":"c","name":"add","arguments":%s}]}'
+    texts = [
+        odd % '{"a":"\\ud800"}', odd % '"{\\"a\\": NaN}"', odd % '{"a":1e999}', odd % '{"a":NaN}', '{"tool_calls":[{"id":"\\udfff","name":"\\ud800"}]}', "{" * 100_000,
+        '{"a":' * 50_000 + "1" + "}" * 50_000, odd % "null", odd % '"[1"', '{"tool_calls":{"id":1}}', '{"tool_calls":[1,null,{"function":3}],"tools":[{"name":3,"parameters":[]}]}', odd % ("9" * 5000),
+    ]
+    rows = [(k, 0, "system", tools({"type": "object", "pattern": "("})) for k in range(len(texts))] + [(k, 1, "assistant", t) for k, t in enumerate(texts)]
+    got = {r.conv_id: r for r in cf.chat_format(frame(spark, rows)).collect()}
+    assert sorted(got) == list(range(len(texts)))
 
+    def refuse(name):
+        raise AssertionError(name)
 
-def test_large_conversations_go_in_parts(spark):
-    rows = [(1, t, "user", f"m{t}") for t in range(25)] + [(2, 0, "user", f"n{t}") for t in range(25)] + [(3, 0, "user", "x")]
-    got = cf.chat_format(frame(spark, rows), part=10).collect()
-    parts = sorted((r.part, json.loads(r.messages)) for r in got if r.conv_id == 1)
-    assert [m["content"] for _, p in parts for m in p] == [f"m{t}" for t in range(25)]
-    assert sorted(m["content"] for r in got if r.conv_id == 2 for m in json.loads(r.messages)) == sorted(f"n{t}" for t in range(25))
-    assert len([r for r in got if r.conv_id == 2]) == 3 and len([r for r in got if r.conv_id == 3]) == 1
+    for k, r in got.items():
+        messages = json.loads(r.messages, parse_constant=refuse)
+        assert len(messages) == r.n_messages == 2
+    assert [got[k].n_calls for k in range(len(texts))] == [1, 1, 0, 0, 1, 0, 0, 1, 1, 0, 0, 0]
+    assert [got[k].n_invalid for k in (0, 1, 7, 8)] == [1, 1, 1, 1]  # the malformed pattern; arguments that are no object
 
 
 def test_query_keeps_every_message(spark, sf_dir):
