@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.runtime import stage
+from quillmesh.runtime import stage, unstage
 
-MOST_ROUNDS = 40
+#: Edges that a task contracts at once, before the first round.
+EDGES = 1 << 20
+
+
+def least_linked(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that these edges connect each to)."""
+    nodes, ids = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ids[: len(src)], ids[len(src) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (further := root[root] != root).any():
+            root = np.where(further, root[root], root)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same nodes: each run of EDGES in a task as stars, and a loop for each node that has one."""
+
+    def run(batches):
+        held: list = []
+
+        def stars():
+            src, dst = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+            nodes, roots = least_linked(src, dst)
+            below, loops = nodes != roots, np.unique(src[src == dst])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, loops])) for x in (nodes[below], roots[below])], names=["src", "dst"])
+
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= EDGES:
+                yield stars()
+                held, size = [], 0
+        if size:
+            yield stars()
+
+    return edges.mapInArrow(run, "src long, dst long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,23 +68,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of (src, dst) edges: component is its least node.
+    """(node, component) for every node of (src, dst) edges of whole numbers: component is its least node.
 
-    A round costs two joins on the node; the edges shrink to one a node, so hubs are met by
-    pre-aggregated minima. Self loops name a node without linking it.
+    Edges are first contracted where they stand. A round costs two joins on the node; the edges
+    shrink to one a node, so hubs are met by pre-aggregated minima. Rounds go on until one changes
+    nothing, told by the number and the sum of hashes of the edges; each frees what the one before
+    wrote. Self loops name a node without linking it.
     """
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    nodes = stage(down, "edges")
-    star = nodes.where("src != dst")
-    for _ in range(MOST_ROUNDS):
-        above = star.join(star.select(F.col("dst").alias("src")), "src", "left_semi").select("src")
-        split = star.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
-        if above.union(split).isEmpty():  # every node below one root, no root below another
+    whole = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    first = stage(_contracted(whole).distinct(), "edges")
+    star, kept = first.where("src != dst"), first.where("src = dst")
+    seen = staged = None
+    while True:
+        state = star.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
             break
-        star = stage(_small_star(_large_star(star)), "stars")
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+        seen, star, before = state, stage(_small_star(_large_star(star)), "stars"), staged
+        if before is not None:
+            unstage(before)
+        staged = star
     roots = star.select(F.col("dst").alias("node"), F.col("dst").alias("component"))
-    lone = nodes.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    lone = kept.select(F.col("src").alias("node"), F.col("src").alias("component"))
     found = star.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots).union(lone)
     return found.groupBy("node").agg(F.min("component").alias("component"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -59,13 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a local folder made and set.
+    Only where the session names none and the master is local (tests, a laptop) is a local folder made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -85,8 +89,25 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
 
 
 def unstage(frame: DataFrame) -> None:
-    """Delete the files behind a staged frame once no later plan reads them."""
+    """Delete the files behind a staged frame once no later plan reads them. Of any other frame nothing is deleted."""
     spark = frame.sparkSession
+    own = re.sub(r"^[a-z0-9]*:?/*", "/", f"{shared_dir(spark)}/staged/")
     for name in {os.path.dirname(f) for f in frame.inputFiles()}:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        if own in name:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def numbered(frame: DataFrame, label: str, *order, rows: int = 50_000) -> DataFrame:
+    """frame, staged, with `_number`, from 0 in the order of the columns: sorted by ranges, no range over about `rows` rows of unlike keys.
+
+    Ranges are drawn from a sample, so what each holds is written before its rows are counted.
+    """
+    ranges = max(1, -(-frame.count() // rows))
+    found = stage(frame.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), label)
+    before = (
+        found.groupBy("_range").agg(F.count("*").alias("n"))
+        .select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    )  # fmt: skip  a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return found.withColumn("_own", own).join(before, "_range").withColumn("_number", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
