@@ -123,11 +123,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """c, digest, first (its first document), copies, text_key, n, sketch, keys: a row for each shingle set."""
+    """c, digest, first (its first document), copies, n, sketch, keys: a row for each shingle set."""
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_key"))
     return (
         sketched.where("n > 0").groupBy("digest")
-        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
         .withColumn("c", F.monotonically_increasing_id())
     )
 
@@ -187,17 +187,32 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
 
 def verified_links(found: DataFrame, clusters: DataFrame, docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(c, root, n_links, linked_copies) for each block pair in which a class has links."""
-    members = with_blocks(clusters.join(found.select(F.col("c").alias("node"), "digest", "text_key", "copies", "n"), "node"), "component", "node", "n")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    wanted = found.select(F.col("c").alias("node"), "digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "copies", "n")
+    members = with_blocks(clusters.join(wanted, "node"), "component", "node", "n")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def grams(batches):
+        met: set[int] = set()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
-            out = [*(batch.column(k) for k in ("node", "component", "_block", "_blocks", "copies")), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["node", "component", "_block", "_blocks", "copies", "grams"]).filter(pa.array(same, pa.bool_()))
-
-    with_sets = members.join(texts, "text_key").select("node", "component", "_block", "_blocks", "copies", "digest", "text")
+            sets, keep = [], []
+            for node, text, digest in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "digest")), strict=True):
+                own = None
+                if node not in met:  # repeated rows of the one document that stands for a class come together
+                    own = shingles(text)
+                    own = own if xxhash.xxh3_128_digest(own.tobytes()) == digest else None
+                keep.append(own is not None)
+                if own is not None:
+                    sets.append(own.tobytes())
+                    met.add(node)
+            if len(met) > 500_000:
+                met.clear()
+            batch = batch.filter(pa.array(keep, pa.bool_()))
+            out = [*(batch.column(k) for k in ("node", "component", "_block", "_blocks", "copies")), pa.array(sets, pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["node", "component", "_block", "_blocks", "copies", "grams"])
+
+    # One document a class, its first, brings the text: copies stay where they are.
+    with_sets = members.join(texts, (members["text_key"] == texts["text_key"]) & members["first_id"].eqNullSafe(texts["doc_id"]))
+    with_sets = with_sets.select("node", "component", "_block", "_blocks", "copies", "digest", "text")
     with_sets = with_sets.mapInArrow(grams, "node long, component long, _block int, _blocks int, copies long, grams binary")
     up, down = threshold.numerator, threshold.denominator
 
@@ -208,7 +223,7 @@ def verified_links(found: DataFrame, clusters: DataFrame, docs: DataFrame, thres
 
     def verify(batches):
         for _, i, j, c, block, copies, sets in runs(batches, 3, read):
-            once = np.concatenate([[True], c[1:] != c[:-1]])  # copies of one text come together
+            once = np.concatenate([[True], c[1:] != c[:-1]])  # repeated rows of one document
             c, block, copies, sets = c[once], block[once], copies[once], sets[once]
             if len(c) < 2:
                 continue
@@ -267,16 +282,17 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate component, in docs' own columns; rows without words all stay."""
+    """One row of each near-duplicate component, in docs' own columns, whatever their names; rows without words all stay."""
     judged = stage(ngram_jaccard_join(docs), "near-duplicates")
-    key = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_key") == F.col("text_key")]
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "text_key").distinct()
-    left = docs.withColumn("_key", F.xxhash64("text")).join(gone, key, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    key = [F.col("own_id").eqNullSafe(F.col("doc_id")), F.col("own_key") == F.col("text_key")]
+    gone = judged.where(~F.col("kept")).select("doc_id", "text_key").distinct()
+    left = rows.join(gone, key, "left_anti")
     # Rows alike in id and text: all carry the verdict, one stays.
-    again = judged.where("kept AND n_linked_docs > 0").groupBy(F.col("doc_id").alias("_id"), "text_key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    lone = left.join(again, key, "left_anti").drop("_key")
-    one = left.join(again, key, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return lone.unionByName(one)
+    again = judged.where("kept AND n_linked_docs > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    lone = left.join(again, key, "left_anti")
+    one = left.join(again, key, "left_semi").groupBy("own_id", "own_key").agg(F.first("row").alias("row"))
+    return lone.select("row").unionByName(one.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
