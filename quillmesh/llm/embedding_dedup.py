@@ -9,6 +9,8 @@ key are compared (in blocks) by cosine in double precision, which connects them;
 each connected cluster are compared (in blocks), so a link counts even where only other links led
 there. No pair is emitted: a class leaves with its number of links and a root.
 
+Vectors are divided by their largest magnitude first, so that no norm over- or underflows.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those
 without a label, link with nothing and are kept; vectors of different lengths never link; repeated
 rows and equal vectors link with each other; a null vec_id takes part and names no component unless
@@ -86,8 +88,24 @@ def polytope_keys(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHE
     return np.array(out).T
 
 
-def matrix(column, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).astype(np.float64)
+def matrix(column: list, kind: str) -> np.ndarray:
+    """Vectors of one length as rows, each divided by its largest magnitude: no square of one over- or underflows."""
+    v = np.frombuffer(b"".join(column), kind).astype(np.float64).reshape(len(column), -1)
+    return v / np.abs(v).max(axis=1, keepdims=True)
+
+
+def alike(labels: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
+    """The rows of each label and length."""
+    groups: dict = {}
+    for k, key in enumerate(zip(labels.tolist(), map(len, raw), strict=True)):
+        groups.setdefault(key, []).append(k)
+    return [np.array(g) for g in groups.values()]
+
+
+def objects(column) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
 
 
 def vector_classes(rows: DataFrame, kind: str) -> DataFrame:
@@ -116,29 +134,26 @@ def connected(found: DataFrame, kind: str, cosine: float) -> DataFrame:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                keys = polytope_keys(matrix([vectors[k] for k in at], kind).reshape(len(at), -1))
+                keys = polytope_keys(matrix([vectors[k] for k in at], kind))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(list(keys), pa.list_(pa.int64()))], names=["c", "keys"])
 
     keys = found.select("c", "dim", "vector").mapInArrow(keyed, "c long, keys array<long>").withColumn("key", F.explode(F.array_distinct("keys"))).drop("keys")
     named = keys.join(found.select("c", "label", "dim"), "c").select("c", F.xxhash64("label", "dim", "key").alias("key"))
-    entries = with_blocks(named, "key", "c").join(found.select("c", "vector"), "c")
+    entries = with_blocks(named, "key", "c").join(found.select("c", "label", "vector"), "c")
 
     def read(batch):
-        out = np.empty(batch.num_rows, object)
-        out[:] = batch.column("vector").to_pylist()
-        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "c")), out]
+        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "c")), objects(batch.column("label")), objects(batch.column("vector"))]
 
     def connect(batches):
         src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, _, c, raw in runs(batches, 3, read):
-            if len({len(v) for v in raw}) > 1:
-                continue  # a hash shared by chance
-            v = matrix(raw, kind).reshape(len(c), -1)
-            norm = _norms(v)
-            roots = linked_roots(len(c), lambda one, others, v=v, norm=norm: v[others] @ v[one] >= cosine * norm[others] * norm[one])
-            linked = roots != np.arange(len(c))
-            src.append(c[linked])
-            dst.append(c[roots[linked]])
+        for *_, c, label, raw in runs(batches, 3, read):
+            for own in alike(label, raw):  # a bucket's name is a hash: others may share it by chance
+                v, ids = matrix(list(raw[own]), kind), c[own]
+                norm = _norms(v)
+                roots = linked_roots(len(ids), lambda one, others, v=v, norm=norm: v[others] @ v[one] >= cosine * norm[others] * norm[one])
+                linked = roots != np.arange(len(ids))
+                src.append(ids[linked])
+                dst.append(ids[roots[linked]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
     return components(in_pairs(entries, "key", "c").mapInArrow(connect, "src long, dst long"))
@@ -149,16 +164,14 @@ def counted(found: DataFrame, clusters: DataFrame, kind: str, cosine: float) ->
     members = with_blocks(clusters.join(found.select(F.col("c").alias("node"), "label", "vector", "copies"), "node"), "component", "node")
 
     def read(batch):
-        out = np.empty(batch.num_rows, object)
-        out[:] = batch.column("vector").to_pylist()
-        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "node", "_block", "copies")), out]
+        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "node", "_block", "copies")), objects(batch.column("vector"))]
 
     def count(batches):
         for _, i, j, c, block, copies, raw in runs(batches, 3, read):
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             if not len(left) or not len(right):
                 continue
-            v = matrix(raw, kind).reshape(len(c), -1)
+            v = matrix(list(raw), kind)  # links connect vectors of one label and length only
             norm = _norms(v)
             link = v[left] @ v[right].T >= cosine * norm[left][:, None] * norm[right][None, :]
             link &= left[:, None] != right[None, :]
@@ -215,7 +228,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+s AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM s),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) >= 0.93 * a.norm * b.norm),

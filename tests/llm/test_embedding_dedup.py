@@ -49,6 +49,18 @@ def test_equals_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_tiny_and_huge_vectors(spark):
+    vectors = [[1e-200, 0.5e-200], [1.0, 2.0], [2.0, 1.0], [1e200, 2e200], [5e-324, 0.0], [3.0, 0.01], [1.7e308, -1.7e308], [1.0, -1.0], [-0.0, 1.0], [0.0, 4.0]]
+    frame = spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(frame).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 1, 8), (9, 1, 8)]
+
+
+def test_a_bucket_shared_by_chance_is_told_apart():
+    labels, raw = np.array([1, 2, 1, 1, 2], object), np.array([b"12345678", b"12345678", b"1234567812345678", b"87654321", b"abcdefgh"], object)
+    assert [g.tolist() for g in embedding_dedup.alike(labels, raw)] == [[0, 3], [1, 4], [2]]
+
+
 def test_blocks(spark, monkeypatch):
     import quillmesh.llm.blocks as blocks
 
