@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmesh.llm.worker_state import only
 from quillmesh.runtime import table
@@ -122,11 +123,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """(place, text, toxic): at most `most` labelled documents outside the held-out fold, in hash order."""
+    """(place, text, toxic): at most `most` rows of labelled documents outside the held-out fold, in hash order of ids and texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
     # `most` ids and labels: a proven bound.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "toxic")
+    return rows.orderBy("place", F.xxhash64("text"), "text").limit(most)  # an id may have more rows than one
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[np
     return got.i.to_numpy(np.int64), got.w.to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], kept: list[str] | None = None) -> DataFrame:
-    """docs' columns `kept` and `_score`, from 0 to 1. One pass; the weights are broadcast."""
-    kept = docs.columns if kept is None else kept
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.sparkSession.createDataFrame([], docs.schema).select(*kept).withColumn("_score", F.lit(0.0)).schema
+def score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(row, score) of (row, text) rows, scores from 0 to 1. One pass; the weights are broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         index, values = shared.value
@@ -154,24 +155,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], kept: list[str]
         bias = float(dense[BIAS])
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column("_text").to_pylist()):
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 i = feature_ids(text)
                 i = np.unique(i[dense[i] != 0])
                 out[k] = bias + dense[i].sum(dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=["row", "score"])
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.select("row", "text").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    scored = score(docs, train(docs, labels), ["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs.select(F.col("doc_id").alias("row"), "text"), train(docs, labels)).withColumnRenamed("row", "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, in docs' own columns."""
-    return score(docs, train(docs, labels)).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    """The rows of docs that are not rejected, in docs' own columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = score(rows, train(docs, labels)).where(F.col("score") < THRESHOLD)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

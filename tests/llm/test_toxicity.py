@@ -48,6 +48,16 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     assert {r.score for r in toxicity.toxicity(frame, known.limit(0)).collect()} == {0.5}
 
 
+def test_the_bound_holds_for_rows(spark):
+    docs, labels = corpus(60)
+    again = next(k for k, _ in docs if zlib.crc32(str(k).encode()) % 3 != 1)
+    frame = spark.createDataFrame(docs + [(again, f"again {k}") for k in range(500)], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.training_rows(frame, known, 50).collect()
+    assert len(rows) == 50
+    assert toxicity.training_rows(frame.repartition(7), known, 50).collect() == rows
+
+
 def test_drop_toxic_keeps_columns(spark):
     docs, labels = corpus(150)
     frame = spark.createDataFrame([(t, k, 2.0) for k, t in docs], "text string, doc_id long, score double")
