@@ -1,98 +1,97 @@
 """Mixing sources to target weights, block by block.
 
 Each source is a stream of words, its documents laid end to end, cut into blocks of `block` words.
-A mix has as many words as the corpus; its slots (one block each) lie in output shards. Each shard
-draws its sources' slot counts from a multinomial whose weights are the slots that the sources have
-still to place, so that every source ends at its target exactly. A source's j-th slot takes the
-block that a keyed permutation of its blocks puts at place j: every block comes once before any
-comes twice. Slots and blocks are joined by (source, block).
+A mix has as many words as the corpus; its slots (one block each) are dealt to output shards: each
+source draws its slot counts over the shards from a multinomial, halved level by level down a tree of
+shards, so that every source ends at its target exactly and a shard's counts are those of a multinomial
+over sources. A source's j-th slot takes the block that a keyed permutation of its blocks puts at
+place j: every block comes once before any comes twice. Slots and blocks are joined by (source, block).
 
-Nothing is sorted or gathered by source: word offsets are prefix sums over (source, hash bucket),
-so a source with a third of all rows is spread over as many tasks as any other third.
+Nothing is sorted or gathered by source: word offsets are prefix sums over (source, hash bucket), so
+a source with a third of all rows is spread over as many tasks as any other third. Sources are rows
+of a table, of any number: they are ranked by sorted ranges, their targets are found by a few sums
+over them, and each draws its slots by itself; slots are placed in runs of RUN over many tasks.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, the
 last; a null doc_id is kept; repeated rows are documents of their own, each with its own words; an
-empty table or one without words gives targets 0; extra columns are not read.
+empty table or one without words gives targets 0; extra columns are not read, and those of the rows
+that `mix_documents` carries may have any name.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmesh.runtime import stage, table
+from quillmesh.runtime import numbered, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 MOST = 3
 SEED = 20
-#: A mix names each source's weight on the driver; more sources than this are refused, not dropped.
-MAX_SOURCES = 100_000
-#: Slots of an output shard; a corpus of over MAX_SHARDS such shards gets larger ones.
+#: Slots of an output shard, about.
 SHARD_SLOTS = 1 << 16
-MAX_SHARDS = 1 << 14
+#: Slots that are placed in one go, and by one task, about.
+RUN = 1 << 12
+TASK_SLOTS = 20_000
 BUCKET_ROWS = 20_000
 
 
-def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
-    """Each source's words in the mix: all sizes shared by weight, at most `most` times a source, the excess shared again."""
-    out = [Fraction(0)] * len(sizes)
-    rest, active = Fraction(sum(sizes)), [k for k, s in enumerate(sizes) if s]
-    while active:
-        total = sum(Fraction(weights[k]) for k in active)
-        over = [k for k in active if rest * Fraction(weights[k]) > total * most * sizes[k]]
-        if not over:
-            for k in active:
-                out[k] = rest * Fraction(weights[k]) / total
+def with_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """Adds `target` to (size, weight) rows: all sizes shared by weight, at most `most` times a source, the excess shared again.
+
+    What is over its most keeps that; the rest is shared over the others, until none is over: each
+    round is two exact sums over the sources, and takes at least one of them out.
+    """
+    size, weight = F.col("size").cast("decimal(38,0)"), F.col("weight").cast("decimal(38,0)")
+    total = sources.agg(F.sum(size)).first()[0] or 0
+    rest, weights, over = int(total), None, F.lit(False)
+    while True:
+        state = sources.where("size > 0").where(~over).agg(F.sum(weight)).first()[0] or 0
+        kept = sources.where("size > 0").where(over).agg(F.sum(size)).first()[0] or 0
+        if weights == int(state):
             break
-        for k in over:
-            out[k] = Fraction(most * sizes[k])
-        rest -= sum(out[k] for k in over)
-        active = [k for k in active if k not in set(over)]
-    return [float(x) for x in out]
+        weights, rest = int(state), int(total) - most * int(kept)
+        if not weights:
+            break
+        # Over for good: a source taken out leaves more to each of the others.
+        over = (size * F.lit(most * weights).cast("decimal(38,0)") < weight * F.lit(rest).cast("decimal(38,0)"))
+    share = weight.cast("double") * F.lit(float(rest)) / F.lit(float(weights or 1))
+    return sources.withColumn("target", F.when(F.col("size") == 0, F.lit(0.0)).when(over, F.col("size").cast("double") * most).otherwise(share))
 
 
 @dataclass
 class Mix:
-    """A mix's plan: per source its words, blocks, target and slots; per shard and source the slots drawn."""
-
-    sources: list
-    sizes: list[int]
-    blocks: list[int]
-    targets: list[float]
-    slots: list[int]
-    drawn: np.ndarray  # shard x source
-
-
-def draw(slots: list[int], seed: int, shard_slots: int = SHARD_SLOTS) -> np.ndarray:
-    """Slot counts of each shard and source: one multinomial a shard over what is still to place."""
-    left = np.array(slots, dtype=np.int64)
-    total = int(left.sum())
-    shard_slots = max(shard_slots, -(-total // MAX_SHARDS))
-    rng = np.random.default_rng(seed)
-    rows = []
-    while total:
-        room = min(shard_slots, total)
-        counts = np.zeros_like(left)
-        while room:
-            got = np.minimum(rng.multinomial(room, left / left.sum()), left)
-            counts, left, room = counts + got, left - got, room - int(got.sum())
-        rows.append(counts)
-        total -= int(counts.sum())
-    return np.array(rows, dtype=np.int64).reshape(len(rows), len(slots))
-
-
-def make_mix(sources: list, sizes: list[int], weights: list[float], block: int, seed: int) -> Mix:
-    goal = targets(sizes, weights)
-    blocks = [-(-s // block) for s in sizes]
-    slots = [min(MOST * n, round(Fraction(t) * n / s)) if s else 0 for t, n, s in zip(goal, blocks, sizes, strict=True)]
-    return Mix(sources, sizes, blocks, goal, slots, draw(slots, seed))
+    """A mix's plan: (source, source_id, size, n, weight, target, blocks, slots) for every source, staged, and the sums of its rows and slots."""
+
+    sources: DataFrame
+    n_rows: int
+    n_slots: int
+
+    @property
+    def shards(self) -> int:
+        return max(1, -(-self.n_slots // SHARD_SLOTS))
+
+
+def split(slots: int, shards: int, seed: int, source_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, counts): a multinomial draw of so many slots over equal shards, none left over; shards without any aren't named."""
+    rng = np.random.default_rng((seed, source_id))
+    low, width, count = np.array([0]), np.array([shards]), np.array([slots])
+    while len(width) and width.max() > 1:
+        left = width // 2
+        first = np.where(width > 1, rng.binomial(count, left / width), 0)
+        low = np.stack([low, low + left], axis=1).ravel()
+        count = np.stack([first, count - first], axis=1).ravel()
+        width = np.stack([left, width - left], axis=1).ravel()
+        some = count > 0
+        low, width, count = low[some], width[some], count[some]
+    return low[count > 0], count[count > 0]
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -121,31 +120,33 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs and `size`, with a row id that stays (`rid`): staged."""
+    """(rid, doc_id, source, size, row): every row of docs whole, its words counted, with a row id that stays once staged."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("size", size).withColumn("rid", F.monotonically_increasing_id())
-
-
-def plan_mix(base: DataFrame, weights=None, block: int = BLOCK, seed: int = SEED) -> tuple[Mix, int]:
-    """The plan for staged (rid, doc_id, source, size) rows, and their number."""
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: group them before mixing")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sources = [r["source"] for r in found]
-    of = [weights[s] for s in sources] if weights else [1 + k % 3 for k in range(len(sources))]
-    return make_mix(sources, [r["size"] for r in found], of, block, seed), sum(r["n"] for r in found)
-
-
-def offsets(base: DataFrame, mix: Mix, n_rows: int) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), row.alias("row"), F.monotonically_increasing_id().alias("rid"))
+
+
+def plan_mix(base: DataFrame, weights: dict | None = None, block: int = BLOCK) -> Mix:
+    """The plan for staged (rid, doc_id, source, size) rows; `weights` gives the whole-number weight of every source, else they weigh 1, 2, 3, repeating."""
+    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    ranked = numbered(stage(found, "sources"), "source-ranks", F.col("source").isNull(), F.col("source")).withColumnRenamed("_number", "source_id")
+    if weights is None:
+        ranked = ranked.withColumn("weight", F.col("source_id") % 3 + 1)
+    else:
+        given = base.sparkSession.createDataFrame([(s, int(w)) for s, w in weights.items()], "named string, weight long")
+        ranked = ranked.join(given, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    blocks = F.expr(f"(size + {block - 1}) div {block}")
+    slots = F.when(F.col("size") > 0, F.least(F.col("blocks") * MOST, F.rint(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))).otherwise(F.lit(0).cast("long"))
+    sources = stage(with_targets(stage(ranked, "weights")).withColumn("blocks", blocks).withColumn("slots", slots), "mix-plan")
+    sums = sources.agg(F.sum("n"), F.sum("slots")).first()
+    return Mix(sources, sums[0] or 0, sums[1] or 0)
+
+
+def offsets(base: DataFrame, mix: Mix) -> DataFrame:
     """Adds source_id, source_size, target and `start`, the words of its source before the document."""
-    spark = base.sparkSession
-    known = spark.createDataFrame(
-        [(s, k, mix.sizes[k], mix.targets[k]) for k, s in enumerate(mix.sources)] or [(None, 0, 0, 0.0)],
-        "named string, source_id int, source_size long, target double",
-    )
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    keyed = base.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("named"))).drop("named")  # MAX_SOURCES rows at most
+    known = mix.sources.select(F.col("source").alias("named"), "source_id", F.col("size").alias("source_size"), "target")
+    buckets = max(1, -(-mix.n_rows // BUCKET_ROWS))
+    keyed = base.join(known, F.col("source").eqNullSafe(F.col("named"))).drop("named")  # broadcast by the planner, if small by its files
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     earlier = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -173,29 +174,37 @@ def block_parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def slot_blocks(spark: SparkSession, mix: Mix, seed: int = SEED) -> DataFrame:
+def slot_blocks(mix: Mix, seed: int = SEED) -> DataFrame:
     """(shard, source_id, slot, block): what each slot of the mix takes."""
-    first = np.cumsum(mix.drawn, axis=0) - mix.drawn
-    shards, sources = np.nonzero(mix.drawn)
-    rows = pd.DataFrame({
-        "shard": shards, "source_id": sources, "first": first[shards, sources], "n": mix.drawn[shards, sources],
-        "blocks": np.array(mix.blocks, dtype=np.int64)[sources],
-    })
-    schema = "shard long, source_id long, first long, n long, blocks long"
-    plan = spark.createDataFrame(rows.astype("int64"), schema) if len(rows) else spark.createDataFrame([], schema)
+    shards = mix.shards
+
+    def draw(batches):
+        for batch in batches:
+            for source, slots, blocks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                names, counts = split(slots, shards, seed, source)
+                first = np.cumsum(counts) - counts
+                each = -(-counts // RUN)  # runs of a shard
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                begin, left = np.repeat(first, each) + at * RUN, np.repeat(counts, each) - at * RUN
+                for k in range(0, len(begin), 1 << 14):
+                    part = slice(k, k + (1 << 14))
+                    columns = [np.repeat(names, each)[part], None, begin[part], np.minimum(left[part], RUN), None]
+                    columns[1], columns[4] = np.full(len(columns[0]), source), np.full(len(columns[0]), blocks)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "source_id", "first", "n", "blocks"])
 
     def place(batches):
         for rows in batches:
             for shard, source, first, n, blocks in rows.itertuples(index=False):
-                for at in range(first, first + n, 1 << 16):
-                    slots = np.arange(at, min(at + (1 << 16), first + n), dtype=np.int64)
-                    taken = np.empty_like(slots)
-                    for epoch in range(int(slots[0]) // blocks, int(slots[-1]) // blocks + 1):
-                        here = slots // blocks == epoch
-                        taken[here] = permuted(slots[here] % blocks, blocks, seed * 1_000_003 + source * 101 + epoch)
-                    yield pd.DataFrame({"shard": shard, "source_id": source, "slot": slots, "block": taken})
+                slots = np.arange(first, first + n, dtype=np.int64)
+                taken = np.empty_like(slots)
+                for epoch in range(int(slots[0]) // blocks, int(slots[-1]) // blocks + 1):
+                    here = slots // blocks == epoch
+                    taken[here] = permuted(slots[here] % blocks, blocks, seed * 1_000_003 + source * 101 + epoch)
+                yield pd.DataFrame({"shard": shard, "source_id": source, "slot": slots, "block": taken})
 
-    return plan.repartition(F.col("shard"), F.col("source_id")).mapInPandas(place, "shard long, source_id int, slot long, block long")
+    runs = mix.sources.where("slots > 0").select("source_id", "slots", "blocks").mapInArrow(draw, "shard long, source_id long, first long, n long, blocks long")
+    tasks = max(1, -(-mix.n_slots // TASK_SLOTS))
+    return runs.repartition(tasks, "source_id", "first").mapInPandas(place, "shard long, source_id long, slot long, block long")
 
 
 def taken_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
@@ -207,9 +216,9 @@ def taken_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
 
 def mix_taken(docs: DataFrame, weights=None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs."""
-    base = stage(sized(docs).select("rid", "doc_id", F.col("source").cast("string").alias("source"), "size"), "mix-sizes")
-    mix, n_rows = plan_mix(base, weights, block, seed)
-    parts = taken_parts(block_parts(offsets(base, mix, n_rows), block), slot_blocks(docs.sparkSession, mix, seed))
+    base = stage(sized(docs).drop("row"), "mix-sizes")
+    mix = plan_mix(base, weights, block)
+    parts = taken_parts(block_parts(offsets(base, mix), block), slot_blocks(mix, seed))
     return (
         parts.groupBy("rid").agg(
             *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")],
@@ -220,13 +229,13 @@ def mix_taken(docs: DataFrame, weights=None, block: int = BLOCK, seed: int = SEE
 
 def mix_shards(docs: DataFrame, weights=None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself: (shard, source, slot, block, words), one row a slot, its words joined by single spaces."""
-    base = stage(sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")), "mix-texts")
-    mix, n_rows = plan_mix(base, weights, block, seed)
-    parts = block_parts(offsets(base, mix, n_rows), block).where("block IS NOT NULL")
+    base = stage(sized(docs.select("doc_id", "source", "text")).withColumn("text", F.col("row.text")).drop("row"), "mix-texts")
+    mix = plan_mix(base, weights, block)
+    parts = block_parts(offsets(base, mix), block).where("block IS NOT NULL")
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
     pieces = parts.select("source_id", "source", "block", (F.col("start") + F.col("lo")).alias("at"), words.alias("words"))
     blocks = pieces.groupBy("source_id", "source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("parts"))  # `block` words at most
-    joined = slot_blocks(docs.sparkSession, mix, seed).join(blocks, ["source_id", "block"])
+    joined = slot_blocks(mix, seed).join(blocks, ["source_id", "block"])
     return joined.select("shard", "source", "slot", "block", F.array_join(F.transform("parts", lambda p: p["words"]), " ").alias("words"))
 
 
@@ -237,16 +246,11 @@ def mix_documents(docs: DataFrame, weights=None, block: int = BLOCK, seed: int =
     returns these, each as it stands in the text, joined by single spaces. Documents of which no
     block is taken are gone; one that is taken three times has three rows.
     """
-    kept = docs.columns
     base = stage(sized(docs), "mix-documents")
-    mix, n_rows = plan_mix(base, weights, block, seed)
-    narrow = base.select("rid", "doc_id", F.col("source").cast("string").alias("source"), "size")
-    parts = taken_parts(block_parts(offsets(narrow, mix, n_rows), block), slot_blocks(docs.sparkSession, mix, seed))
+    mix = plan_mix(base, weights, block)
+    parts = taken_parts(block_parts(offsets(base.drop("row"), mix), block), slot_blocks(mix, seed))
     # At most a document's own blocks come together.
     ranges = parts.where("times > 0").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("ranges"))
-    schema = docs.sparkSession.createDataFrame([], base.schema).select(*kept).schema
-    at = kept.index("text")
-    chars = kept.index("n_chars") if "n_chars" in kept else None
 
     def cut(batches):
         import re
@@ -272,13 +276,16 @@ def mix_documents(docs: DataFrame, weights=None, block: int = BLOCK, seed: int =
                         places = places or [m.span() for m in word.finditer(text)]
                         rows.append(k)
                         out.append(" ".join(text[places[lo][0] : places[hi - 1][1]] for lo, hi in runs))
-            taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in kept]
-            taken[at] = pa.array(out, pa.string())
-            if chars is not None:
-                taken[chars] = pa.array([len(t) for t in out], pa.int64()).cast(batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(taken, names=kept)
-
-    return base.join(ranges, "rid").select(*kept, "ranges", "size").mapInArrow(cut, schema)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], names=["row", "taken"])
+
+    # The text goes by itself, so that a row that is taken again doesn't carry it twice.
+    bare = F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"], F.lit(0).alias("_"))
+    joined = base.join(ranges, "rid").select(bare.alias("row"), F.col("row.text").alias("text"), "ranges", "size")
+    schema = T.StructType([joined.schema["row"], T.StructField("taken", T.StringType())])
+    changed = {"text": F.col("taken")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("taken").cast(docs.schema["n_chars"].dataType)
+    return joined.mapInArrow(cut, schema).select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

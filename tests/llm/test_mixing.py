@@ -1,7 +1,10 @@
+import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import mixing
@@ -9,12 +12,26 @@ from quillmesh.llm import mixing
 WORD = re.compile(mixing.WORD)
 
 
-def test_targets_reshare_what_capped_sources_cannot_take():
-    assert mixing.targets([10, 10, 10], [1, 2, 3]) == [5.0, 10.0, 15.0]
-    got = mixing.targets([100, 1, 100], [1, 5, 1])
-    assert got[1] == 3.0 and got[0] == got[2] == 99.0
-    assert mixing.targets([0, 5], [1, 1]) == [0.0, 5.0]
-    assert mixing.targets([], []) == []
+def brute_targets(sizes, weights, most=mixing.MOST):
+    """All sizes shared by weight, the excess over `most` times a size shared again, in fractions."""
+    out, rest, active = [Fraction(0)] * len(sizes), Fraction(sum(sizes)), [k for k, s in enumerate(sizes) if s]
+    while active:
+        total = sum(weights[k] for k in active)
+        over = [k for k in active if rest * weights[k] > total * most * sizes[k]]
+        for k in over or active:
+            out[k] = Fraction(most * sizes[k]) if over else rest * weights[k] / total
+        rest -= sum(out[k] for k in over)
+        active = [k for k in active if k not in over] if over else []
+    return [float(x) for x in out]
+
+
+def test_targets_reshare_what_capped_sources_cannot_take(spark):
+    rng = random.Random(3)
+    cases = [([10, 10, 10], [1, 2, 3]), ([100, 1, 100], [1, 5, 1]), ([0, 5], [1, 1]), ([], []), ([7], [2])]
+    cases += [([rng.choice([0, 1, 10, 100, 10**6, 10**12]) * rng.randint(1, 9) for _ in range(n)], [rng.randint(1, 9) for _ in range(n)]) for n in (2, 5, 9, 30)]
+    for sizes, weights in cases:
+        frame = spark.createDataFrame([(k, s, w) for k, (s, w) in enumerate(zip(sizes, weights, strict=True))], "k int, size long, weight long")
+        assert [r.target for r in mixing.with_targets(frame).orderBy("k").collect()] == pytest.approx(brute_targets(sizes, weights), rel=1e-15)
 
 
 def test_permutation_is_one_and_reruns_agree():
@@ -24,10 +41,51 @@ def test_permutation_is_one_and_reruns_agree():
     assert (mixing.permuted(np.arange(1000), 1000, 7) != mixing.permuted(np.arange(1000), 1000, 8)).any()
 
 
-def test_draw_meets_every_target():
-    drawn = mixing.draw([1000, 0, 5, 70000], 1, 1 << 10)
-    assert list(drawn.sum(axis=0)) == [1000, 0, 5, 70000]
-    assert set(drawn.sum(axis=1)[:-1]) == {1 << 10}
+def test_a_split_is_a_multinomial_draw():
+    for slots, shards in ((0, 5), (1, 1), (7, 1000), (70_000, 13), (5000, 64)):
+        names, counts = mixing.split(slots, shards, 1, 4)
+        assert counts.sum() == slots and (counts > 0).all() and len(set(names)) == len(names) and all(0 <= n < shards for n in names)
+        again = mixing.split(slots, shards, 1, 4)
+        assert (again[0] == names).all() and (again[1] == counts).all()
+    whole = np.zeros(13)
+    for k in range(400):
+        names, counts = mixing.split(130, 13, 2, k)
+        whole[names] += counts
+    assert abs(whole / 400 - 10).max() < 1
+
+
+def test_slots_take_every_block_before_any_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
+    monkeypatch.setattr(mixing, "RUN", 70)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 300)
+    sources = spark.createDataFrame([(0, 1000, 400), (1, 3, 9), (2, 900, 900), (3, 0, 5), (4, 1, 1)], "source_id long, slots long, blocks long")
+    mix = mixing.Mix(sources, 0, 1904)
+    found = mixing.slot_blocks(mix)
+    assert found.rdd.getNumPartitions() == 7
+    rows = found.collect()
+    for source, slots, blocks in ((0, 1000, 400), (1, 3, 9), (2, 900, 900), (4, 1, 1)):
+        own = [r for r in rows if r.source_id == source]
+        assert sorted(r.slot for r in own) == list(range(slots))
+        times = Counter(r.block for r in own)
+        assert set(times) <= set(range(blocks)) and max(times.values()) - min([times[k] for k in range(blocks)]) <= 1
+    shards = Counter(r.shard for r in rows)
+    assert set(shards) == set(range(4)) and max(shards.values()) < 600
+
+
+def test_sources_of_any_number(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', cast(1 + id % 5 AS int)) AS text")
+    rows = mixing.mix_taken(docs).collect()
+    assert len(rows) == 3000 and all(r.taken <= 3 * r.size for r in rows)
+    order = sorted(rows, key=lambda r: r.source.encode())
+    assert [r.target for r in order] == pytest.approx(brute_targets([r.size for r in order], [1 + k % 3 for k in range(3000)]), rel=1e-15)
+
+
+def test_clashing_columns_of_documents(spark):
+    names = ["rid", "size", "ranges", "row", "start", "block", "taken", "source_id", "text_key", "_key", "_bytes", "_score", "_text", "digest", "n", "score", "own_id", "c"]
+    docs = spark.createDataFrame([(k, "x y z " * (k + 1), "a", 1, *[7] * len(names)) for k in range(20)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
+    assert {tuple(r)[4:] for r in mixed.collect()} == {(7,) * len(names)}
 
 
 def test_query_on_all_documents(spark, sf_dir):
@@ -42,9 +100,9 @@ def test_query_on_all_documents(spark, sf_dir):
         taken[source] += r.taken
         target[source] = r.target
     order = sorted(sizes, key=lambda s: s.encode())
-    expected = mixing.targets([sizes[s] for s in order], [1 + k % 3 for k in range(len(order))])
+    expected = brute_targets([sizes[s] for s in order], [1 + k % 3 for k in range(len(order))])
     for s, t in zip(order, expected, strict=True):
-        assert target[s] == t and abs(taken[s] - t) <= mixing.BLOCK
+        assert abs(target[s] - t) <= 1e-9 * t and abs(taken[s] - t) <= mixing.BLOCK
     again = mixing.op4_source_mix(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 
