@@ -39,8 +39,8 @@ from quillmesh.runtime import stage, table
 
 LENGTH = 200
 GRAM = 64
-#: Contexts of one name that one task may hold (about 300 bytes each).
-GROUP = 100_000
+#: Places of one name whose contexts one task may hold and sort (about 300 bytes each).
+GROUP = 10_000
 #: Bytes handled at once; an index into them fits 20 bits.
 PIECE = 1 << 19
 UNIT = 4 << 20
@@ -143,7 +143,7 @@ def shared_windows(texts: list[bytes]) -> np.ndarray:
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     closed = np.cumsum(lengths + 1)
-    letters = np.zeros(int(closed[-1]), np.int64)
+    letters = np.zeros(int(closed[-1]), np.int32)
     inside = np.ones(len(letters), bool)
     inside[closed - 1] = False
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -153,10 +153,12 @@ def shared_windows(texts: list[bytes]) -> np.ndarray:
     for begin, length in zip((closed - lengths - 1).tolist(), lengths.tolist(), strict=True):
         starts[begin : begin + length - LENGTH + 1] = True
     order = suffix_array(letters)
-    windows = order[starts[order]]
+    windows = order[starts[order]].astype(np.int32)
+    del order
     words = np.zeros(len(letters) - 7, np.uint64)
     for k in range(8):
-        words = (words << np.uint64(8)) | letters[k : k + len(words)].astype(np.uint64) & np.uint64(255)
+        words <<= np.uint64(8)
+        words |= (letters[k : k + len(words)] & 255).astype(np.uint64)
     same = np.arange(len(windows) - 1)
     for at in (*range(LENGTH - 8, -1, -8), 0):
         same = same[words[windows[same] + at] == words[windows[same + 1] + at]]
@@ -332,7 +334,8 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     Texts that are copies of one another and share nothing else are not here: `copies` has them.
     """
     found = stage(all_samples(docs), "samples")
-    names = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    # Staged, so that a name that comes often is split over tasks where samples meet their counts.
+    names = stage(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
     places = (
         found.join(names, "name").groupBy("text_key")
         .agg(F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("n") > group, F.col("at"))).alias("crowded"))
@@ -381,15 +384,6 @@ def judged(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return rows.dropDuplicates(["digest"])
 
 
-def _verdicts(docs: DataFrame, group: int, *wanted: str) -> DataFrame:
-    """docs with `_`-named verdict columns; texts with copies lose all, from LENGTH bytes on."""
-    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(data))).withColumn("_bytes", F.length(data).cast("long"))
-    copied = docs.select(F.unhex(F.md5(data)).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    own = judged(docs, group).select(F.col("digest").alias("_digest"), *[F.col(c).alias(f"_{c}") for c in wanted])
-    return keyed.join(copied, "_digest", "left").join(own, "_digest", "left").withColumn("_whole", F.col("_copies").isNotNull() & (F.col("_bytes") >= LENGTH))
-
-
 def suffix_dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     narrow = docs.select("doc_id", "text")
@@ -407,12 +401,20 @@ def suffix_dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """docs without their repeated strings, in their own columns; n_chars follows the text."""
-    kept = docs.columns
-    rows = _verdicts(docs, group, "kept_text")
-    text = F.when(F.col("_whole"), F.lit("")).otherwise(F.coalesce("_kept_text", "text"))
-    chars = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in kept else None
-    return rows.select(*[text.alias("text") if c == "text" else chars if c == "n_chars" else F.col(c) for c in kept])
+    """docs without their repeated strings, in their own columns, whatever their names; n_chars follows the text."""
+    narrow = docs.select("doc_id", "text")
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(data)).alias("digest"), F.length(data).alias("n_bytes"))
+    copied = narrow.select(F.unhex(F.md5(data)).alias("digest")).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    own = judged(narrow, group).select("digest", "kept_text")
+    # A text with copies loses all, from LENGTH bytes on.
+    whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce("kept_text", F.col("row").getField("text")))
+    found = rows.join(copied, "digest", "left").join(own, "digest", "left").select("row", text.alias("text"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from quillmesh.llm import mixing, near_dup, packing, suffix_dedup, toxicity
 from tests.llm.test_near_dup import brute as near_brute
 from tests.llm.test_packing import check_packing
 from tests.llm.test_suffix_dedup import brute as suffix_brute
@@ -54,6 +55,20 @@ def test_stages_on_their_own_inputs(spark, sf_dir, tmp_path):
     assert pieces.where("piece = 0").count() == len(texts)
 
 
+def test_clashing_columns(spark):
+    names = ["rid", "size", "ranges", "row", "own_id", "own_key", "text_key", "kept", "_key", "_id", "n", "c", "node", "digest", "_digest", "_bytes", "copies", "kept_text", "_score", "_text", "score", "place", "a.b"]
+    docs = spark.createDataFrame(
+        [(k, f"w{k // 2} " * 40 + f"own {k}", "a", 1, *range(len(names))) for k in range(30)] + [(None, None, None, None, *range(len(names)))] * 2,
+        "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names),
+    )
+    labels = spark.createDataFrame([(k, int(k == 3)) for k in range(30)], "doc_id long, toxic int")
+    for left in (toxicity.drop_toxic(docs, labels), near_dup.drop_near_duplicates(docs), suffix_dedup.remove_repeats(docs), mixing.mix_documents(docs)):
+        assert left.columns == docs.columns and left.dtypes == docs.dtypes
+        assert {tuple(r)[4:] for r in left.collect()} == {tuple(range(len(names)))}
+    pieces = packing.pack_documents(docs).collect()
+    assert len(pieces) == 32
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "length", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+
 from quillmesh.llm import suffix_dedup
 
 
@@ -55,6 +58,20 @@ def test_crowded_names_equal_brute_force(spark):
     assert got(suffix_dedup.suffix_dedup(frame, group=6).collect()) == brute(docs)
 
 
+def test_memory_of_one_name():
+    """The most contexts that one name brings together, sorted in one task."""
+    rng = random.Random(1)
+    core = bytes(rng.choices(b"abcdefgh ", k=200))
+    contexts = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 136))) for _ in range(suffix_dedup.GROUP)]
+    contexts = [(c + core + bytes(rng.choices(b"abcdefgh ", k=136 - len(c)))) for c in contexts]
+    tracemalloc.start()
+    spans = suffix_dedup.repeated_windows(contexts, np.zeros(len(contexts), np.uint64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6, most
+    assert len(spans) >= len(contexts)
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choices("abcdefgh ", k=3 * suffix_dedup.PIECE))
