@@ -114,18 +114,6 @@ def fn11(spark, d):
     return docs(spark, d).select("doc_id", points.alias("points"), F.when((F.col("lang") == "en") & (F.col("n_chars") > 2000), "high").when(F.col("n_chars") > 500, "normal").otherwise("low").alias("band"))
 
 
-def any_date(text: Column, formats: list[str]) -> Column:
-    """FN12: the first format that a date text parses with."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
-
-
-@query("fn12_parse_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 3")
-def fn12(spark, d):
-    date, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(date, "yyyy-MM-dd")).when(k == 1, F.date_format(date, "dd/MM/yyyy")).when(k == 2, F.date_format(date, "dd.MM.yyyy")).otherwise("sometime")
-    return table(spark, d, "orders").select("o_orderkey", any_date(text, ["yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy"]).alias("parsed"))
-
-
 @query("fn13_keyword_vote", "WITH v AS (SELECT doc_id, 3 * len(regexp_extract_all(lower(text), 'thand')) AS alpha, 2 * len(regexp_extract_all(lower(text), 'heer')) AS beta, len(regexp_extract_all(lower(text), 'tion')) AS gamma FROM documents) SELECT doc_id, CASE WHEN greatest(alpha, beta, gamma) = 0 THEN 'none' WHEN alpha >= beta AND alpha >= gamma THEN 'alpha' WHEN beta >= gamma THEN 'beta' ELSE 'gamma' END AS winner, (alpha + beta + gamma)::BIGINT AS votes FROM v")
 def fn13(spark, d):
     low = F.lower("text")
@@ -143,12 +131,6 @@ def fn14(spark, d):
     )
 
 
-@query("fn15_enriched_metadata", """SELECT doc_id, '{"lang":"' || lang || '","size":"' || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END || '"}' AS meta, (lang = 'en')::INTEGER + (n_chars > 2000)::INTEGER AS n_signals FROM documents""")
-def fn15(spark, d):
-    size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
-    return docs(spark, d).select("doc_id", F.to_json(F.struct(F.col("lang").alias("lang"), size.alias("size"))).alias("meta"), ((F.col("lang") == "en").cast("int") + (F.col("n_chars") > 2000).cast("int")).alias("n_signals"))
-
-
 @query("fn16_fn17_distance_to_similarity", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q) AS ip FROM embeddings, q) SELECT vec_id, round(ip, 5) AS cosine, round(1 - (2 - 2 * ip) / 2, 5) AS from_l2, round(1 / (1 + (2 - 2 * ip)), 5) AS inverse FROM s")
 def fn16(spark, d):
     from quillmesh.operators.ranking import dot, query_vector
@@ -182,7 +164,7 @@ def fn22(spark, d):
     return docs(spark, d).select("doc_id", kind.alias("class"), (F.contains("text", F.lit("tion")) | F.contains("text", F.lit("the"))).alias("domain"))
 
 
-@query("fn32_fn33_extraction", r"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{2,})\b', 1)) AS amount FROM documents) SELECT doc_id, amount, count(*) AS n FROM e GROUP BY 1, 2")
+@query("fn32_amounts", r"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{2,})\b', 1)) AS amount FROM documents) SELECT doc_id, amount, count(*) AS n FROM e GROUP BY 1, 2")
 def fn32(spark, d):
     return docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{2,})\b"), F.lit(1))).alias("amount")).groupBy("doc_id", "amount").agg(F.count("*").alias("n"))
 
@@ -227,11 +209,6 @@ def fn37(spark, d):
     return f.select("p_name", "p_type", F.least(F.lit(10), points).cast("long").alias("confidence"))
 
 
-@query("fn39_query_entities", "SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS terms FROM conversations WHERE role = 'user'")
-def fn39(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("terms"))
-
-
 @query("fn40_term_variants", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN p_name LIKE '%s' THEN left(p_name, length(p_name) - 1) ELSE p_name END AS singular FROM part")
 def fn40(spark, d):
     singular = F.when(F.endswith("p_name", F.lit("s")), F.expr("left(p_name, length(p_name) - 1)")).otherwise(F.col("p_name"))
@@ -335,28 +312,6 @@ def fn56(spark, d):
     return docs(spark, d).select("doc_id", F.md5(out).alias("digest"))
 
 
-@query("fn57_line_classes", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN contains(s, '|') THEN 'table' WHEN regexp_matches(s, '[À-ÿ]') THEN 'accented' ELSE 'plain' END AS class, count(*) AS n FROM l GROUP BY 1, 2")
-def fn57(spark, d):
-    s = docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
-    kind = F.when(F.col("s") == "", "empty").when(F.contains("s", F.lit("|")), "table").when(F.col("s").rlike("[À-ÿ]"), "accented").otherwise("plain")
-    return s.groupBy("doc_id", kind.alias("class")).agg(F.count("*").alias("n"))
-
-
-@query("fn58_code_switches", "SELECT doc_id, len(regexp_extract_all(text, '[a-z] [À-ÿ]'))::BIGINT AS switches FROM documents")
-def fn58(spark, d):
-    return docs(spark, d).select("doc_id", hits("text", "[a-z] [À-ÿ]").cast("long").alias("switches"))
-
-
-@query("fn59_circular_fields", r"SELECT conv_id, turn, regexp_extract(text, '^([A-Za-zÀ-ÿ]+)', 1) AS opening, regexp_extract(text, '([A-Za-zÀ-ÿ]+)\.$', 1) AS closing, len(regexp_extract_all(text, '\.'))::BIGINT AS n_directives FROM conversations")
-def fn59(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", "^([A-Za-zÀ-ÿ]+)", 1).alias("opening"), F.regexp_extract("text", r"([A-Za-zÀ-ÿ]+)\.$", 1).alias("closing"), hits("text", r"\.").cast("long").alias("n_directives"))
-
-
-@query("fn60_yield_index", "SELECT p_partkey, round(least(1.0, p_size / p_retailprice * 10), 6) AS yield_index, round(p_retailprice * 0.25, 4) AS carbon FROM part")
-def fn60(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(F.least(F.lit(1.0), F.col("p_size") / F.col("p_retailprice") * 10), 6).alias("yield_index"), F.round(F.col("p_retailprice") * 0.25, 4).alias("carbon"))
-
-
 @query("fn61_section_flags", f"SELECT doc_id, contains(text, '|') AS has_table, regexp_matches(text, '[0-9]') AS has_number, len({_WORDS})::BIGINT AS n_words, (len(regexp_extract_all(text, '[.!?]')))::BIGINT AS n_sentences FROM documents")
 def fn61(spark, d):
     return docs(spark, d).select("doc_id", F.contains("text", F.lit("|")).alias("has_table"), F.col("text").rlike("[0-9]").alias("has_number"), F.size(words()).cast("long").alias("n_words"), hits("text", "[.!?]").cast("long").alias("n_sentences"))
@@ -374,12 +329,6 @@ def fn73(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(y < 1997, "early").when(y < 2000, "middle").otherwise("late").alias("era"), (2001 - y).alias("age"))
 
 
-@query("fn74_dictionary_hits", "SELECT doc_id, list_sort(list_filter(['heer', 'ouing', 'que', 'sch', 'tionre'], lambda t: contains(lower(text), t))) AS hits FROM documents")
-def fn74(spark, d):
-    terms = ["heer", "ouing", "que", "sch", "tionre"]
-    return docs(spark, d).select("doc_id", F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), t) for t in terms])).alias("hits"))
-
-
 @query("fn75_reference_bands", "WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 50 THEN 1.0 WHEN n >= 20 THEN 0.8 WHEN n >= 5 THEN 0.5 WHEN n >= 1 THEN 0.2 ELSE 0.0 END::DOUBLE AS score FROM c")
 def fn75(spark, d):
     n = F.regexp_count(F.lower("text"), F.lit("tion"))

@@ -71,13 +71,6 @@ def g1(spark, d):
     return e.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.col("c.start").alias("start"), F.length("c.clause").cast("long").alias("n_chars"))
 
 
-@query("g3_packed_paragraphs", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), r AS (SELECT doc_id, n, length(s) // 4 AS t, coalesce(sum(length(s) // 4) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT doc_id, (before // 512)::BIGINT AS chunk, sum(t)::BIGINT AS tokens, count(*) AS paragraphs FROM r GROUP BY 1, 2")
-def g3(spark, d):
-    p = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "s")).select("doc_id", "n", F.floor(F.length("s") / 4).alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return p.withColumn("chunk", F.floor(before / 512)).groupBy("doc_id", "chunk").agg(F.sum("t").alias("tokens"), F.count("*").alias("paragraphs"))
-
-
 @query("g4_boundary_aware_chunks", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, n, source || '/' || CAST(n AS VARCHAR) AS path, left(sha256(source || ':' || CAST(doc_id AS VARCHAR) || ':' || s), 16) AS chunk_id FROM p JOIN documents USING (doc_id) WHERE length(s) // 4 BETWEEN 20 AND 512")
 def g4(spark, d):
     p = table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "s")).where(F.floor(F.length("s") / 4).between(20, 512))
@@ -91,12 +84,6 @@ def g5(spark, d):
     return spark.sql("WITH RECURSIVE t(id, depth) MAX RECURSION LEVEL 100 AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT s.id, t.depth + 1 FROM quillmesh_sections s JOIN t ON t.id = s.parent WHERE t.depth < 8) SELECT id, depth FROM t")
 
 
-@query("g6_chunks_by_type", "SELECT doc_id, CASE lang WHEN 'en' THEN len(string_split(text, chr(10))) WHEN 'fr' THEN len(string_split(text, '.')) ELSE 1 END::BIGINT AS n_chunks FROM documents")
-def g6(spark, d):
-    n = F.when(F.col("lang") == "en", F.size(F.split("text", "\n"))).when(F.col("lang") == "fr", F.size(F.split("text", r"\."))).otherwise(1)
-    return table(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", n.cast("long").alias("n_chunks"))
-
-
 @query("g7_sentences", r"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\.([0-9])', '\1<dot>\2', 'g'), '([0-9])\.([0-9])', '\1<dot>\2', 'g') AS t FROM documents), s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(t, '[.!?]'))) AS s FROM m) SELECT doc_id, count(*) AS n, sum(length(replace(s, '<dot>', '.')))::BIGINT AS chars FROM s WHERE s <> '' GROUP BY doc_id")
 def g7(spark, d):
     """Sentence ends don't break decimals: lookarounds where the twin replaces."""
