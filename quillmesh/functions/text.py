@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.catalog import query
-from quillmesh.operators.ranking import normalised
+from quillmesh.operators.matching import normalised
 from quillmesh.runtime import table
 
 
@@ -190,18 +189,6 @@ def fn35(spark, d):
     return w.select("w", F.regexp_replace(slug(F.col("w")), "^(the|un|re)+", "").alias("canonical"))
 
 
-@F.pandas_udf(T.DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """FN36, FN43, FN44: the Ratcliff-Obershelp ratio."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-@query("fn36_fuzzy_ratio")
-def fn36(spark, d):
-    part = table(spark, d, "part").select("p_name", "p_type").distinct()
-    return part.select("p_name", "p_type", F.round(matcher_ratio(F.lower("p_name"), F.lower("p_type")), 4).alias("ratio"))
-
-
 @query("fn37_entity_confidence", "WITH f AS (SELECT p_name, p_type, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_name, p_type, least(10, least(4, n // 5) + CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 3 ELSE 1 END + CASE WHEN regexp_matches(p_name, '^[a-z]+ [a-z]+$') THEN 2 ELSE 0 END)::BIGINT AS confidence FROM f")
 def fn37(spark, d):
     f = table(spark, d, "part").groupBy("p_name", "p_type").agg(F.count("*").alias("n"))
@@ -231,19 +218,6 @@ def fn42(spark, d):
     return docs(spark, d).select("doc_id", F.md5(normalised("text")).alias("digest"))
 
 
-@query("fn43_long_sentences", "WITH s AS (SELECT doc_id, trim(unnest(string_split(text, '.'))) AS s FROM documents) SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM s WHERE length(s) >= 20 GROUP BY doc_id")
-def fn43(spark, d):
-    s = docs(spark, d).select("doc_id", F.explode(F.split("text", r"\.")).alias("s")).select("doc_id", F.trim("s").alias("s")).where("length(s) >= 20")
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
-
-
-@query("fn44_ungrounded_terms", "WITH t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM conversations WHERE role = 'assistant'), v AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM conversations WHERE role = 'user') SELECT conv_id, count(*) AS n_terms, count(*) FILTER (term NOT IN (SELECT term FROM v WHERE v.conv_id = t.conv_id)) AS n_ungrounded FROM t GROUP BY conv_id")
-def fn44(spark, d):
-    side = lambda role: table(spark, d, "conversations").where(F.col("role") == role).select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("term")).distinct()
-    rows = side("assistant").join(side("user").withColumn("known", F.lit(1)), ["conv_id", "term"], "left")
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_terms"), F.count_if(F.col("known").isNull()).alias("n_ungrounded"))
-
-
 @query("fn45_grounding_overlap", "WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS t, lag(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+'))) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) SELECT conv_id, turn, round(len(list_intersect(t, s)) / len(t), 4) AS score FROM a WHERE s IS NOT NULL AND len(t) > 0")
 def fn45(spark, d):
     from pyspark.sql import Window

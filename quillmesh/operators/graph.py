@@ -78,14 +78,6 @@ def gr5(spark, d):
     return best.withColumn("rn", rn).where("rn <= 10").select("chunk", "node", F.round("c", 4).alias("confidence"), F.round(F.col("c") * 0.9, 4).alias("reverse"))
 
 
-@query("gr6_tree_depth_and_branching", f"WITH RECURSIVE {views.EDGES}, t(node, depth) AS (SELECT DISTINCT dst, 1 FROM edges WHERE dst LIKE 'r%' UNION ALL SELECT e.src, t.depth + 1 FROM t JOIN edges e ON e.dst = t.node) SELECT max(depth) AS depth, (SELECT max(n) FROM (SELECT count(*) AS n FROM edges GROUP BY dst)) AS branching FROM t")
-def gr6(spark, d):
-    e = views.edges(spark, d)
-    depth = F.max("hops")
-    paths = gr1(spark, d).select("src", "hops")
-    return paths.agg((depth + 1).alias("depth")).crossJoin(F.broadcast(e.groupBy("dst").agg(F.count("*").alias("n")).agg(F.max("n").alias("branching"))))
-
-
 @query("gr7_entities_to_nodes", "SELECT DISTINCT 'Part' AS label, left(sha256('part:' || p_name || ':' || p_type), 12) AS node_id, p_name AS name FROM part UNION SELECT 'Brand', left(sha256('brand:' || p_brand), 12), p_brand FROM part")
 def gr7(spark, d):
     node = lambda label, key, name: table(spark, d, "part").select(F.lit(label).alias("label"), F.substring(F.sha2(key, 256), 1, 12).alias("node_id"), F.col(name).alias("name"))

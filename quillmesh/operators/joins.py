@@ -11,18 +11,6 @@ from quillmesh.operators.filters import BOXES, first_pool
 from quillmesh.runtime import table
 
 
-def token_jaccard(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of token sets (id, token) at a Jaccard similarity, by equi-join on tokens; no cross product.
-
-    A token that every set holds meets every other set once: drop such words from the tokens first.
-    """
-    a, b = left.select(F.col("id").alias("a"), "token").distinct(), right.select(F.col("id").alias("b"), "token").distinct()
-    sizes_a, sizes_b = a.groupBy("a").agg(F.count("*").alias("na")), b.groupBy("b").agg(F.count("*").alias("nb"))
-    both = a.join(b, "token").groupBy("a", "b").agg(F.count("*").alias("n"))
-    rows = both.join(sizes_a, "a").join(sizes_b, "b").withColumn("similarity", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 4))
-    return rows.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-
-
 def substrings(text: Column, least: int, most: int) -> Column:
     """The distinct substrings of a short text, of `least` to `most` characters."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
@@ -72,12 +60,6 @@ def j2(spark, d):
     return inside.unionByName(typed).where("chunk != node").groupBy("chunk", "node").agg(F.round(F.max("c"), 4).alias("confidence"))
 
 
-@query("j3_semantic_jaccard", "WITH t AS (SELECT item_id AS id, unnest(string_split(lower(text), ' ')) AS token FROM benchmark), u AS (SELECT DISTINCT id, token FROM t WHERE length(token) > 6), n AS (SELECT id, count(*) AS n FROM u GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM u x JOIN u y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(p.n / (na.n + nb.n - p.n), 4) AS similarity FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE round(p.n / (na.n + nb.n - p.n), 4) >= 0.01")
-def j3(spark, d):
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.split(F.lower("text"), " ")).alias("token")).where("length(token) > 6")
-    return token_jaccard(t, t, 0.01).where("a < b")
-
-
 @query("j4_two_hop_links", f"WITH {views.EDGES} SELECT a.src AS chunk, b.dst AS node, round(greatest(0.1, 1 - 0.3 * 2), 4)::DOUBLE AS confidence FROM edges a JOIN edges b ON a.dst = b.src UNION ALL SELECT src, dst, round(greatest(0.1, 1 - 0.3), 4)::DOUBLE FROM edges")
 def j4(spark, d):
     e = views.edges(spark, d).select("src", "dst")
@@ -117,13 +99,6 @@ def j9(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_chunks"))
 
 
-@query("j10_dictionary_mentions", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS term FROM documents), dict AS (SELECT unnest(['tionre', 'thand', 'heer', 'ouing', 'andti', 'queque', 'schung']) AS term) SELECT doc_id, w.term FROM w JOIN dict ON dict.term = w.term")
-def j10(spark, d):
-    terms = spark.createDataFrame([(t,) for t in ("tionre", "thand", "heer", "ouing", "andti", "queque", "schung")], "term string")
-    words = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)))).alias("term"))
-    return words.join(F.broadcast(terms), "term").select("doc_id", "term")  # the dictionary is a parameter
-
-
 @query("j11_inferred_pairs", "SELECT a.l_orderkey AS document, a.l_partkey AS law, b.l_partkey AS section FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linestatus = 'F' AND b.l_linestatus = 'O'")
 def j11(spark, d):
     items = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linestatus")
@@ -131,17 +106,6 @@ def j11(spark, d):
     return laws.join(items.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("document"), F.col("l_partkey").alias("section")), "document")
 
 
-@query("j12_graph_search", f"WITH {views.NODES}, {views.EDGES}, hit AS (SELECT node_id, CASE WHEN name = 'NATION_1' THEN 1 WHEN contains(name, 'NATION_1') THEN 2 END AS pass FROM nodes WHERE contains(name, 'NATION_1')) SELECT e.src AS chunk, min(pass) AS pass, count(DISTINCT h.node_id) AS entities, any_value(p.dst) AS parent FROM hit h JOIN edges e ON e.dst = h.node_id LEFT JOIN edges p ON p.src = h.node_id AND p.dst <> 'r0' GROUP BY e.src")
-def j12(spark, d):
-    test = F.when(F.col("name") == "NATION_1", 1).when(F.contains("name", F.lit("NATION_1")), 2)
-    hit = views.nodes(spark, d).select("node_id", test.alias("pass")).where("pass IS NOT NULL")
-    e = views.edges(spark, d)
-    mentions = e.select(F.col("src").alias("chunk"), F.col("dst").alias("node_id")).join(hit, "node_id")
-    # The predicate on the optional side stays in the join: it nulls the parent and keeps the chunk.
-    parents = e.where("dst != 'r0'").select(F.col("src").alias("node_id"), F.col("dst").alias("parent"))
-    return mentions.join(parents, "node_id", "left").groupBy("chunk").agg(F.min("pass").alias("pass"), F.count_distinct("node_id").alias("entities"), F.any_value("parent").alias("parent"))
-
-
 @query("j13_sequential_fallback", "SELECT l_orderkey, l_linenumber, coalesce(a.p_name, b.p_name, c.p_name) AS p_name FROM lineitem LEFT JOIN part a ON a.p_partkey = l_partkey * 1000 LEFT JOIN part b ON b.p_partkey = l_partkey + 1000 LEFT JOIN part c ON c.p_partkey = l_partkey % 10")
 def j13(spark, d):
     part = table(spark, d, "part", "p_partkey", "p_name")
@@ -185,15 +149,6 @@ def j18(spark, d):
     return asof_join(questions, views.versions(spark, d), "section", "at", "effective", "law").withColumnRenamed("_id", "id")
 
 
-@query("j19_asof_year_multiplier", "WITH m AS (SELECT * FROM (VALUES (1995, 1.0), (1997, 1.5), (1999, 2.0), (2002, 3.0)) x(year, factor)) SELECT o_orderkey, coalesce((SELECT arg_max(factor, year) FROM m WHERE year <= year(o_orderdate)), 3.0)::DOUBLE AS factor FROM orders")
-def j19(spark, d):
-    steps = [(1995, 1.0), (1997, 1.5), (1999, 2.0), (2002, 3.0)]
-    out = F.lit(3.0)
-    for year, factor in steps:
-        out = F.when(F.year("o_orderdate") >= year, factor).otherwise(out)
-    return table(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", out.alias("factor"))
-
-
 def overlapping(frame: DataFrame, key: str, node: str, start: str, end: str, far: str = "2100-12-31") -> DataFrame:
     """Pairs of one key whose intervals overlap; an open end is `far`.
 
@@ -257,12 +212,6 @@ def j26(spark, d):
     return table(spark, d, "lineitem").join(first, F.col("p_size") == F.col("l_quantity").cast("int")).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
-@query("j27_registry_validation", f"WITH {views.VERSIONS}, a AS (SELECT section, arg_max(action, (effective, law, line)) AS last_action, max(effective) AS last FROM versions GROUP BY section) SELECT c_custkey, coalesce(last_action = 'repealed', false) AS repealed, last FROM customer LEFT JOIN a ON section = c_custkey")
-def j27(spark, d):
-    latest = views.versions(spark, d).groupBy("section").agg(F.max_by("action", F.struct("effective", "law", "line")).alias("action"), F.max("effective").alias("last"))
-    return table(spark, d, "customer", "c_custkey").join(latest, F.col("section") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce(F.col("action") == "repealed", F.lit(False)).alias("repealed"), "last")
-
-
 @query("j28_merge_result_sets", "WITH v AS (SELECT l_orderkey AS chunk, max(l_discount) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), g AS (SELECT l_orderkey AS chunk, max(l_tax) AS score FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT coalesce(v.chunk, g.chunk) AS chunk, round(0.6 * coalesce(v.score, 0) + 0.3 * coalesce(g.score, 0) + CASE WHEN v.chunk IS NOT NULL AND g.chunk IS NOT NULL THEN 0.1 ELSE 0 END, 6) AS score FROM v FULL JOIN g ON v.chunk = g.chunk")
 def j28(spark, d):
     side = lambda flag, c, name: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("chunk")).agg(F.max(c).alias(name))

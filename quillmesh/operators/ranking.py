@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from quillmesh.catalog import query
 from quillmesh.operators import views
-from quillmesh.operators.components import components
 from quillmesh.operators.filters import first_pool
 from quillmesh.runtime import table
 
@@ -236,43 +235,6 @@ def s5(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("l_linenumber"))
 
 
-def normalised(text: str) -> Column:
-    """FN42: lower case, letters and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-zà-ÿ0-9 ]", " "), r" +", " "))
-
-
-@query("s6_dedupe_normalised_text", "WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-zà-ÿ0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM n WHERE length(t) >= 10 GROUP BY t")
-def s6(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", normalised("text").alias("t")).where("length(t) >= 10")
-    return docs.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
-
-
-def tfidf_clusters(docs: DataFrame, threshold: float = 0.85, most_common: float = 0.2) -> DataFrame:
-    """Documents whose TF-IDF vectors have a cosine over the threshold, as connected clusters.
-
-    Pairs meet on their terms, of which those in over `most_common` of all texts are left out as stop words.
-    """
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{3,}"), F.lit(0))).alias("w"))
-    tf = words.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2), F.col("n") * most_common)))
-    weighted = tf.join(df.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), "w").select("doc_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = weighted.join(norm, "doc_id").select("doc_id", "w", (F.col("x") / F.col("norm")).alias("x"))
-    # A pair over the threshold shares a term among the heaviest whose squares pass 1 - threshold^2.
-    mass = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id").orderBy(F.desc("x"), "w").rowsBetween(Window.unboundedPreceding, -1))
-    heads = unit.withColumn("m", F.coalesce(mass, F.lit(0.0))).where(F.col("m") <= 1 - threshold * threshold).select(F.col("doc_id").alias("a"), "w")
-    pairs = heads.join(unit.select(F.col("doc_id").alias("b"), "w"), "w").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    scored = pairs.join(unit.select(F.col("doc_id").alias("a"), "w", F.col("x").alias("xa")), "a").join(unit.select(F.col("doc_id").alias("b"), "w", F.col("x").alias("xb")), ["b", "w"])
-    similar = scored.groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine")).where(F.col("cosine") > threshold)
-    return components(similar.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-
-
-@query("s7_tfidf_clusters")
-def s7(spark, d):
-    return tfidf_clusters(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text").unionByName(table(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("doc_id"), F.concat("text", F.lit(" and")).alias("text"))))
-
-
 @query("s8_union_of_passes", "WITH p AS (SELECT l_orderkey AS chunk, 1 AS pass FROM lineitem WHERE l_partkey % 50 = 0 UNION ALL SELECT l_orderkey, 2 FROM lineitem WHERE l_suppkey % 10 = 0) SELECT chunk, count(*) AS hits, CAST(min(pass) AS INTEGER) AS first_pass FROM p GROUP BY chunk")
 def s8(spark, d):
     items = table(spark, d, "lineitem")

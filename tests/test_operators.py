@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scoring import ab_variant
-from quillmesh.operators import generators, graph, ranking
+from quillmesh.operators import generators, graph, matching, ranking
 from quillmesh.plans.registry import Pipeline, Registry, execute
 from quillmesh.streaming import events
 
@@ -41,7 +41,7 @@ def test_ivf_recall(spark, sf_dir):
 
 
 def test_tfidf_pairs_with_their_copies(spark, sf_dir):
-    clusters = {r.doc_id: r.cluster for r in ranking.tfidf_clusters(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text").unionByName(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") + 1000).alias("doc_id"), "text"))).collect()}
+    clusters = {r.doc_id: r.cluster for r in matching.tfidf_clusters(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text").unionByName(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") + 1000).alias("doc_id"), "text"))).collect()}
     items = [k for k in clusters if k < 1000]
     assert items and all(clusters[k] == clusters[k + 1000] for k in items)
 
