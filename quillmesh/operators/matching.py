@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import numpy as np
 import pandas as pd
@@ -25,23 +26,42 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return sets.join(often, "token").select("id", "token", *[c for c in sets.columns if c not in ("id", "token")], F.count("*").over(own).alias("size"), F.row_number().over(own.orderBy("often", "token")).alias("place"))
 
 
+#: 64-bit words that hold the parities of a set's hashed tokens.
+PARITIES = 4
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, common, na, nb), a < b, of (id, token) sets with a Jaccard similarity of `threshold` or more; exact.
 
-    Two such sets share one of the n - ceil(threshold * n) + 1 rarest tokens of either, and neither is
-    smaller than threshold times the other: only these meet, and are compared whole. Give one set for
-    each group of equal ones: pairs are emitted.
+    Two such sets share `need` = threshold / (1 + threshold) * (na + nb) tokens, the rarest of them
+    among the n - ceil(threshold * n) + 1 rarest of either and with enough tokens behind it; and at
+    most na + nb - 2 * need tokens lie in one alone, so no more of the hashed parities differ. Only
+    sets that pass these meet, and are compared whole. Give one set for each group of equal ones:
+    pairs are emitted.
     """
-    ranked = stage(_ranked(sets.select("id", "token").distinct()), "token-sets")
-    # The bound is lowered by a hair against rounding; verification is exact.
-    heads = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold - 1e-9) * F.col("size")) + 1)
-    one, other = (heads.select("token", F.col("id").alias(i), F.col("size").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
-    near = F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")
-    met = one.join(other, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    tokens = _ranked(sets.select("id", "token").distinct())
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * PARITIES))
+    own = Window.partitionBy("id")
+    marks = [F.bit_xor(F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * PARITIES}) % 64 AS int))")).otherwise(F.lit(0).cast("long"))).over(own).alias(f"m{k}") for k in range(PARITIES)]
+    ranked = stage(tokens.select("*", *marks), "token-sets")
+    # Bounds are lowered by a hair against rounding; verification is exact.
+    low = threshold - 1e-9
+    heads = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(low) * F.col("size")) + 1)
+    # Sizes are within threshold of one another, so at most one step of their logarithm apart.
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(low)))
+    heads = heads.withColumn("step", step)
+    one, other = (heads.select("token", "step", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "place", *(f"m{k}" for k in range(PARITIES)))]) for s in "ab")
+    both = F.col("size_a") + F.col("size_b")
+    need = F.lit(low / (1 + low)) * both
+    behind = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(PARITIES)), F.lit(0))
+    other = other.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    met = one.join(other, ["token", "step"]).where((F.col("id_a") < F.col("id_b")) & (behind >= need) & (F.least("size_a", "size_b") >= F.lit(low) * F.greatest("size_a", "size_b")) & (apart <= both - 2 * need + 1e-6))
+    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     whole = ranked.groupBy("id").agg(F.collect_list("token").alias("tokens"))
-    both = met.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    found = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("na"), F.size("y").alias("nb"))
-    return found.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold)
+    pairs = met.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    found = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("na"), F.size("y").alias("nb"))
+    return found.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")))
 
 
 def alike_texts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -52,13 +72,13 @@ def alike_texts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 @query("j3_semantic_jaccard", r"""WITH t AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_extract_all(text, '[^ \n\t\r]+'))) AS ts FROM documents), c AS (SELECT min(id) AS id, ts FROM t WHERE len(ts) > 0 GROUP BY ts),
-u AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM c), p AS (SELECT x.id AS a, y.id AS b, count(*) AS n, any_value(x.n) AS na, any_value(y.n) AS nb FROM u x JOIN u y ON x.token = y.token AND x.id < y.id AND least(x.n, y.n) >= 0.5 * greatest(x.n, y.n) GROUP BY 1, 2)
-SELECT a, b, round(n / (na + nb - n), 4) AS similarity FROM p WHERE 2 * n >= na + nb - n""")
+u AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM c), p AS (SELECT x.id AS a, y.id AS b, count(*) AS n, any_value(x.n) AS na, any_value(y.n) AS nb FROM u x JOIN u y ON x.token = y.token AND x.id < y.id AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) GROUP BY 1, 2)
+SELECT a, b, round(n / (na + nb - n), 4) AS similarity FROM p WHERE 5 * n >= 4 * (na + nb - n)""")
 def j3(spark, d):
-    """Pairs of documents, one for each set of white-space tokens, that share half of them."""
+    """Pairs of documents, one for each set of white-space tokens, that share four fifths of them."""
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
     sets = alike_texts(docs, r"[^ \n\t\r]+").select("id", F.explode("tokens").alias("token"))
-    return similar_sets(sets, 0.5).select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
+    return similar_sets(sets, 0.8).select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -145,19 +165,25 @@ def near_equal(texts: DataFrame, least: float = 0.95, most_longer: int = 5) -> D
     return met.where(same / F.greatest(F.length("x"), F.length("y")) > least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, cosine: float = 0.92, words: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 10) -> DataFrame:
     """(id, kept_id) of (id, text) rows of 10 characters or more: kept_id is the least id that near duplicates lead to.
 
-    Texts of over `words` words are linked by the cosine of their word counts, which stand for
-    sentence vectors; shorter ones when equal, or near so place by place. Order doesn't matter.
+    Texts of over `words` words are linked by the Jaccard similarity of their words, which stands for
+    the cosine of sentence vectors, as there is no sentence model; shorter ones when equal, or near so
+    place by place. Order doesn't matter.
     """
     rows = stage(docs.select("id", normalised("text").alias("text")).where(F.length("text") >= 10), "normalised")
     long = F.size(F.split("text", " ")) > words
-    far = cosine_clusters(rows.where(long), cosine, r"[^ ]+", False).select("id", F.col("cluster").alias("kept_id"))
-    short = rows.where(~long).groupBy("text").agg(F.min("id").alias("head"))
-    near = components(near_equal(short.select(F.col("head").alias("id"), "text")).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    heads = short.join(near, F.col("node") == F.col("head"), "left").select("text", F.coalesce("component", "head").alias("kept_id"))
-    return far.unionByName(rows.where(~long).join(heads, "text").select("id", "kept_id"))
+    word_sets = F.array_sort(F.array_distinct(F.split("text", " ")))
+    far = stage(rows.where(long).select("id", word_sets.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", " "), 256)), "word-sets")
+    heads = far.groupBy("key").agg(F.min("id").alias("head"), F.first("tokens").alias("tokens"))
+    links = similar_sets(heads.select(F.col("head").alias("id"), F.explode("tokens").alias("token")), least)
+    short = rows.where(~long).select("id", F.col("text").alias("key"))
+    singles = short.groupBy("key").agg(F.min("id").alias("head"))
+    links = links.select("a", "b").unionByName(near_equal(singles.select(F.col("head").alias("id"), F.col("key").alias("text"))))
+    found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    known = heads.select("key", "head").unionByName(singles).join(found, F.col("node") == F.col("head"), "left").select("key", F.coalesce("component", "head").alias("kept_id"))
+    return far.select("id", "key").unionByName(short).join(known, "key").select("id", "kept_id")
 
 
 @query("s6_dedupe_normalised_text")
