@@ -40,7 +40,7 @@ from quillmesh.runtime import stage, table
 LENGTH = 200
 GRAM = 64
 #: Places of one name whose contexts one task may hold and sort (about 300 bytes each).
-GROUP = 10_000
+GROUP = 100_000
 #: Bytes handled at once; an index into them fits 20 bits.
 PIECE = 1 << 19
 UNIT = 4 << 20

@@ -59,10 +59,10 @@ def test_crowded_names_equal_brute_force(spark):
 
 
 def test_memory_of_one_name():
-    """The most contexts that one name brings together, sorted in one task."""
+    """10,000 contexts of one name, sorted in one task."""
     rng = random.Random(1)
     core = bytes(rng.choices(b"abcdefgh ", k=200))
-    contexts = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 136))) for _ in range(suffix_dedup.GROUP)]
+    contexts = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 136))) for _ in range(10_000)]
     contexts = [(c + core + bytes(rng.choices(b"abcdefgh ", k=136 - len(c)))) for c in contexts]
     tracemalloc.start()
     spans = suffix_dedup.repeated_windows(contexts, np.zeros(len(contexts), np.uint64))
