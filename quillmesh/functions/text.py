@@ -146,14 +146,9 @@ def fn19(spark, d):
     return rows.select("doc_id", F.when(fr + de + es == 0, "en").when((fr >= de) & (fr >= es), "fr").when(de >= es, "de").otherwise("es").alias("guess"))
 
 
-@query("fn20_embedding_input", "SELECT doc_id, md5('[' || lang || '] [' || source || '] ' || left(text, 200)) AS digest FROM documents")
+@query("fn20_embedding_input", "SELECT doc_id, md5('[' || lang || '] [' || source || '] ' || text) AS digest FROM documents")
 def fn20(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(F.concat(F.lit("["), F.col("lang"), F.lit("] ["), F.col("source"), F.lit("] "), F.left("text", F.lit(200)))).alias("digest"))
-
-
-@query("fn20b_embedding_input_whole", "SELECT doc_id, md5('[' || lang || '] [' || source || '] ' || text) AS digest FROM documents")
-def fn20b(spark, d):
-    """fn20_embedding_input over the whole text."""
+    """Tags and the whole text, as one digest."""
     return docs(spark, d).select("doc_id", F.md5(F.concat(F.lit("["), F.col("lang"), F.lit("] ["), F.col("source"), F.lit("] "), "text")).alias("digest"))
 
 

@@ -48,15 +48,12 @@ def gr2(spark, d):
     return views.nodes(spark, d).join(found, F.col("node") == F.col("node_id"), "left").select("node_id", F.coalesce("distance", F.lit(999)).alias("distance"))
 
 
-@query("gr3_connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity > 49), k AS (SELECT a, b FROM e UNION SELECT b, a FROM e), p(node, seen) AS (SELECT DISTINCT a, a FROM k UNION SELECT p.node, k.b FROM p JOIN k ON k.a = p.seen) SELECT count(DISTINCT m) AS n_components, count(*) AS n_nodes FROM (SELECT node, min(seen) AS m FROM p GROUP BY node)")
-def gr3(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst"))
-    return components(e).agg(F.count_distinct("component").alias("n_components"), F.count("*").alias("n_nodes"))
+#: Least label by propagation over links k(a, b), both ways; a row a node.
+LEAST_LABEL_SQL = "p(node, m) USING KEY (node) AS (SELECT a, a FROM k GROUP BY a UNION SELECT k.a, min(p.m) FROM p JOIN k ON k.b = p.node JOIN recurring.p AS r ON r.node = k.a WHERE p.m < r.m GROUP BY k.a)"
 
 
-@query("gr3b_connected_components_whole")
-def gr3b(spark, d):
-    """gr3_connected_components over every edge. No SQL: recursion over all of them is too slow."""
+@query("gr3_connected_components", f"WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 100000000 AS b FROM lineitem UNION ALL SELECT DISTINCT l_suppkey + 100000000, l_orderkey FROM lineitem), {LEAST_LABEL_SQL} SELECT count(DISTINCT m) AS n_components, count(*) AS n_nodes FROM p")
+def gr3(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst"))
     return components(e).agg(F.count_distinct("component").alias("n_components"), F.count("*").alias("n_nodes"))
 
@@ -134,21 +131,9 @@ def near_links(events: DataFrame, km: float, hours: float) -> DataFrame:
     return before.where(F.col("at") - F.col("at0") <= hours * 3600).select(F.least("id", "id0").alias("src"), F.greatest("id", "id0").alias("dst")).distinct()
 
 
-@query("gr10_event_clusters", f"WITH {views.GEO}, g AS (SELECT * FROM geo WHERE type = 'error' AND k >= 90), p AS (SELECT a.id AS src, b.id AS dst FROM g a JOIN g b ON a.id < b.id AND {HAVERSINE_SQL.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 10.0) SELECT count(*) AS n_pairs, count(DISTINCT src) AS n_sources FROM p")
+@query("gr10_event_clusters", f"WITH {views.GEO}, g AS (SELECT lat, lon, count(*) AS n, max(id) AS last FROM geo GROUP BY lat, lon), p AS (SELECT a.lat, a.lon, a.n, b.n AS n2, b.last AS last2, a.lat = b.lat AND a.lon = b.lon AS own FROM g a JOIN g b ON {HAVERSINE_SQL.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 10.0), s AS (SELECT lat, lon, max(last2) AS most FROM p GROUP BY lat, lon) SELECT (SELECT (sum(CASE WHEN own THEN n * (n - 1) ELSE n * n2 END) / 2)::BIGINT FROM p) AS n_pairs, (SELECT count(*) FROM geo JOIN s ON geo.lat = s.lat AND geo.lon = s.lon WHERE id < most) AS n_sources")
 def gr10(spark, d):
-    pairs = radius_pairs(views.geo_events(spark, d).where("type = 'error' AND k >= 90"), 10.0)
-    return pairs.agg(F.count("*").alias("n_pairs"), F.count_distinct("src").alias("n_sources"))
-
-
-@query("gr10b_cluster_members")
-def gr10b(spark, d):
-    """The order-free clusters themselves: components of all events within 10 km and 72 hours."""
-    return components(near_links(views.geo_events(spark, d), 10.0, 72.0)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-
-
-@query("gr10d_event_pairs")
-def gr10d(spark, d):
-    """gr10_event_clusters over all events: pairs are counted by place, so events at one place never meet one by one."""
+    """Pairs of events within 10 km, counted by place: events at one place never meet one by one."""
     places = views.geo_events(spark, d).groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last"))
     places = stage(places, "places")
     near = radius_pairs(places.withColumn("ts", F.lit(None).cast("timestamp")), 10.0)
@@ -163,6 +148,12 @@ def gr10d(spark, d):
     return total.select(F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), (F.coalesce("n", F.lit(0)) - F.col("lone")).alias("n_sources"))
 
 
+@query("gr10b_cluster_members", f"WITH RECURSIVE {views.GEO}, g AS (SELECT id, lat, lon, epoch(ts::TIMESTAMP) AS at FROM geo), k AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id AND abs(floor(a.at) - floor(b.at)) <= 259200 AND {HAVERSINE_SQL.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 10.0), {LEAST_LABEL_SQL} SELECT node AS id, m AS cluster FROM p")
+def gr10b(spark, d):
+    """The order-free clusters themselves: components of all events within 10 km and 72 hours."""
+    return components(near_links(views.geo_events(spark, d), 10.0, 72.0)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
 @query("gr11_column_boundaries")
 def gr11(spark, d):
     """One-dimensional KMeans on positions; boundaries midway between centres."""

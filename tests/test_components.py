@@ -35,5 +35,5 @@ def test_no_edges(spark):
 
 def test_components_of_every_edge(spark, tmp_path):
     spark.createDataFrame([(1, 1, 50.0), (2, 1, 3.0), (2, 2, 4.0), (3, 2, 50.0), (4, 3, 1.0)], "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = graph.gr3b(spark, str(tmp_path)).first()
+    got = graph.gr3(spark, str(tmp_path)).first()
     assert (got.n_components, got.n_nodes) == (2, 7)

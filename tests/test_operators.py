@@ -104,7 +104,7 @@ def test_stand_in_embeddings_are_unit_and_fixed(spark, sf_dir):
 
 
 def located(spark, folder):
-    """Events of all types at places that repeat and lie near others, over 60 days, with no row that the SQL twin of gr10 would take."""
+    """Events of all types at places that repeat and lie near others, over 60 days."""
     import datetime
     import random
 
@@ -122,7 +122,7 @@ def test_event_clusters_take_all_events(spark, tmp_path):
     rows = located(spark, tmp_path)
     km = lambda a, b: 2 * 6371 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))
     pairs = [(a, b) for a in rows for b in rows if a.id < b.id and km(a, b) <= 10]
-    got = graph.gr10d(spark, str(tmp_path)).first()
+    got = graph.gr10(spark, str(tmp_path)).first()
     assert (got.n_pairs, got.n_sources) == (len(pairs), len({a.id for a, _ in pairs})) and pairs
     cluster = {x: x for a, b in pairs if abs((a.ts - b.ts).total_seconds()) <= 72 * 3600 for x in (a.id, b.id)}
     links = [(a.id, b.id) for a, b in pairs if abs((a.ts - b.ts).total_seconds()) <= 72 * 3600]
@@ -136,4 +136,4 @@ def test_embedding_input_is_the_whole_text(spark, tmp_path):
     from quillmesh.functions import text
 
     spark.createDataFrame([(k, "a" * 200 + end, "en", "web", 201) for k, end in enumerate("xy")], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert len({r.digest for r in text.fn20b(spark, str(tmp_path)).collect()}) == 2
+    assert len({r.digest for r in text.fn20(spark, str(tmp_path)).collect()}) == 2
