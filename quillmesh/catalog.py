@@ -26,4 +26,4 @@ def load() -> None:
         import_module(f"quillmesh.{name}")
 
 
-MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.matching", "operators.ranking", "functions.text", "functions.records", "functions.scoring", "functions.segmentation", "operators.generators", "operators.graph", "sources.files", "streaming.events", "plans.registry")
+MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.matching", "operators.ranking", "functions.text", "functions.records", "functions.scoring", "functions.segmentation", "functions.encoding", "operators.generators", "operators.graph", "sources.files", "sources.packages", "streaming.events", "plans.registry", "plans.refresh")
