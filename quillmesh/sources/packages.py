@@ -190,7 +190,7 @@ def xlsx_bytes(sheet: str, rows: list[list]) -> bytes:
 
 
 def _legal(text: str) -> str:
-    return re.sub("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]", "", text)
+    return re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", text)
 
 
 @query("src8_workbook_rows", "SELECT p_partkey, p_name, p_brand FROM part")
