@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from quillmesh.llm import centroids, chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op5_html_text": html_text.op5_html_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
     "chat_tool_calls": chat_format.chat_tool_calls,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op11_centroid_clusters": centroids.OP11_SQL,
     "chat_tool_calls": chat_format.CALLS_SQL,
 }
