@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import centroids, chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from quillmesh.llm import centroids, chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, quantiles, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op5_html_text": html_text.op5_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_quantile_summaries": quantiles.op12_quantile_summaries,
     "chat_tool_calls": chat_format.chat_tool_calls,
 }
 
