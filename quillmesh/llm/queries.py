@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import centroids, chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, quantiles, suffix_dedup, token_counts, toxicity
+from quillmesh.llm import centroids, chat_format, embedding_dedup, html_text, mixing, near_dup, packing, quality_rules, quantiles, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op5_html_text": html_text.op5_html_text,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
     "op12_quantile_summaries": quantiles.op12_quantile_summaries,
+    "op13_token_files": token_files.op13_token_files,
     "chat_tool_calls": chat_format.chat_tool_calls,
 }
 
