@@ -160,7 +160,7 @@ class ByteIds:
     together, a line each: the line feed is a word of its own wherever it stands between two of them.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, chunk_chars: int = 4_000_000):
+    def __init__(self, path: str, limit: int = 650_000, chunk_chars: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
