@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,28 +190,3 @@ def gr13(spark, d):
     levels = geo.crossJoin(F.broadcast(last)).agg(F.avg(F.when(F.col("ts") >= F.col("last") - F.expr("INTERVAL 3 DAYS"), F.col("k"))).alias("now"), F.avg("k").alias("base"))
     weight = F.greatest(F.lit(0.3), 1 - 0.1 * F.col("day"))
     return levels.select("now", "base", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("day")).select(F.col("day").cast("long").alias("day"), F.round(weight * F.col("now") + (1 - weight) * F.col("base"), 4).alias("risk"))
-
-
-def greedy_seed_clusters(events: DataFrame, by: str, km: float) -> DataFrame:
-    """GR10 in the order of the rows: each free event takes all later free ones within the radius. Groups must be bounded (a day, a cell)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("id")
-        lat, lon = np.radians(rows.lat.to_numpy()), np.radians(rows.lon.to_numpy())
-        seed = np.full(len(rows), -1)
-        ids = rows["id"].to_numpy()
-        for k in range(len(rows)):
-            if seed[k] < 0:
-                a = np.sin((lat - lat[k]) / 2) ** 2 + np.cos(lat) * np.cos(lat[k]) * np.sin((lon - lon[k]) / 2) ** 2
-                free = (seed < 0) & (2 * 6371 * np.arcsin(np.sqrt(a)) <= km)
-                seed[free] = ids[k]
-        return pd.DataFrame({"id": ids, "seed": seed})
-
-    return events.select(by, "id", "lat", "lon").groupBy(by).applyInPandas(run, "id long, seed long")
-
-
-@query("gr10c_greedy_clusters_by_source")
-def gr10c(spark, d):
-    return greedy_seed_clusters(views.geo_events(spark, d), "source", 10.0)

@@ -55,12 +55,6 @@ def test_stream_cooldown_equals_batch(spark, sf_dir):
     assert got == expected and got
 
 
-def test_greedy_clusters_cover_and_stay_near(spark, sf_dir):
-    rows = graph.gr10c(spark, sf_dir).collect()
-    assert len(rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    assert all(r.seed <= r.id for r in rows)
-
-
 def test_ab_shares(spark):
     n = spark.range(20000).select(ab_variant(F.col("id")).alias("v")).groupBy("v").count()
     assert abs({r.v: r["count"] for r in n.collect()}["A"] / 20000 - 0.8) < 0.02
