@@ -110,7 +110,7 @@ def occurrences_at(docs: DataFrame, words: DataFrame) -> DataFrame:
     pieces = F.split(F.lower("text"), pattern)
     found = F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
     step = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(found)), F.length).alias("a"), F.transform(found, F.length).alias("b"))
-    ends = F.aggregate(step, F.array().cast("array<int>"), lambda out, s: F.array_append(out, F.coalesce(F.element_at(out, -1), F.lit(0)) + s["a"] + s["b"]))
+    ends = F.aggregate(step, F.array().cast("array<int>"), lambda out, s: F.array_append(out, F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + s["a"] + s["b"]))
     return docs.where("text IS NOT NULL").select("id", F.when(F.size(found) > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends"))
 
 
