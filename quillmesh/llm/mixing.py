@@ -4,8 +4,11 @@ Each source is a stream of words, its documents laid end to end, cut into blocks
 A mix has as many words as the corpus; its slots (one block each) are dealt to output shards: each
 source draws its slot counts over the shards from a multinomial, halved level by level down a tree of
 shards, so that every source ends at its target exactly and a shard's counts are those of a multinomial
-over sources. A source's j-th slot takes the block that a keyed permutation of its blocks puts at
-place j: every block comes once before any comes twice. Slots and blocks are joined by (source, block).
+over sources. A source's slots pass over its blocks in the order of a keyed permutation, a new one for
+each pass: every block comes once before any comes twice. Of the last pass, which can't take them all,
+each shard owns an equal stretch of places and takes as many from its start as a draw of its own gives it
+(never more than it owns), so which blocks come once more is the draw's to say. Slots and blocks are joined
+by (source, block).
 
 Nothing is sorted or gathered by source: word offsets are prefix sums over (source, hash bucket), so
 a source with a third of all rows is spread over as many tasks as any other third. Sources are rows
@@ -36,7 +39,9 @@ BLOCK = 64
 MOST = 3
 SEED = 20
 #: Slots of an output shard, about.
-SHARD_SLOTS = 1 << 16
+SHARD_SLOTS = 1 << 12
+#: Shards whose draw goes on in a task of its own.
+SUBTREE = 1 << 14
 #: Slots that are placed in one go, and by one task, about.
 RUN = 1 << 12
 TASK_SLOTS = 20_000
@@ -79,19 +84,32 @@ class Mix:
         return max(1, -(-self.n_slots // SHARD_SLOTS))
 
 
-def split(slots: int, shards: int, seed: int, source_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shards, counts): a multinomial draw of so many slots over equal shards, none left over; shards without any aren't named."""
-    rng = np.random.default_rng((seed, source_id))
-    low, width, count = np.array([0]), np.array([shards]), np.array([slots])
-    while len(width) and width.max() > 1:
-        left = width // 2
-        first = np.where(width > 1, rng.binomial(count, left / width), 0)
+def owned(low, width, shards: int, places: int):
+    """How many of a source's places the shards low to low + width own, of equal stretches."""
+    return (low + width) * places // shards - low * places // shards
+
+
+def split(slots: int, shards: int, seed: int, source_id: int, low: int = 0, width: int | None = None, stop: int = 1, places: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first shard, width, count): a multinomial draw of so many slots over `width` equal shards from `low`, none left over, down to subtrees of `stop` shards.
+
+    Those without any aren't named. places: how many of them the shards own together, where none may take more than its own.
+    """
+    rng = np.random.default_rng((seed, source_id, low, stop, bool(places)))
+    low, width, count = np.array([low]), np.array([shards if width is None else width]), np.array([slots])
+    while len(width) and width.max() > stop:
+        left = np.where(width > stop, width // 2, width)
+        rest = width - left
+        if places:
+            room, more = owned(low, left, shards, places), owned(low + left, rest, shards, places)
+            first = np.clip(rng.binomial(count, room / np.maximum(room + more, 1)), count - more, room)
+        else:
+            first = rng.binomial(count, left / width)
         low = np.stack([low, low + left], axis=1).ravel()
         count = np.stack([first, count - first], axis=1).ravel()
-        width = np.stack([left, width - left], axis=1).ravel()
+        width = np.stack([left, rest], axis=1).ravel()
         some = count > 0
         low, width, count = low[some], width[some], count[some]
-    return low[count > 0], count[count > 0]
+    return low[count > 0], width[count > 0], count[count > 0]
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -175,20 +193,33 @@ def block_parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def slot_blocks(mix: Mix, seed: int = SEED) -> DataFrame:
-    """(shard, source_id, slot, block): what each slot of the mix takes."""
+    """(shard, source_id, slot, block): what each slot of the mix takes. A slot's number is its pass and its place in that."""
     shards = mix.shards
+    names = ["source_id", "blocks", "slots", "places", "low", "width", "first", "n"]
 
-    def draw(batches):
+    def begin(batches):
+        """Whole passes and the last one, each dealt to subtrees of shards."""
         for batch in batches:
+            out: list = []
             for source, slots, blocks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                names, counts = split(slots, shards, seed, source)
-                first = np.cumsum(counts) - counts
+                over = slots % blocks
+                for own, places in ((slots - over, 0), (over, blocks)):
+                    low, width, count = split(own, shards, seed, source, stop=SUBTREE, places=places)
+                    first = np.cumsum(count) - count
+                    out += [(source, blocks, slots - over, places, *r) for r in zip(low.tolist(), width.tolist(), first.tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 8)], names=names)
+
+    def draw(batches):
+        for batch in batches:
+            for source, blocks, slots, places, top, width, before, n in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                shard, _, counts = split(n, shards, seed, source, top, width, places=places)
+                first = slots + shard * blocks // shards if places else before + np.cumsum(counts) - counts
                 each = -(-counts // RUN)  # runs of a shard
                 at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                begin, left = np.repeat(first, each) + at * RUN, np.repeat(counts, each) - at * RUN
-                for k in range(0, len(begin), 1 << 14):
+                start, left = np.repeat(first, each) + at * RUN, np.repeat(counts, each) - at * RUN
+                for k in range(0, len(start), 1 << 14):
                     part = slice(k, k + (1 << 14))
-                    columns = [np.repeat(names, each)[part], None, begin[part], np.minimum(left[part], RUN), None]
+                    columns = [np.repeat(shard, each)[part], None, start[part], np.minimum(left[part], RUN), None]
                     columns[1], columns[4] = np.full(len(columns[0]), source), np.full(len(columns[0]), blocks)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "source_id", "first", "n", "blocks"])
 
@@ -202,7 +233,10 @@ def slot_blocks(mix: Mix, seed: int = SEED) -> DataFrame:
                     taken[here] = permuted(slots[here] % blocks, blocks, seed * 1_000_003 + source * 101 + epoch)
                 yield pd.DataFrame({"shard": shard, "source_id": source, "slot": slots, "block": taken})
 
-    runs = mix.sources.where("slots > 0").select("source_id", "slots", "blocks").mapInArrow(draw, "shard long, source_id long, first long, n long, blocks long")
+    trees = mix.sources.where("slots > 0").select("source_id", "slots", "blocks").mapInArrow(begin, ", ".join(f"{c} long" for c in names))
+    if shards > SUBTREE:
+        trees = trees.repartition("source_id", "low", "places")
+    runs = trees.mapInArrow(draw, "shard long, source_id long, first long, n long, blocks long")
     tasks = max(1, -(-mix.n_slots // TASK_SLOTS))
     return runs.repartition(tasks, "source_id", "first").mapInPandas(place, "shard long, source_id long, slot long, block long")
 

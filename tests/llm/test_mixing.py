@@ -43,35 +43,73 @@ def test_permutation_is_one_and_reruns_agree():
 
 def test_a_split_is_a_multinomial_draw():
     for slots, shards in ((0, 5), (1, 1), (7, 1000), (70_000, 13), (5000, 64)):
-        names, counts = mixing.split(slots, shards, 1, 4)
-        assert counts.sum() == slots and (counts > 0).all() and len(set(names)) == len(names) and all(0 <= n < shards for n in names)
+        names, widths, counts = mixing.split(slots, shards, 1, 4)
+        assert counts.sum() == slots and (counts > 0).all() and (widths == 1).all() and len(set(names)) == len(names) and all(0 <= n < shards for n in names)
         again = mixing.split(slots, shards, 1, 4)
-        assert (again[0] == names).all() and (again[1] == counts).all()
+        assert (again[0] == names).all() and (again[2] == counts).all()
     whole = np.zeros(13)
     for k in range(400):
-        names, counts = mixing.split(130, 13, 2, k)
+        names, _, counts = mixing.split(130, 13, 2, k)
         whole[names] += counts
     assert abs(whole / 400 - 10).max() < 1
 
 
-def test_slots_take_every_block_before_any_again(spark, monkeypatch):
+def test_a_split_never_takes_more_than_a_shard_owns():
+    for slots, shards, places in ((400, 7, 400), (399, 7, 400), (3, 10, 5), (500, 3, 1000), (0, 4, 9)):
+        names, _, counts = mixing.split(slots, shards, 1, 4, places=places)
+        assert counts.sum() == slots and all(c <= mixing.owned(n, 1, shards, places) for n, c in zip(names.tolist(), counts.tolist(), strict=True))
+    assert sum(mixing.owned(k, 1, 7, 400) for k in range(7)) == 400
+
+
+def brute_slots(slots, blocks, shards, source, seed):
+    """The plan replayed one slot at a time: (shard, slot, block)."""
+    out, whole = [], slots - slots % blocks
+    for own, places in ((whole, 0), (slots % blocks, blocks)):
+        trees = mixing.split(own, shards, seed, source, stop=mixing.SUBTREE, places=places)
+        before = 0
+        for low, width, n in zip(*(c.tolist() for c in trees), strict=True):
+            number = before
+            for shard, _, count in zip(*(c.tolist() for c in mixing.split(n, shards, seed, source, low, width, places=places)), strict=True):
+                for k in range(count):
+                    slot = whole + shard * blocks // shards + k if places else number
+                    number += 1
+                    out.append((shard, slot, int(mixing.permuted(np.array([slot % blocks]), blocks, seed * 1_000_003 + source * 101 + slot // blocks)[0])))
+            before += n
+    return sorted(out)
+
+
+@pytest.mark.parametrize("subtree", [1, 2, 1 << 14])
+def test_slots_take_every_block_before_any_again(spark, monkeypatch, subtree):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
     monkeypatch.setattr(mixing, "RUN", 70)
     monkeypatch.setattr(mixing, "TASK_SLOTS", 300)
-    sources = spark.createDataFrame([(0, 1000, 400), (1, 3, 9), (2, 900, 900), (3, 0, 5), (4, 1, 1)], "source_id long, slots long, blocks long")
-    mix = mixing.Mix(sources, 0, 1904)
+    monkeypatch.setattr(mixing, "SUBTREE", subtree)
+    plan = [(0, 1000, 400), (1, 3, 9), (2, 900, 900), (3, 0, 5), (4, 1, 1)]
+    mix = mixing.Mix(spark.createDataFrame(plan, "source_id long, slots long, blocks long"), 0, 1904)
     found = mixing.slot_blocks(mix)
     assert found.rdd.getNumPartitions() == 7
     rows = found.collect()
-    for source, slots, blocks in ((0, 1000, 400), (1, 3, 9), (2, 900, 900), (4, 1, 1)):
+    for source, slots, blocks in plan:
         own = [r for r in rows if r.source_id == source]
-        assert sorted(r.slot for r in own) == list(range(slots))
+        assert sorted((r.shard, r.slot, r.block) for r in own) == brute_slots(slots, blocks, mix.shards, source, mixing.SEED)
+        assert len(own) == slots == len({r.slot for r in own})
         times = Counter(r.block for r in own)
-        assert set(times) <= set(range(blocks)) and max(times.values()) - min([times[k] for k in range(blocks)]) <= 1
+        assert set(times) <= set(range(blocks)) and max([times[k] for k in range(blocks)]) - min([times[k] for k in range(blocks)]) <= 1
     shards = Counter(r.shard for r in rows)
     assert set(shards) == set(range(4)) and max(shards.values()) < 600
 
 
+def test_another_draw_takes_other_words(spark, sf_dir, monkeypatch):
+    """The permutations stay as they are; only the shards' counts are drawn anew."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 100")
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 20)
+    taken = {r.doc_id: r.taken for r in mixing.mix_taken(docs).collect()}
+    drawn = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda slots, shards, seed, *a, **b: drawn(slots, shards, seed + 1, *a, **b))
+    other = {r.doc_id: r.taken for r in mixing.mix_taken(docs).collect()}
+    assert other != taken and abs(sum(other.values()) - sum(taken.values())) <= 64 * 20
+
+
 def test_sources_of_any_number(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', cast(1 + id % 5 AS int)) AS text")
     rows = mixing.mix_taken(docs).collect()
