@@ -11,7 +11,7 @@ object or its JSON text; also under `function`), or, for the role `tool`, with `
    call's turn, late, own turn), so it is a sort key and nothing walks a graph.
 3. Arguments are validated against the schema declared for the name in the conversation. A keyword
    of the schema that is malformed (a pattern that doesn't compile, a bound that is no number) is an
-   error of the call.
+   error of the call. Patterns are searched for in time that grows with the text alone (`found_in`).
 4. Each conversation is a JSON array with sorted keys and no spaces, cut into parts where its messages
    in order, each counted with MESSAGE bytes more, pass a multiple of PART_BYTES; so most have part 0
    only. Messages are sorted by ranges of (conversation, order), so no task gathers a conversation,
@@ -29,6 +29,8 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +135,7 @@ def schema_errors(value, schema, path: str = "$") -> list[str]:
             out += [f"{path}: against {low}"] if least is not None and size < least else []
             out += [f"{path}: against {high}"] if most is not None and size > most else []
     pattern = keyword("pattern", compiles)
-    if pattern is not None and isinstance(value, str) and not re.search(pattern, value):
+    if pattern is not None and isinstance(value, str) and not found_in(pattern, value):
         out.append(f"{path}: against pattern")
     return out
 
@@ -146,6 +148,23 @@ def compiles(pattern) -> bool:
     return isinstance(pattern, str)
 
 
+def found_in(pattern: str, text: str) -> bool:
+    """Whether the text holds the pattern, by an engine whose time grows with the text alone.
+
+    It knows no look-arounds and back references: such patterns are searched for PATTERN_SECONDS at most, after which the text counts as against them.
+    """
+    try:
+        return pc.match_substring_regex(pa.array([HALF.sub("\ufffd", text)]), HALF.sub("\ufffd", pattern))[0].as_py()
+    except pa.ArrowInvalid:
+        try:
+            return regex.search(pattern, text, timeout=PATTERN_SECONDS) is not None
+        except (TimeoutError, regex.error):
+            return False
+
+
+PATTERN_SECONDS = 0.5
+
+
 def call_errors(arguments: str, schema: str | None) -> int:
     """How many ways the arguments of a call break its schema; none without one, one more if it can't be told."""
     if schema is None:

@@ -1,6 +1,7 @@
 import heapq
 import json
 import random
+import time
 from collections import defaultdict
 
 from quillmesh.llm import chat_format as cf
@@ -152,3 +153,14 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     got = sorted((r.conv_id or -1, r.n_messages, r.n_orphans) for r in cf.chat_format(data).collect())
     assert got == [(-1, 1, 0), (-1, 1, 0), (1, 3, 2), (2, 1, 0)]
     assert cf.chat_format(data.limit(0)).count() == 0
+
+
+def test_patterns_that_backtrack_end():
+    text = "a" * 5000 + "b"
+    for pattern, found in (("(a+)+$", False), ("(a|aa)+$", False), ("(a*)*b", True), ("^(?:a+)+b$", True), ("\\ud800", False)):
+        assert cf.found_in(pattern, text) == found
+    began = time.monotonic()
+    assert not cf.found_in(r"(?=(a+)+$)(a+)+$", text) and cf.found_in(r"(a)\1", text)
+    assert time.monotonic() - began < 10
+    assert cf.schema_errors(text, {"pattern": "(a+)+$"}, "$") == ["$: against pattern"]
+    assert cf.found_in("x", "\ud800x")
