@@ -251,35 +251,62 @@ def fn57(spark, d):
 # ---------------------------------------------------------------- chunks
 
 
+TOKEN_CHARS = 4
+STOP = ". "
+
+
+def packed(parts: Column, most: int) -> Column:
+    """The chunks of an array of paragraphs, as an array of texts.
+
+    One fold over the paragraphs' lengths finds where chunks begin: `chars` is the length of the open chunk, `tail` that of its last sentence,
+    which the next chunk opens with (null while there is no sentence end). Texts are put together afterwards, a slice of paragraphs each.
+    """
+    place = lambda v: F.lit(v).cast("int")
+    sizes = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n"), F.when(F.contains(p, F.lit(STOP)), F.length(F.substring_index(p, STOP, -1))).alias("last")))
+
+    def step(s, p):
+        full = (s["chars"] > 0) & (F.floor(s["chars"] / TOKEN_CHARS) + F.floor(p["n"] / TOKEN_CHARS) > most)
+        added = F.when(s["chars"] > 0, s["chars"] + 2 + p["n"]).otherwise(p["n"])
+        opened = F.when(s["tail"].isNull(), p["n"]).otherwise(s["tail"] + len(STOP) + p["n"])
+        return F.struct(
+            F.when(full, F.array_append(s["begins"], p["i"])).otherwise(s["begins"]).alias("begins"),
+            F.when(full, opened).otherwise(added).cast("int").alias("chars"),
+            F.when(full, F.coalesce(p["last"], F.when(s["tail"].isNotNull(), p["n"]))).otherwise(F.coalesce(p["last"], s["tail"] + 2 + p["n"])).cast("int").alias("tail"),
+        )
+
+    begins = F.aggregate(sizes, F.struct(F.array(place(0)).alias("begins"), place(0).alias("chars"), place(None).alias("tail")), step)["begins"]
+    bodies = F.transform(begins, lambda at, k: F.array_join(F.slice(parts, at + 1, F.coalesce(F.get(begins, k + 1), F.size(parts)) - at), "\n\n"))
+    opens = lambda k: F.exists(F.slice(bodies, place(1), k), lambda t: F.contains(t, F.lit(STOP)))  # noqa: E731  whether a chunk before has a sentence end
+    bare = F.transform(bodies, lambda t, k: F.when(opens(k), t).otherwise(F.regexp_replace(t, "^\n+", "")))
+    whole = F.transform(bare, lambda t, k: F.when(opens(k), F.concat(F.substring_index(F.get(bare, k - 1), STOP, -1), F.lit(STOP), t)).otherwise(t))
+    return F.filter(F.transform(whole, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+
+
 def packed_paragraphs(docs: DataFrame, most: int = 512) -> DataFrame:
     """(id, chunk, n_chunks, text) of (id, text) rows: paragraphs packed to `most` tokens (four characters each); a chunk opens with the last sentence of the one before.
 
     A text that fits is one chunk. A paragraph longer than `most` is a chunk of its own, as it is never split.
     """
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def pack(text: str) -> list[str]:
-        text = text.strip()
-        if len(text) // 4 <= most:
-            return [text] if text else []
-        out, current = [], ""
-        for part in text.split("\n"):
-            if current and len(current) // 4 + len(part) // 4 > most:
-                out.append(current.strip())
-                tail = current.split(". ")
-                current = f"{tail[-1]}. {part}" if len(tail) > 1 else part
-            else:
-                current = f"{current}\n\n{part}" if current else part
-        return out + ([current.strip()] if current.strip() else [])
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = docs.where("text IS NOT NULL").select("id", text.alias("text")).where("text <> ''")
+    fits = F.floor(F.length("text") / TOKEN_CHARS) <= most
+    chunks = F.when(fits, F.array("text")).otherwise(packed(F.split("text", "\n"), most))
+    return rows.select("id", chunks.alias("chunks")).select("id", F.posexplode("chunks").alias("chunk", "text"), F.size("chunks").cast("long").alias("n_chunks")).select("id", F.col("chunk").cast("long").alias("chunk"), "n_chunks", "text")
 
-    def run(batches):
-        import pandas as pd
 
-        for rows in batches:
-            found = [(i, k, len(chunks), c) for i, text in zip(rows.id, rows.text, strict=True) for chunks in [pack(text or "")] for k, c in enumerate(chunks)]
-            yield pd.DataFrame(found, columns=["id", "chunk", "n_chunks", "text"])
+def section_chunks(laws: DataFrame, most: int = 512) -> DataFrame:
+    """(id, law, chapter, section, heading, chunk, n_chunks, text) of laws (id, title, chapters array<struct<title, sections array<struct<number, heading, paragraphs array<string>>>>>).
 
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, chunk long, n_chunks long, text string")
+    Every section of every chapter by itself: one chunk, heading and paragraphs apart by blank lines, if that fits, else packed with the heading as the
+    first paragraph. Chapters without sections and sections without any text have no row.
+    """
+    chapters = laws.select("id", F.col("title").alias("law"), F.explode("chapters").alias("c"))
+    sections = chapters.select("id", "law", F.col("c.title").alias("chapter"), F.explode("c.sections").alias("s"))
+    rows = sections.select("id", "law", "chapter", F.col("s.number").alias("section"), F.col("s.heading").alias("heading"), F.array_compact(F.concat(F.array("s.heading"), F.coalesce("s.paragraphs", F.array().cast("array<string>")))).alias("_parts"))
+    joined = F.array_join("_parts", "\n\n")
+    chunks = F.when(F.trim(joined) == "", F.array().cast("array<string>")).when(F.floor(F.length(joined) / TOKEN_CHARS) <= most, F.array(joined)).otherwise(packed(F.col("_parts"), most))
+    found = rows.withColumn("_chunks", chunks).select("id", "law", "chapter", "section", "heading", F.posexplode("_chunks").alias("chunk", "text"), F.size("_chunks").alias("n_chunks"))
+    return found.select("id", "law", "chapter", "section", "heading", F.col("chunk").cast("long").alias("chunk"), F.col("n_chunks").cast("long").alias("n_chunks"), "text")
 
 
 @query("g3_packed_paragraphs")
@@ -288,6 +315,17 @@ def g3(spark, d):
     return chunks.select(F.col("id").alias("doc_id"), "chunk", "n_chunks", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+@query("g3b_section_chunks")
+def g3b(spark, d):
+    """Documents as laws of two chapters, a section a line and its sentences the paragraphs, packed to 64 tokens."""
+    lines = F.split("text", "\n")
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    sections = lambda part: F.transform(part, lambda s, k: F.struct((k + 1).alias("number"), F.substring(s, 1, 20).alias("heading"), F.split(s, r"(?<=[.!?]) ").alias("paragraphs")))
+    chapters = F.array(*[F.struct(F.lit(n).alias("title"), sections(part).alias("sections")) for n, part in (("I", F.slice(lines, 1, half)), ("II", F.slice(lines, half + 1, F.size(lines))))])
+    laws = table(spark, d, "documents", "doc_id", "source", "text").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), chapters.alias("chapters"))
+    return section_chunks(laws, 64).select(F.col("id").alias("doc_id"), "chapter", "section", "chunk", "n_chunks", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def chunks_by_type(docs: DataFrame) -> DataFrame:
     """(id, kind, n, text) of (id, type, text) rows by one of four chunkers: laws at their section marks (parts over 50 characters; paragraphs if there is none),
     circulars at blank lines, reports at heading lines, all else by sentences."""

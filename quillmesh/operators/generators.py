@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.catalog import query
+from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import table
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -77,11 +78,11 @@ def g4(spark, d):
     return p.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.concat_ws("/", "source", F.col("n") + 1).alias("path"), F.substring(F.sha2(F.concat_ws(":", "source", "doc_id", "s"), 256), 1, 16).alias("chunk_id"))
 
 
-@query("g5_section_descent", "WITH RECURSIVE t(id, root, depth) AS (SELECT 0::BIGINT, 0::BIGINT, 0 UNION ALL SELECT p_partkey, t.root, t.depth + 1 FROM part JOIN t ON t.id = (p_partkey - 1) // 5 WHERE p_partkey > 0 AND t.depth < 8) SELECT id, depth FROM t")
+@query("g5_section_descent", "WITH RECURSIVE t(id, root, depth) AS (SELECT 0::BIGINT, 0::BIGINT, 0 UNION ALL SELECT p_partkey, t.root, t.depth + 1 FROM part JOIN t ON t.id = (p_partkey - 1) // 5 WHERE p_partkey > 0) SELECT id, depth FROM t")
 def g5(spark, d):
-    """Children of children by a recursive common table expression over (id, parent)."""
-    table(spark, d, "part", "p_partkey").where("p_partkey > 0").selectExpr("p_partkey AS id", "CAST((p_partkey - 1) DIV 5 AS BIGINT) AS parent").createOrReplaceTempView("quillmesh_sections")
-    return spark.sql("WITH RECURSIVE t(id, depth) MAX RECURSION LEVEL 100 AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT s.id, t.depth + 1 FROM quillmesh_sections s JOIN t ON t.id = s.parent WHERE t.depth < 8) SELECT id, depth FROM t")
+    """The first section and all below it, by pointer doubling over (child, parent)."""
+    edges = table(spark, d, "part", "p_partkey").where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("(p_partkey - 1) DIV 5").alias("parent"))
+    return tree_depths(edges).where("root = 0").select(F.col("node").alias("id"), (F.col("depth") - 1).cast("int").alias("depth"))
 
 
 @query("g7_sentences", r"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\.([0-9])', '\1<dot>\2', 'g'), '([0-9])\.([0-9])', '\1<dot>\2', 'g') AS t FROM documents), s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(t, '[.!?]'))) AS s FROM m) SELECT doc_id, count(*) AS n, sum(length(replace(s, '<dot>', '.')))::BIGINT AS chars FROM s WHERE s <> '' GROUP BY doc_id")

@@ -16,6 +16,7 @@ from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.components import components
 from quillmesh.operators.joins import substrings
+from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import stage, table
 
 
@@ -256,35 +257,58 @@ def sentence_sources(rows: DataFrame, least: float = 0.7, shortest: int = 20) ->
 
 
 # Terms that stand for one another when one is in the answer and the other in a source.
-VARIANTS = {
-    "rs": "rs.", "section": "sec", "includes": "include", "means": "mean", "penalty": "fine", "imprisonment": "jail", "timber": "wood", "deodar": "cedrus", "forest": "woods",
-}
+VARIANTS = [
+    ("rs", "rs."), ("section", "sec"), ("includes", "include"), ("means", "mean"), ("penalty", "fine"), ("imprisonment", "jail"), ("timber", "wood"), ("deodar", "cedrus"), ("forest", "woods"),
+]
 
 
-def is_grounded(term: str, sources: set[str], least: float = 0.85) -> bool:
-    """FN44: equal to a source term, over `least` alike, or its variant."""
-    if term in sources:
-        return True
-    for source in sources:
-        if 2 * min(len(term), len(source)) > least * (len(term) + len(source)):
-            matcher = difflib.SequenceMatcher(None, term, source)
-            if matcher.quick_ratio() > least and matcher.ratio() > least:
-                return True
-        if any((k in term and v in source) or (v in term and k in source) for k, v in VARIANTS.items()):
-            return True
-    return False
-
-
-def ungrounded_terms(rows: DataFrame, least: float = 0.85) -> DataFrame:
-    """FN44: (id, n_terms, ungrounded) of (id, terms, sources) rows, terms in lower case."""
+def alike_terms(pairs: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (term, source) whose matching blocks make up over `least` of both."""
 
     def run(batches):
         for batch in batches:
-            terms, sources = (batch.column(k).to_pylist() for k in (1, 2))
-            left = [sorted(t for t in set(own or []) if not is_grounded(t, set(known or []), least)) for own, known in zip(terms, sources, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(set(t or [])) for t in terms], pa.int64()), pa.array(left, pa.list_(pa.string()))], names=["id", "n_terms", "ungrounded"])
+            matcher, keep = difflib.SequenceMatcher(None), []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                matcher.set_seqs(a, b)
+                keep.append(matcher.quick_ratio() > least and matcher.ratio() > least)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("term", "source").distinct().mapInArrow(run, "term string, source string")
+
 
-    return rows.select("id", "terms", "sources").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_terms long, ungrounded array<string>")
+def ungrounded_terms(rows: DataFrame, variants: DataFrame | None = None, least: float = 0.85) -> DataFrame:
+    """FN44: (id, n_terms, ungrounded) of (id, terms, sources) rows, terms in lower case: those that no source term of the row is equal to, over `least` alike or a variant of.
+
+    Three joins by row: on the term itself; on two letters in a row, which terms so alike must share (so `least` is 0.85 or more), of about equal
+    length, before blocks are matched once for each pair of terms; and on variants (a, b) of which one stands in the term and the other in a source term. Null terms
+    are left out.
+    """
+    if least < 0.85:
+        raise ValueError("terms less alike than 0.85 need not share two letters in a row")
+    if variants is None:
+        variants = rows.sparkSession.createDataFrame(VARIANTS, "a string, b string")
+    both = variants.select("a", "b").union(variants.select("b", "a")).where("a <> '' AND b <> ''").distinct()
+    own = stage(rows.select("id", "terms", "sources").withColumn("rid", F.monotonically_increasing_id()), "terms")
+    terms = own.select("rid", F.explode(F.array_distinct(F.array_compact("terms"))).alias("term"))
+    sources = own.select("rid", F.explode(F.array_distinct(F.array_compact("sources"))).alias("source"))
+    rest = stage(terms.join(sources.select("rid", F.col("source").alias("term")), ["rid", "term"], "left_anti"), "unequal-terms")
+
+    twos = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
+    shared = rest.select("rid", "term", F.explode(twos("term")).alias("two")).join(sources.select("rid", "source", F.explode(twos("source")).alias("two")), ["rid", "two"])
+    pairs = shared.where(2 * F.least(F.length("term"), F.length("source")) > least * (F.length("term") + F.length("source"))).select("rid", "term", "source").distinct()
+    pairs = stage(pairs, "term-pairs")
+    alike = pairs.join(alike_terms(pairs, least), ["term", "source"]).select("rid", "term")
+
+    longest = both.agg(F.max(F.length("a"))).first()[0] or 1
+    inside = lambda frame, c: frame.select("rid", c, F.explode(substrings(F.col(c), 1, longest)).alias("part"))
+    numbered_pairs = both.select(F.col("a").alias("part"), F.col("b").alias("other"))
+    told = inside(rest, "term").join(numbered_pairs, "part").select("rid", "term", "other")
+    named = inside(sources, "source").select("rid", F.col("part").alias("other")).join(both.select(F.col("b").alias("other")).distinct(), "other").distinct()
+    variant = told.join(named, ["rid", "other"]).select("rid", "term")
+
+    left = rest.join(alike.union(variant).distinct(), ["rid", "term"], "left_anti").groupBy("rid").agg(F.array_sort(F.collect_list("term")).alias("ungrounded"))  # a row's own terms
+    none = F.array().cast("array<string>")
+    return own.join(left, "rid", "left").select("id", F.size(F.coalesce(F.array_distinct(F.array_compact("terms")), none)).cast("long").alias("n_terms"), F.coalesce("ungrounded", none).alias("ungrounded"))
 
 
 def _answers(spark, d) -> DataFrame:
@@ -439,19 +463,8 @@ def fn63(spark, d):
     return located(rows, places.select(F.col("n_name").alias("place"), F.col("n_nationkey").cast("string").alias("district"), F.col("r_name").alias("division"), (F.col("r_regionkey") == 0).alias("special")))
 
 
-def tree_depths(edges: DataFrame) -> DataFrame:
-    """GR6: (node, depth) of (child, parent) edges: 1 for a node without parent, one more for each level, until no node is added."""
-    front = stage(edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(1).alias("depth")), "roots")
-    found, depth = front, 1
-    while not front.isEmpty():
-        depth += 1
-        front = stage(edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct(), "level")
-        found = found.unionByName(front)
-    return found
-
-
 @query("gr6_tree_depth_and_branching", "WITH RECURSIVE e AS (SELECT p_partkey AS child, (p_partkey - 1) // 2 AS parent FROM part WHERE p_partkey > 0), t(node, depth) AS (SELECT 0::BIGINT, 1 UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN e ON e.parent = t.node) SELECT max(depth) AS depth, count(*) AS n_nodes, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY parent)) AS branching FROM t")
 def gr6(spark, d):
     edges = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("(p_partkey - 1) DIV 2").alias("parent"))
     widest = edges.groupBy("parent").agg(F.count("*").alias("n")).agg(F.max("n").alias("branching"))
-    return tree_depths(edges).agg(F.max("depth").alias("depth"), F.count("*").alias("n_nodes")).crossJoin(widest)  # one row by one
+    return tree_depths(edges).agg(F.max("depth").cast("int").alias("depth"), F.count("*").alias("n_nodes")).crossJoin(widest)  # one row by one

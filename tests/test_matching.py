@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillmesh.functions import records
-from quillmesh.operators import matching
+from quillmesh.operators import matching, trees
 
 
 def connected(ids, linked):
@@ -124,6 +124,24 @@ def test_sentences_and_terms_equal_brute_force(spark):
     assert got == {1: ["rs", "tree"], 2: [], 3: []}
 
 
+def test_ungrounded_terms_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = ["forest", "forests", "woods", "section", "sections", "sec", "penalty", "penalties", "fine", "timber", "x", "ab", "abc", "imprisonment", "rs.", "rs", ""]
+    made = lambda: rng.choice(base) + rng.choice(["", "", "s", "x", "ed"])
+    rows = [(k % 50, [made() for _ in range(rng.randrange(6))], [made() for _ in range(rng.randrange(5))]) for k in range(80)] + [(100, [None, "tree"], [None]), (101, None, ["a"])]
+
+    def grounded(term, sources):
+        near = any(difflib.SequenceMatcher(None, term, s).ratio() > 0.85 for s in sources)
+        return near or any(a in term and b in s for s in sources for x, y in matching.VARIANTS for a, b in ((x, y), (y, x)))
+
+    expected = []
+    for k, terms, sources in rows:
+        own, known = {t for t in terms or [] if t is not None}, {s for s in sources or [] if s is not None}
+        expected.append((k, len(own), sorted(t for t in own if not grounded(t, known))))
+    got = matching.ungrounded_terms(spark.createDataFrame([(*r, "x") for r in rows], "id long, terms array<string>, sources array<string>, rid string")).collect()
+    assert sorted((r.id, r.n_terms, r.ungrounded) for r in got) == sorted(expected)
+
+
 def test_packed_paragraphs(spark):
     rng = random.Random(6)
     docs = {k: "\n".join(". ".join("w" * rng.randint(1, 200) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))) for k in range(25)}
@@ -144,9 +162,48 @@ def test_packed_paragraphs(spark):
         assert all(len(c.text) // 4 <= 512 + longest + 2 for c in chunks)
 
 
+def brute_chunks(parts, most, opening=""):
+    """The first chunk, as long as it may be, then those of the rest."""
+    text = lambda n: opening + "\n\n".join(parts[:n]) if opening else "\n\n".join(parts[:n]).lstrip("\n")
+    n = 1
+    while n < len(parts) and (not text(n) or len(text(n)) // 4 + len(parts[n]) // 4 <= most):
+        n += 1
+    own = [text(n).strip()] if text(n).strip() else []
+    return own + (brute_chunks(parts[n:], most, text(n).split(". ")[-1] + ". " if ". " in text(n) else "") if n < len(parts) else [])
+
+
+def test_chunks_equal_brute_force(spark):
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice(["ab", ". ", " ", "c.", "x" * 9]) for _ in range(rng.randrange(0, 9))) if rng.random() > 0.2 else ""
+    rows = [(k, [part() for _ in range(rng.randrange(1, 14))]) for k in range(300)]
+    found = spark.createDataFrame(rows, "id long, parts array<string>").select("id", records.packed(F.col("parts"), 8).alias("chunks")).collect()
+    assert {r.id: r.chunks for r in found} == {k: brute_chunks(parts, 8) for k, parts in rows}
+
+
+def test_sections_of_chapters(spark):
+    long = ["a sentence of some words. and another one"] * 4
+    laws = [(1, "Law", [("I", [(1, "Head", ["one", "two"]), (2, "Long head", long), (3, None, None), (4, "Only", None)]), ("II", None), ("III", [(1, "Other", ["x", None])])]), (2, "Empty", []), (3, None, None)]
+    schema = "id long, title string, chapters array<struct<title: string, sections: array<struct<number: int, heading: string, paragraphs: array<string>>>>>"
+    got = {}
+    for r in records.section_chunks(spark.createDataFrame(laws, schema), 16).orderBy("chunk").collect():
+        got.setdefault((r.id, r.chapter, r.section), []).append(r.text)
+        assert r.law == "Law"
+    assert got == {(1, "I", 1): ["Head\n\none\n\ntwo"], (1, "I", 2): brute_chunks(["Long head", *long], 16), (1, "I", 4): ["Only"], (1, "III", 1): ["Other\n\nx"]}
+
+
 def test_dates_and_circulars_of_odd_texts(spark):
     rows = [("5 مارچ 2001 and 03/04/1999", ["1999-04-03", "2001-03-05"]), ("in 1987", ["1987-01-01"]), ("12-jan-2000, 12 JANUARY 2000", ["2000-01-12", "2000-01-12"]), ("99/99/1999 31.02.2001", []), (None, None), ("", [])]
     got = [r.d if r.d is None else [str(x) for x in r.d] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string").orderBy("i").select(records.all_dates(F.col("text")).alias("d")).collect()]
     assert got == [e for _, e in rows]
     empty = spark.createDataFrame([("",), ("nothing of the kind",), (None,)], "text string").select(records.circular(F.col("text")).alias("c")).select("c.*").collect()
     assert all(r.number is None and r.day is None and r.deadline is None and not r.recipients for r in empty)
+
+
+def test_tree_depths(spark):
+    path = [(k + 1, k) for k in range(10_000)]
+    got = {r.node: (r.root, r.depth) for r in trees.tree_depths(spark.createDataFrame(path, "child long, parent long")).collect()}
+    assert got == {k: (0, k + 1) for k in range(10_001)}
+    odd = [(2, 1), (3, 2), (1, 3), (4, 3), (5, 4), (6, 6), (11, 10), (12, 11), (12, 99), (12, 11), (13, None), (None, 10), (101, 100)]  # a cycle, what hangs below it, a loop
+    got = {r.node: (r.root, r.depth) for r in trees.tree_depths(spark.createDataFrame(odd, "child long, parent long")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 5, 6), (None, None)), 10: (10, 1), 11: (10, 2), 12: (10, 3), 100: (100, 1), 101: (100, 2)}
+    assert trees.tree_depths(spark.createDataFrame([], "child long, parent long")).count() == 0
