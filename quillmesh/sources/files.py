@@ -97,10 +97,14 @@ def src11(spark, d):
     return rows.where("n_regionkey = 2").select("n_nationkey", "n_name")
 
 
-@query("src12_simulated_alerts", "SELECT i AS alert, CASE WHEN i % 10 < 5 THEN 'north' WHEN i % 10 < 8 THEN 'centre' ELSE 'south' END AS zone, DATE '2024-01-30' - CAST(i % 30 AS INTEGER) AS day FROM range(1000) t(i)")
+@query("src12_simulated_alerts", "SELECT event_id AS alert, CASE WHEN event_id % 10 < 5 THEN 'north' WHEN event_id % 10 < 8 THEN 'centre' ELSE 'south' END AS zone, CAST(ts AS DATE) - CAST(event_id % 30 AS INTEGER) AS day FROM events")
 def src12(spark, d):
-    zone = F.when(F.col("id") % 10 < 5, "north").when(F.col("id") % 10 < 8, "centre").otherwise("south")
-    return spark.range(1000).select(F.col("id").alias("alert"), zone.alias("zone"), F.date_sub(F.lit("2024-01-30").cast("date"), (F.col("id") % 30).cast("int")).alias("day"))
+    """Alerts landed from the table of events, as a feed: zones by weight 5, 3 and 2, days up to 29 before the event's."""
+    path = landing(spark, "alerts")
+    table(spark, d, "events", "event_id", "ts").select("event_id", F.to_date("ts").alias("day")).write.json(path)
+    rows = spark.read.schema("event_id long, day date").json(path)
+    zone = F.when(F.col("event_id") % 10 < 5, "north").when(F.col("event_id") % 10 < 8, "centre").otherwise("south")
+    return rows.select(F.col("event_id").alias("alert"), zone.alias("zone"), F.date_sub("day", (F.col("event_id") % 30).cast("int")).alias("day"))
 
 
 @query("src13_column_discovery", "SELECT * FROM (VALUES ('p_partkey', 0), ('p_name', 1), ('p_brand', 2), ('p_type', 3), ('p_size', 4), ('p_retailprice', 5)) t(column_name, position)")
