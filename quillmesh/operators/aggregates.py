@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.filters import recent
-from quillmesh.runtime import table
+from quillmesh.runtime import numbered, stage, table
 
 RESOLVED = ("auto_resolved", "manual_resolved", "system_fixed")
 
@@ -275,15 +275,44 @@ def a29(spark, d):
     return confidence_bands(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), (F.col("l_quantity") / 50).alias("c")), "method", "c")
 
 
-def degree_centrality(members: DataFrame, chunk: str, node: str) -> DataFrame:
-    """Nodes that share a chunk are neighbours; degree / (n - 1).
+#: Members of a chunk up to which its pairs are less than bitmaps of its members would take.
+LARGE_CHUNK = 1000
 
-    Pairs arise within a chunk only; nodes of a chunk are few, so this is linear in mentions.
+
+def neighbour_counts(members: DataFrame, large: int = LARGE_CHUNK) -> DataFrame:
+    """Of each node v of the distinct (c, v) its other nodes that share a chunk c, as (v, degree); nodes without any are left out.
+
+    Chunks of up to `large` members give pairs, at most `large` a membership. Larger ones give none: their members
+    are numbered, each chunk is a bitmap by ranges of 32,768 numbers, and nodes of the same large chunks
+    are one class, told by two hashes of 64 bits, whose bitmaps are OR-ed once. A pair from a small chunk counts only
+    where the bitmap of v's class lacks w. Null chunks and nodes are no members.
     """
-    m = members.select(F.col(chunk).alias("c"), F.col(node).alias("v")).distinct()
-    pairs = m.join(m.select("c", F.col("v").alias("w")), "c").where("v != w").select("v", "w").distinct()
+    sizes = members.groupBy("c").agg(F.count("*").alias("n"))
+    sized = stage(members.join(sizes, "c"), "chunk-members")
+    small, big = sized.where(F.col("n") <= large).select("c", "v"), sized.where(F.col("n") > large).select("c", "v")
+    pairs = small.join(small.select("c", F.col("v").alias("w")), "c").where("v != w").select("v", "w").distinct()
+    if big.isEmpty():
+        return pairs.groupBy("v").agg(F.count("*").alias("degree"))
+    number = F.col("_number") + 1
+    numbers = numbered(big.select("v").distinct(), "chunk-nodes", "v").select("v", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
+    classes = big.groupBy("v").agg(F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("h2"))
+    nodes = stage(numbers.join(classes, "v"), "chunk-classes")
+    chunks = big.join(nodes.select("v", "bucket", "bit"), "v").groupBy("c", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    one = nodes.groupBy("h1", "h2").agg(F.min("v").alias("v"))  # a node stands for its class
+    reached = stage(one.join(big, "v").select("h1", "h2", "c").join(chunks, "c").groupBy("h1", "h2", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "chunk-unions")
+    whole = nodes.select("v", "h1", "h2").join(reached.groupBy("h1", "h2").agg(F.sum(F.bitmap_count("bits")).alias("n")), ["h1", "h2"]).select("v", (F.col("n") - 1).alias("degree"))
+    place = nodes.select(F.col("v").alias("w"), "bucket", "bit")
+    asked = pairs.join(nodes.select("v", "h1", "h2"), "v", "left").join(place, "w", "left").join(reached, ["h1", "h2", "bucket"], "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return asked.where(~met).groupBy("v").agg(F.count("*").alias("degree")).unionByName(whole).groupBy("v").agg(F.sum("degree").alias("degree"))
+
+
+def degree_centrality(members: DataFrame, chunk: str, node: str, large: int = LARGE_CHUNK) -> DataFrame:
+    """Nodes that share a chunk are neighbours; degree / (n - 1)."""
+    m = stage(members.select(F.col(chunk).alias("c"), F.col(node).alias("v")).where("c IS NOT NULL AND v IS NOT NULL").distinct(), "chunk-nodes")
     n = m.agg(F.count_distinct("v").alias("n"))
-    return pairs.groupBy("v").agg(F.count("*").alias("degree")).crossJoin(F.broadcast(n)).select(F.col("v").alias("node"), "degree", share(F.col("degree"), F.col("n") - 1, 6).alias("centrality"))
+    return neighbour_counts(m, large).crossJoin(F.broadcast(n)).select(F.col("v").alias("node"), "degree", share(F.col("degree"), F.col("n") - 1, 6).alias("centrality"))
 
 
 @query("a30_degree_centrality", "WITH m AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS v FROM lineitem), p AS (SELECT DISTINCT a.v, b.v AS w FROM m a JOIN m b ON a.c = b.c AND a.v <> b.v) SELECT v AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT v) FROM m) - 1), 6) AS centrality FROM p GROUP BY v")

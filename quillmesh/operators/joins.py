@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.filters import BOXES, first_pool
-from quillmesh.runtime import table
+from quillmesh.runtime import stage, table, unstage
 
 
 def substrings(text: Column, least: int, most: int) -> Column:
@@ -19,18 +19,29 @@ def substrings(text: Column, least: int, most: int) -> Column:
     return F.array_distinct(parts)
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str) -> DataFrame:
-    """Each left row with the right row of its key that is latest at or before it; the earliest where none is.
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str, rows: int = 200_000) -> DataFrame:
+    """Each left row with the right row of its key that is latest at or before it; the earliest where none is.
 
-    Both sides go into one stream sorted by (key, time): linear, whatever the number of versions.
+    Both sides are sorted by (key, time, id) into ranges of about `rows` rows, so a hot key, and a hot time of it,
+    spread over ranges. Within a range the last version is a window's; what earlier ranges leave to a key is carried
+    by one row a (range, key). Ties of time: the largest value. A left row without a time takes the earliest version;
+    one whose key is null or has no version gets nulls. Versions without a key or a time are no versions.
     """
-    order = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(key)
-    r = right.select(F.col(key), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(at).alias("_at"), F.col(value).alias("_v")).alias("_version"), F.lit(None).cast(left.schema["_id"].dataType).alias("_id"))
-    v = r.groupBy(key, "_t", "_side", "_id").agg(F.max("_version").alias("_version"))
-    a = left.select(F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(v.schema["_version"].dataType).alias("_version"), "_id")
-    rows = v.unionByName(a).select("*", F.last("_version", ignorenulls=True).over(order).alias("_last"), F.min("_version").over(all_rows).alias("_first"))
-    return rows.where("_side = 1").select("_id", F.coalesce("_last", "_first").alias("_version")).select("_id", F.col("_version._v").alias(value), F.col("_version._at").alias(at))
+    versions = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(at).alias("_t")).agg(F.max(value).alias("_v"))
+    version = F.struct(F.col("_t").alias("_at"), "_v")
+    known = versions.select("_k", "_t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_id"].dataType).alias("_id"), version.alias("_version"))
+    asked = left.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_side"), "_id", F.lit(None).cast(known.schema["_version"].dataType).alias("_version"))
+    both = stage(known.unionByName(asked), "asof-rows")
+    order = ("_k", "_t", "_side", "_id")
+    cut = stage(both.repartitionByRange(max(1, -(-both.count() // rows)), *order).withColumn("_range", F.spark_partition_id()), "asof-ranges")
+    unstage(both)
+    ends = cut.where("_side = 0").groupBy("_range", "_k").agg(F.min("_version").alias("_low"), F.max("_version").alias("_high"))
+    cells = cut.select("_range", "_k").distinct().join(ends, ["_range", "_k"], "left")
+    earlier = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select("_range", "_k", F.max("_high").over(earlier).alias("_carried"), F.min("_low").over(Window.partitionBy("_k")).alias("_first"))
+    own = Window.partitionBy("_range", "_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.withColumn("_last", F.last("_version", ignorenulls=True).over(own)).where("_side = 1").join(carried, ["_range", "_k"], "left")
+    return found.select("_id", F.coalesce("_last", F.when(F.col("_t").isNotNull(), F.col("_carried")), "_first").alias("_version")).select("_id", F.col("_version._v").alias(value), F.col("_version._at").alias(at))
 
 
 def fallback_lookup(frame: DataFrame, lookups: list[tuple[DataFrame, str, str]], value: str) -> DataFrame:
