@@ -26,4 +26,4 @@ def load() -> None:
         import_module(f"quillmesh.{name}")
 
 
-MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.matching", "operators.ranking", "functions.text", "functions.records", "functions.scoring", "functions.segmentation", "functions.encoding", "operators.generators", "operators.graph", "operators.clusters", "sources.files", "sources.packages", "sources.pdf", "operators.vector_index", "operators.dictionaries", "streaming.events", "plans.registry", "plans.refresh")
+MODULES = ("operators.filters", "operators.aggregates", "operators.joins", "operators.windows", "operators.matching", "operators.ranking", "functions.text", "functions.records", "functions.scoring", "functions.segmentation", "functions.encoding", "operators.generators", "operators.graph", "operators.clusters", "sources.files", "sources.packages", "sources.pdf", "operators.vector_index", "operators.dictionaries", "streaming.events", "streaming.queues", "plans.registry", "plans.refresh")

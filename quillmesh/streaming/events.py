@@ -32,10 +32,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that has landed and return the rows that its sink holds."""
+def drain(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a stream over all that has landed and return the rows that its sink holds; a `base` folder used before goes on where it ended."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = spark.createDataFrame([], stream.schema).schema
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out")
