@@ -15,8 +15,10 @@ windows that are equal, so equal windows meet under one sample; one position in
 One suffix array of the whole corpus would move every suffix in each round, many times the disk
 that a pass may use (README); this moves a fraction of them once and gives the same bytes.
 
-Names are met by hash exchange; a name with over `GROUP` contexts isn't gathered: its windows are
-named themselves and counted with map-side aggregation.
+Names are met by hash exchange. A name with over `GROUP` contexts is split first (`split_names`):
+contexts that are equal count as one, and two others share a window only if they agree for long
+enough before the sample or behind it, so they meet by more of their bytes, until a name is small
+enough to be sorted or is a whole window itself.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; repeated rows
 and copies cover each other wholly; a null doc_id is kept; an empty table gives an empty result;
@@ -39,8 +41,10 @@ from quillmesh.runtime import stage, table
 
 LENGTH = 200
 GRAM = 64
-#: Places of one name whose contexts one task may hold and sort (about 300 bytes each).
-GROUP = 100_000
+#: Bytes of a window besides its sample.
+REST = LENGTH - GRAM
+#: Contexts of one name that one task may hold and sort (about 300 bytes each); names with more are split.
+GROUP = 20_000
 #: Bytes handled at once; an index into them fits 20 bits.
 PIECE = 1 << 19
 UNIT = 4 << 20
@@ -224,7 +228,7 @@ def all_samples(docs: DataFrame) -> DataFrame:
 
 
 def contexts(candidates: DataFrame) -> DataFrame:
-    """(name, digest, at, lo, crowded, context) for (digest, text, places, crowded) rows; copies are left out where met."""
+    """(name, digest, at, lo, context) for (digest, text, places) rows; copies are left out where met."""
 
     def run(batches):
         met: set[bytes] = set()
@@ -238,12 +242,11 @@ def contexts(candidates: DataFrame) -> DataFrame:
             if len(met) > 500_000:
                 met.clear()
             batch = batch.take(pa.array(keep, pa.int64()))
-            texts, places, crowded = as_bytes(batch.column(1).to_pylist()), batch.column(2), batch.column(3)
-            sets = [np.asarray(p.values) for p in places]
-            crowds = [np.asarray(p.values) for p in crowded]
+            texts = as_bytes(batch.column(1).to_pylist())
+            sets = [np.asarray(p.values) for p in batch.column(2)]
             digests = batch.column(0).to_pylist()
             for owner, at, name, lo, hi in sampled(texts):
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], []]
                 cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
                 for a, z in zip(cuts, [*cuts[1:], len(owner)], strict=True):
                     o = int(owner[a])
@@ -253,25 +256,30 @@ def contexts(candidates: DataFrame) -> DataFrame:
                     rows[1] += [digests[o]] * len(taken)
                     rows[2].append(at[taken])
                     rows[3].append(lo[taken])
-                    rows[4].append(np.isin(at[taken], crowds[o]))
-                    rows[5] += [text[x : y + LENGTH] for x, y in zip(lo[taken].tolist(), hi[taken].tolist(), strict=True)]
+                    rows[4] += [text[x : y + LENGTH] for x, y in zip(lo[taken].tolist(), hi[taken].tolist(), strict=True)]
                 if rows[1]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(rows[0])), pa.array(rows[1], pa.binary()), pa.array(np.concatenate(rows[2])), pa.array(np.concatenate(rows[3])), pa.array(np.concatenate(rows[4])), pa.array(rows[5], pa.binary())],
-                        names=["name", "digest", "at", "lo", "crowded", "context"],
+                        [pa.array(np.concatenate(rows[0])), pa.array(rows[1], pa.binary()), pa.array(np.concatenate(rows[2])), pa.array(np.concatenate(rows[3])), pa.array(rows[4], pa.binary())],
+                        names=["name", "digest", "at", "lo", "context"],
                     )
 
-    return candidates.mapInArrow(run, "name long, digest binary, at long, lo long, crowded boolean, context binary")
+    return candidates.mapInArrow(run, "name long, digest binary, at long, lo long, context binary")
 
 
 def gathered_spans(found: DataFrame) -> DataFrame:
-    """(digest, begin, end) of repeated bytes: names met in tasks, a unit of whole names at a time."""
+    """(digest, begin, end) of repeated bytes: names met in tasks, a unit of whole names at a time.
+
+    A place comes once under the names of a branch, but may come in several branches: they are sorted apart.
+    """
 
     def unit(columns):
-        name, digest, _, lo, texts = columns
-        once = np.concatenate([[True], (name[1:] != name[:-1]) | (lo[1:] != lo[:-1]) | (digest[1:] != digest[:-1])])
-        name, digest, lo, texts = name[once], digest[once], lo[once], texts[once]
-        spans = repeated_windows(list(texts), name)
+        name, digest, branch, lo, texts = columns
+        once = np.concatenate([[True], (name[1:] != name[:-1]) | (lo[1:] != lo[:-1]) | (digest[1:] != digest[:-1]) | (branch[1:] != branch[:-1])])
+        name, digest, branch, lo, texts = name[once], digest[once], branch[once], lo[once], texts[once]
+        spans = []
+        for b in np.unique(branch):
+            own = np.flatnonzero(branch == b)
+            spans += [(own[k], *span) for k, *span in repeated_windows(list(texts[own]), name[own])]
         rows = np.array([s[0] for s in spans], np.int64)
         begin = lo[rows] + np.array([s[1] for s in spans], np.int64)
         end = lo[rows] + np.array([s[2] for s in spans], np.int64) + LENGTH
@@ -297,24 +305,42 @@ def gathered_spans(found: DataFrame) -> DataFrame:
         if carry is not None and len(carry[0]):
             yield unit(carry)
 
-    met = found.select("name", "digest", "at", "lo", "context").repartition("name").sortWithinPartitions("name", "digest", "lo")
+    met = found.select("name", "digest", "branch", "lo", "context").repartition("name").sortWithinPartitions("name", "branch", "digest", "lo")
     return met.mapInArrow(run, "digest binary, begin long, end long")
 
 
-def crowded_spans(found: DataFrame) -> DataFrame:
-    """The same for names with more contexts than a task may hold: windows named and counted one by one."""
-
-    def run(batches):
-        for batch in batches:
-            for digest, lo, context in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n = len(context) - LENGTH + 1
-                words = [hashlib.blake2b(context[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([digest] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "digest", "begin"])
+def split_names(found: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts by branch under names of at most `group`, (digest, begin, end) of bytes that repeat) for the contexts of crowded names.
 
-    windows = found.select("digest", "lo", "context").mapInArrow(run, "window binary, digest binary, begin long")
-    place = F.xxhash64("digest", "begin")
-    twice = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("window")
-    return windows.join(twice, "window").select("digest", "begin", (F.col("begin") + LENGTH).alias("end"))
+    A context whose bytes come in two places repeats as it stands; one of each goes on. A window
+    with o bytes before its sample has REST - o behind it. A name stands for windows with l to
+    REST - r bytes before the sample: its contexts agree on the l bytes before and the r behind. A
+    crowded name is halved, o up to the middle (more bytes behind agree) and beyond it (more before),
+    so after eight rounds at most l + r = REST and its contexts agree on a whole window.
+    """
+    found = stage(found.select("digest", "at", "lo", "context", F.unhex(F.md5("context")).alias("same")), "crowded")
+    place = F.xxhash64("digest", "lo")
+    heads = found.groupBy("same").agg(F.first(F.struct("digest", "at", "lo", "context")).alias("head"), F.min(place).alias("a"), F.max(place).alias("z"))
+    heads = stage(heads, "crowded-heads")
+    repeated = found.join(heads.where("a != z").select("same"), "same")
+    spans = repeated.select("digest", F.col("lo").alias("begin"), (F.col("lo") + F.length("context")).alias("end"))
+    front, small = heads.select("head.*", F.lit(0).alias("l"), F.lit(0).alias("r")), None
+    while True:
+        part = F.expr(f"substring(context, int(at - lo) - l + 1, l + {GRAM} + r)")
+        front = stage(front.withColumn("part", F.unhex(F.md5(part))), "split-contexts")
+        names = stage(front.groupBy("part", "l", "r").agg(F.count("*").alias("n")).where("n > 1"), "split-names")
+        met = front.join(names, ["part", "l", "r"])
+        whole = F.col("l") + F.col("r") == REST
+        spans = spans.union(met.where(whole).select("digest", (F.col("at") - F.col("l")).alias("begin"), (F.col("at") - F.col("l") + LENGTH).alias("end")))
+        few = met.where(~whole & (F.col("n") <= group)).select(F.xxhash64("part", "l", "r").alias("name"), "digest", (F.col("l") * LENGTH + F.col("r")).alias("branch"), "lo", "context")
+        small = few if small is None else small.union(few)
+        many = ~whole & (F.col("n") > group)
+        if names.where(many).isEmpty():
+            return small, spans
+        middle = F.floor((F.col("l") + REST - F.col("r")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("l"), (REST - middle).alias("r")), F.struct((middle + 1).alias("l"), F.col("r")))
+        front = met.where(many).select("digest", "at", "lo", "context", F.explode(halves).alias("half")).select("digest", "at", "lo", "context", "half.l", "half.r")
+        front = front.where(f"at - lo >= l AND at - (lo + length(context) - {LENGTH}) <= {REST} - r")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -338,14 +364,16 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     names = stage(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
     places = (
         found.join(names, "name").groupBy("text_key")
-        .agg(F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("n") > group, F.col("at"))).alias("crowded"))
+        .agg(F.collect_set(F.when(F.col("n") <= group, F.col("at"))).alias("places"), F.collect_set(F.when(F.col("n") > group, F.col("at"))).alias("crowded"))
     )  # fmt: skip  at most a text's own samples come together
     texts = docs.select(F.xxhash64("text").alias("text_key"), F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("digest"), "text")
     candidates = stage(texts.join(places, "text_key").select("digest", "text", "places", "crowded"), "candidates")
-    met = contexts(candidates)
-    spans = gathered_spans(met.where("NOT crowded"))
-    if not names.where(F.col("n") > group).isEmpty():
-        spans = spans.union(crowded_spans(met.where("crowded")))
+    met = contexts(candidates.select("digest", "text", "places")).select("name", "digest", F.lit(0).alias("branch"), "lo", "context")
+    if names.where(F.col("n") > group).isEmpty():
+        spans = gathered_spans(met)
+    else:
+        small, spans = split_names(contexts(candidates.where(F.size("crowded") > 0).select("digest", "text", F.col("crowded").alias("places"))), group)
+        spans = spans.union(gathered_spans(met.union(small)))
     own = spans.groupBy("digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return candidates.select("digest", "text").join(own, "digest")
 

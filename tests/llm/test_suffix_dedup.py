@@ -58,6 +58,41 @@ def test_crowded_names_equal_brute_force(spark):
     assert got(suffix_dedup.suffix_dedup(frame, group=6).collect()) == brute(docs)
 
 
+def test_one_name_with_many_contexts(spark):
+    """Passages that agree on a part of what stands around one core: names are split until small, whole windows are counted."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    core, before, behind = letters(120), letters(300), letters(300)
+    docs = []
+    for k in range(300):
+        p, q = rng.choice([0, 5, 20, 60, 100, 250]), rng.choice([0, 5, 20, 60, 100, 250])
+        docs.append((k, letters(200 - rng.randint(0, 150)) + before[len(before) - p :] + core + behind[:q] + letters(200)))
+    docs += [(1000 + k, t) for k, t in docs[:30]] + [(2000 + k, "x" + t[50:]) for k, t in docs[:30]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    expected = brute(docs)
+    for group in (2, 40):
+        assert got(suffix_dedup.suffix_dedup(frame, group=group).collect()) == expected
+
+
+def test_split_names_are_small(spark):
+    rng = random.Random(5)
+    bits = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    core, group = bits(64), 25
+    left, right = [bits(136) for _ in range(3)], [bits(136) for _ in range(3)]
+    rows = []
+    for k in range(400):  # sample at 136 of a context of 336 bytes, agreement of unlike lengths on both sides
+        p, q = rng.randint(0, 136), rng.randint(0, 136)
+        context = bits(136 - p) + rng.choice(left)[136 - p :] + core + rng.choice(right)[:q] + bits(136 - q)
+        rows.append((bytes([k // 256, k % 256]), 136, 0, context))
+    found = spark.createDataFrame(rows, "digest binary, at long, lo long, context binary")
+    small, spans = suffix_dedup.split_names(found, group)
+    assert small.groupBy("name").count().agg({"count": "max"}).first()[0] <= group
+    reached = {(bytes(r.digest), k) for r in spans.collect() for k in range(r.begin, r.end - 199)}
+    reached |= {(bytes(r.digest), k) for r in suffix_dedup.gathered_spans(small).collect() for k in range(r.begin, r.end - 199)}
+    seen = Counter(c[k : k + 200] for _, _, _, c in rows for k in range(137))
+    assert reached == {(d, k) for d, _, _, c in rows for k in range(137) if seen[c[k : k + 200]] > 1}
+
+
 def test_memory_of_one_name():
     """10,000 contexts of one name, sorted in one task."""
     rng = random.Random(1)
