@@ -11,14 +11,19 @@ from quillmesh.operators.filters import BOXES, first_pool
 from quillmesh.runtime import stage, table, unstage
 
 
-def substrings(text: Column, least: int, most: int) -> Column:
-    """The distinct substrings of a short text, of `least` to `most` characters."""
+def substrings(text: Column, least: int, most: int, lengths: list[int] | None = None) -> Column:
+    """The distinct substrings of a short text, of `least` to `most` characters; of `lengths`, if given, only these."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    lengths = F.array(*[F.lit(k) for k in range(least, most + 1)])
+    lengths = F.array(*[F.lit(k) for k in range(least, most + 1) if lengths is None or k in lengths]).cast("array<int>")
     parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.length(text)), lambda n: F.substring(text, i, n))))
     return F.array_distinct(parts)
 
 
+def lengths_of(frame: DataFrame, text: Column, most: int) -> list[int]:
+    """The different lengths, `most` at most, of texts that are looked for in others: no substring of another length can be one."""
+    return sorted(r[0] for r in frame.select(F.length(text).alias("n")).where(F.col("n") <= most).distinct().collect())
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str, rows: int = 200_000) -> DataFrame:
     """Each left row with the right row of its key that is latest at or before it; the earliest where none is.
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.components import components
-from quillmesh.operators.joins import substrings
+from quillmesh.operators.joins import lengths_of, substrings
 from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import stage, table
 
@@ -408,7 +408,7 @@ def j19(spark, d):
 def contained_either_way(rows: DataFrame, title: str, registry: DataFrame, base: str, longest: int = 40) -> DataFrame:
     """rows joined with the registry rows whose short text is part of the title, or the title part of it; by equi-joins on substrings."""
     wide = registry.withColumn("_parts", F.array_distinct(F.array_union(substrings(F.col(base), 1, longest), F.array(F.lit(None).cast("string")))))
-    inside = rows.withColumn("_part", F.explode(substrings(F.col(title), 1, longest))).join(registry, F.col("_part") == F.col(base)).drop("_part")
+    inside = rows.withColumn("_part", F.explode(substrings(F.col(title), 1, longest, lengths_of(registry, F.col(base), longest)))).join(registry, F.col("_part") == F.col(base)).drop("_part")
     around = rows.join(wide.withColumn("_part", F.explode("_parts")).drop("_parts"), F.col("_part") == F.col(title)).drop("_part")
     return inside.unionByName(around).distinct()
 
@@ -449,10 +449,15 @@ def j27(spark, d):
 
 
 def located(rows: DataFrame, places: DataFrame, longest: int = 40) -> DataFrame:
-    """FN63: (id, place, district, division, special) of (id, location): the longest place name that stands in the location, and what it belongs to."""
-    parts = rows.select("id", F.explode(substrings(F.lower("location"), 2, longest)).alias("part"))
-    best = parts.join(places, F.col("part") == F.lower("place")).groupBy("id").agg(F.max_by(F.struct("place", "district", "division", "special"), F.struct(F.length("place"), "place")).alias("found"))
-    return rows.select("id").join(best, "id", "left").select("id", "found.*")
+    """FN63: (id, place, district, division, special) of (id, location): the longest place name that stands in the location, and what it belongs to.
+
+    Each different location is searched once, for substrings as long as a place name. Rows meet what was found by a sorted join: found rows
+    are alike and shuffle small, but a broadcast of them grows with the locations.
+    """
+    texts = rows.select("location").distinct()
+    parts = texts.select("location", F.explode(substrings(F.lower("location"), 2, longest, lengths_of(places, F.lower("place"), longest))).alias("part"))
+    best = parts.join(places, F.col("part") == F.lower("place")).groupBy("location").agg(F.max_by(F.struct("place", "district", "division", "special"), F.struct(F.length("place"), "place")).alias("found"))
+    return rows.select("id", "location").join(best.hint("merge"), "location", "left").select("id", "found.*")
 
 
 @query("fn63_located_hierarchy", "SELECT o_orderkey AS id, n_name AS place, CAST(n_nationkey AS VARCHAR) AS district, r_name AS division, r_regionkey = 0 AS special FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30 LEFT JOIN region ON r_regionkey = n_regionkey")
