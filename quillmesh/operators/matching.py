@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,53 +265,80 @@ VARIANTS = [
 ]
 
 
-def alike_terms(pairs: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs (term, source) whose matching blocks make up over `least` of both."""
+def twos(term: str) -> list[tuple[str, int]]:
+    """Each two letters in a row, with how often they came before in the term."""
+    met: Counter = Counter()
+    out = []
+    for k in range(len(term) - 1):
+        two = term[k : k + 2]
+        out.append((two, met[two]))
+        met[two] += 1
+    return out
 
-    def run(batches):
-        for batch in batches:
-            matcher, keep = difflib.SequenceMatcher(None), []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                matcher.set_seqs(a, b)
-                keep.append(matcher.quick_ratio() > least and matcher.ratio() > least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("term", "source").distinct().mapInArrow(run, "term string, source string")
+@functools.lru_cache(1 << 16)
+def alike(term: str, source: str, least: float) -> bool:
+    matcher = difflib.SequenceMatcher(None, term, source)
+    return matcher.quick_ratio() > least and matcher.ratio() > least
+
+
+def unlike_terms(terms: list[str], sources: list[str], least: float) -> list[str]:
+    """The terms that no source is equal to or over `least` alike.
+
+    Of m letters in matching blocks, all but one a block stand before another of theirs, and each block but the first takes a letter that
+    matches nothing: so many twos are shared.
+    """
+    known = set(sources)
+    rest = [t for t in dict.fromkeys(terms) if t not in known]
+    index = defaultdict(list)
+    for source in known if rest else ():
+        for two in twos(source):
+            index[two].append(source)
+
+    def grounded(term: str) -> bool:
+        shared = Counter(source for two in twos(term) for source in index.get(two, ()))
+        for source, n in shared.items():
+            both = len(term) + len(source)
+            if 2 * min(len(term), len(source)) > least * both and n > (1.5 * least - 1) * both - 1 - 1e-9 and alike(term, source, least):
+                return True
+        return False
+
+    return [t for t in rest if not grounded(t)]
 
 
 def ungrounded_terms(rows: DataFrame, variants: DataFrame | None = None, least: float = 0.85) -> DataFrame:
     """FN44: (id, n_terms, ungrounded) of (id, terms, sources) rows, terms in lower case: those that no source term of the row is equal to, over `least` alike or a variant of.
 
-    Three joins by row: on the term itself; on two letters in a row, which terms so alike must share (so `least` is 0.85 or more), of about equal
-    length, before blocks are matched once for each pair of terms; and on variants (a, b) of which one stands in the term and the other in a source term. Null terms
-    are left out.
+    A row has its terms and sources: they are compared where it stands, terms with the sources that share enough twos. Variants (a, b), of which one stands in
+    the term and the other in a source term, are a table: looked for in each different term once, then joined by row. No join by row is a broadcast, as its
+    sides shuffle small but grow with the rows. Null terms are left out.
     """
     if least < 0.85:
         raise ValueError("terms less alike than 0.85 need not share two letters in a row")
     if variants is None:
         variants = rows.sparkSession.createDataFrame(VARIANTS, "a string, b string")
     both = variants.select("a", "b").union(variants.select("b", "a")).where("a <> '' AND b <> ''").distinct()
-    own = stage(rows.select("id", "terms", "sources").withColumn("rid", F.monotonically_increasing_id()), "terms")
-    terms = own.select("rid", F.explode(F.array_distinct(F.array_compact("terms"))).alias("term"))
-    sources = own.select("rid", F.explode(F.array_distinct(F.array_compact("sources"))).alias("source"))
-    rest = stage(terms.join(sources.select("rid", F.col("source").alias("term")), ["rid", "term"], "left_anti"), "unequal-terms")
-
-    twos = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
-    shared = rest.select("rid", "term", F.explode(twos("term")).alias("two")).join(sources.select("rid", "source", F.explode(twos("source")).alias("two")), ["rid", "two"])
-    pairs = shared.where(2 * F.least(F.length("term"), F.length("source")) > least * (F.length("term") + F.length("source"))).select("rid", "term", "source").distinct()
-    pairs = stage(pairs, "term-pairs")
-    alike = pairs.join(alike_terms(pairs, least), ["term", "source"]).select("rid", "term")
-
-    longest = both.agg(F.max(F.length("a"))).first()[0] or 1
-    inside = lambda frame, c: frame.select("rid", c, F.explode(substrings(F.col(c), 1, longest)).alias("part"))
-    numbered_pairs = both.select(F.col("a").alias("part"), F.col("b").alias("other"))
-    told = inside(rest, "term").join(numbered_pairs, "part").select("rid", "term", "other")
-    named = inside(sources, "source").select("rid", F.col("part").alias("other")).join(both.select(F.col("b").alias("other")).distinct(), "other").distinct()
-    variant = told.join(named, ["rid", "other"]).select("rid", "term")
-
-    left = rest.join(alike.union(variant).distinct(), ["rid", "term"], "left_anti").groupBy("rid").agg(F.array_sort(F.collect_list("term")).alias("ungrounded"))  # a row's own terms
     none = F.array().cast("array<string>")
-    return own.join(left, "rid", "left").select("id", F.size(F.coalesce(F.array_distinct(F.array_compact("terms")), none)).cast("long").alias("n_terms"), F.coalesce("ungrounded", none).alias("ungrounded"))
+    clean = lambda c: F.coalesce(F.array_distinct(F.array_compact(c)), none)
+    ready = rows.select("id", clean("terms").alias("terms"), clean("sources").alias("sources")).withColumn("rid", F.monotonically_increasing_id())
+
+    def run(batches):
+        for batch in batches:
+            rest = [unlike_terms(terms, sources, least) for terms, sources in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            sizes = pa.compute.list_value_length(batch.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), sizes, batch.column(2), pa.array(rest, pa.list_(pa.string()))], names=["id", "rid", "n_terms", "sources", "rest"])
+
+    own = stage(ready.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid long, n_terms long, sources array<string>, rest array<string>"), "terms")
+    open_rows = own.where(F.size("rest") > 0)
+    terms = open_rows.select("rid", F.explode("rest").alias("term"))
+    sources = open_rows.select("rid", F.explode("sources").alias("term"))
+    lengths = lengths_of(both, F.col("a"), 1 << 30)
+    holds = lambda frame: frame.select("term").distinct().select("term", F.explode(substrings(F.col("term"), 1, max(lengths, default=1), lengths)).alias("a")).join(both, "a")
+    told = terms.join(holds(terms).select("term", F.col("b").alias("other")), "term")
+    named = sources.join(holds(sources).select("term", F.col("a").alias("other")), "term").select("rid", "other").distinct()
+    variant = told.join(named.hint("merge"), ["rid", "other"]).groupBy("rid").agg(F.collect_set("term").alias("_variant"))  # a row's own terms
+    found = own.join(variant.hint("merge"), "rid", "left")
+    return found.select("id", "n_terms", F.array_sort(F.array_except("rest", F.coalesce("_variant", none))).alias("ungrounded"))
 
 
 def _answers(spark, d) -> DataFrame:
