@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,31 +256,46 @@ TOKEN_CHARS = 4
 STOP = ". "
 
 
+#: White space as Java's (?U)\\s has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def pack_parts(parts: list[str], most: int) -> list[str]:
+    """The chunks of some paragraphs, in one pass: lengths tell where chunks begin, and each opens with the last sentence before it, once there is one."""
+    chunks: list[str] = []
+    held: list[str] = []
+    chars, tail = 0, None  # of the open chunk; the length of its last sentence
+    last = None  # the last sentence before the open chunk
+
+    def close():
+        body = "\n\n".join(held)
+        if last is None:
+            body = body.lstrip("\n")
+        chunks.append((body if last is None else last + STOP + body).strip(SPACES))
+        return body.rpartition(STOP)[2] if last is not None or STOP in body else None
+
+    for part in parts:
+        n, own = len(part), len(part.rpartition(STOP)[2]) if STOP in part else None
+        if chars > 0 and chars // TOKEN_CHARS + n // TOKEN_CHARS > most:
+            last, held = close(), []
+            chars = n if tail is None else tail + len(STOP) + n
+            tail = own if own is not None or tail is None else n
+        else:
+            chars = chars + 2 + n if chars > 0 else n
+            tail = own if own is not None or tail is None else tail + 2 + n
+        held.append(part)
+    close()
+    return [chunk for chunk in chunks if chunk]
+
+
 def packed(parts: Column, most: int) -> Column:
-    """The chunks of an array of paragraphs, as an array of texts.
+    """The chunks of an array of paragraphs, as an array of texts; null of a null array."""
 
-    One fold over the paragraphs' lengths finds where chunks begin: `chars` is the length of the open chunk, `tail` that of its last sentence,
-    which the next chunk opens with (null while there is no sentence end). Texts are put together afterwards, a slice of paragraphs each.
-    """
-    place = lambda v: F.lit(v).cast("int")
-    sizes = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n"), F.when(F.contains(p, F.lit(STOP)), F.length(F.substring_index(p, STOP, -1))).alias("last")))
-
-    def step(s, p):
-        full = (s["chars"] > 0) & (F.floor(s["chars"] / TOKEN_CHARS) + F.floor(p["n"] / TOKEN_CHARS) > most)
-        added = F.when(s["chars"] > 0, s["chars"] + 2 + p["n"]).otherwise(p["n"])
-        opened = F.when(s["tail"].isNull(), p["n"]).otherwise(s["tail"] + len(STOP) + p["n"])
-        return F.struct(
-            F.when(full, F.array_append(s["begins"], p["i"])).otherwise(s["begins"]).alias("begins"),
-            F.when(full, opened).otherwise(added).cast("int").alias("chars"),
-            F.when(full, F.coalesce(p["last"], F.when(s["tail"].isNotNull(), p["n"]))).otherwise(F.coalesce(p["last"], s["tail"] + 2 + p["n"])).cast("int").alias("tail"),
-        )
-
-    begins = F.aggregate(sizes, F.struct(F.array(place(0)).alias("begins"), place(0).alias("chars"), place(None).alias("tail")), step)["begins"]
-    bodies = F.transform(begins, lambda at, k: F.array_join(F.slice(parts, at + 1, F.coalesce(F.get(begins, k + 1), F.size(parts)) - at), "\n\n"))
-    opens = lambda k: F.exists(F.slice(bodies, place(1), k), lambda t: F.contains(t, F.lit(STOP)))  # noqa: E731  whether a chunk before has a sentence end
-    bare = F.transform(bodies, lambda t, k: F.when(opens(k), t).otherwise(F.regexp_replace(t, "^\n+", "")))
-    whole = F.transform(bare, lambda t, k: F.when(opens(k), F.concat(F.substring_index(F.get(bare, k - 1), STOP, -1), F.lit(STOP), t)).otherwise(t))
-    return F.filter(F.transform(whole, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if own is None else pack_parts(list(own), most) for own in column], dtype=object)
+
+    return run(parts)
 
 
 def packed_paragraphs(docs: DataFrame, most: int = 512) -> DataFrame:
@@ -290,7 +306,7 @@ def packed_paragraphs(docs: DataFrame, most: int = 512) -> DataFrame:
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     rows = docs.where("text IS NOT NULL").select("id", text.alias("text")).where("text <> ''")
     fits = F.floor(F.length("text") / TOKEN_CHARS) <= most
-    chunks = F.when(fits, F.array("text")).otherwise(packed(F.split("text", "\n"), most))
+    chunks = F.when(fits, F.array("text")).otherwise(packed(F.when(~fits, F.split("text", "\n")), most))
     return rows.select("id", chunks.alias("chunks")).select("id", F.posexplode("chunks").alias("chunk", "text"), F.size("chunks").cast("long").alias("n_chunks")).select("id", F.col("chunk").cast("long").alias("chunk"), "n_chunks", "text")
 
 
@@ -304,7 +320,8 @@ def section_chunks(laws: DataFrame, most: int = 512) -> DataFrame:
     sections = chapters.select("id", "law", F.col("c.title").alias("chapter"), F.explode("c.sections").alias("s"))
     rows = sections.select("id", "law", "chapter", F.col("s.number").alias("section"), F.col("s.heading").alias("heading"), F.array_compact(F.concat(F.array("s.heading"), F.coalesce("s.paragraphs", F.array().cast("array<string>")))).alias("_parts"))
     joined = F.array_join("_parts", "\n\n")
-    chunks = F.when(F.trim(joined) == "", F.array().cast("array<string>")).when(F.floor(F.length(joined) / TOKEN_CHARS) <= most, F.array(joined)).otherwise(packed(F.col("_parts"), most))
+    fits = F.floor(F.length(joined) / TOKEN_CHARS) <= most
+    chunks = F.when(F.trim(joined) == "", F.array().cast("array<string>")).when(fits, F.array(joined)).otherwise(packed(F.when(~fits, F.col("_parts")), most))
     found = rows.withColumn("_chunks", chunks).select("id", "law", "chapter", "section", "heading", F.posexplode("_chunks").alias("chunk", "text"), F.size("_chunks").alias("n_chunks"))
     return found.select("id", "law", "chapter", "section", "heading", F.col("chunk").cast("long").alias("chunk"), F.col("n_chunks").cast("long").alias("n_chunks"), "text")
 
