@@ -194,12 +194,25 @@ def j21(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"))
 
 
+def overriding(rows: DataFrame, beats: dict[int, list[int]]) -> DataFrame:
+    """(grp, src) of (grp, src) rows whose source overrides all others of its group, one at least; `beats` is a parameter of up to 62 sources.
+
+    A group's sources are bits of one number, so neither rows nor pairs are sorted or joined. A source without a place in `beats` is overridden by none.
+    """
+    if len(beats) > 62:
+        raise ValueError("more than 62 sources")
+    bits = {name: 1 << k for k, name in enumerate(beats)}
+    unknown = 1 << len(beats)
+    known = F.create_map(*[F.lit(x).cast("long") for pair in bits.items() for x in pair])
+    met = rows.where("grp IS NOT NULL AND src IS NOT NULL").groupBy("grp").agg(F.bit_or(F.coalesce(F.element_at(known, F.col("src").cast("long")), F.lit(unknown).cast("long"))).alias("_met"))
+    won = [F.when((F.col("_met").bitwiseAND(F.lit(bit)) != 0) & (F.col("_met") != bit) & (F.col("_met").bitwiseAND(F.lit(~(bit | sum(bits[b] for b in beats[name] if b in bits)))) == 0), F.lit(name).cast("long")) for name, bit in bits.items()]
+    return met.select("grp", F.explode(F.array_compact(F.array(*won))).alias("src"))
+
+
 @query("j22_overrides_all_others", "WITH s AS (SELECT DISTINCT l_orderkey AS grp, l_suppkey % 10 AS src FROM lineitem), p AS (SELECT a.grp, a.src, count(*) AS others, count(*) FILTER (a.src * 3 % 10 > b.src * 3 % 10) AS won FROM s a JOIN s b ON a.grp = b.grp AND a.src <> b.src GROUP BY 1, 2) SELECT grp, src FROM p WHERE won = others")
 def j22(spark, d):
-    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), (F.col("l_suppkey") % 10).alias("src")).distinct()
-    precedence = spark.createDataFrame([(a, b) for a in range(10) for b in range(10) if a * 3 % 10 > b * 3 % 10], "src long, other long").withColumn("wins", F.lit(1))
-    pairs = s.join(s.select("grp", F.col("src").alias("other")), "grp").where("src != other").join(F.broadcast(precedence), ["src", "other"], "left")
-    return pairs.groupBy("grp", "src").agg(F.count("*").alias("others"), F.count("wins").alias("won")).where("won = others").select("grp", "src")
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), (F.col("l_suppkey") % 10).alias("src"))
+    return overriding(s, {a: [b for b in range(10) if a * 3 % 10 > b * 3 % 10] for a in range(10)})
 
 
 @query("j23_first_applicable_authority", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM customer JOIN supplier ON s_nationkey = c_nationkey) WHERE rn = 1")
