@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.blocks import in_pairs, linked_roots, runs, with_blocks
+from quillmesh.llm.blocks import in_pairs, linked_roots, overlaps, runs, with_blocks
 from quillmesh.llm.worker_state import only
 from quillmesh.operators.components import components
 from quillmesh.runtime import stage, table
@@ -163,28 +163,6 @@ def edges_of(src: list, dst: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *src])), pa.array(np.concatenate([empty, *dst]))], names=["src", "dst"])
 
 
-def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """|A and B| for every row set and column set: products of 0/1 matrices over shared shingles."""
-    sizes = [len(s) for s in sets]
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, ids, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = seen[ids] > 1
-    number = np.cumsum(seen > 1) - 1
-    owner, ids = owner[shared], number[ids[shared]]
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    order = np.argsort(ids, kind="stable")
-    owner, ids = owner[order], ids[order]
-    step = 4096
-    cuts = np.searchsorted(ids, np.arange(0, (ids[-1] + 1 if len(ids) else 0) + step, step))
-    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if a == z:
-            continue
-        dense = np.zeros((len(sets), step), np.float32)
-        dense[owner[a:z], ids[a:z] - k * step] = 1
-        out += dense[rows] @ dense[columns].T
-    return out.astype(np.int64)
-
-
 def verified_links(found: DataFrame, clusters: DataFrame, docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(c, root, n_links, linked_copies) for each block pair in which a class has links."""
     wanted = found.select(F.col("c").alias("node"), "digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "copies", "n")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import functools
-import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -19,6 +18,7 @@ from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.components import components
 from quillmesh.operators.joins import lengths_of, substrings
+from quillmesh.operators.token_sets import hashed_words, linked_sets
 from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import stage, table
 
@@ -30,49 +30,19 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return sets.join(often, "token").select("id", "token", *[c for c in sets.columns if c not in ("id", "token")], F.count("*").over(own).alias("size"), F.row_number().over(own.orderBy("often", "token")).alias("place"))
 
 
-#: 64-bit words that hold the parities of a set's hashed tokens.
-PARITIES = 4
-
-
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, common, na, nb), a < b, of (id, token) sets with a Jaccard similarity of `threshold` or more; exact.
 
-    Two such sets share `need` = threshold / (1 + threshold) * (na + nb) tokens, the rarest of them
-    among the n - ceil(threshold * n) + 1 rarest of either and with enough tokens behind it; and at
-    most na + nb - 2 * need tokens lie in one alone, so no more of the hashed parities differ. Only
-    sets that pass these meet, and are compared whole. Give one set for each group of equal ones:
-    pairs are emitted.
+    Equal sets meet as one, but all pairs are emitted: give one set for each group of equal ones where that will do.
     """
-    tokens = _ranked(sets.select("id", "token").distinct())
-    bit = F.pmod(F.xxhash64("token"), F.lit(64 * PARITIES))
-    own = Window.partitionBy("id")
-    marks = [F.bit_xor(F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * PARITIES}) % 64 AS int))")).otherwise(F.lit(0).cast("long"))).over(own).alias(f"m{k}") for k in range(PARITIES)]
-    ranked = stage(tokens.select("*", *marks), "token-sets")
-    # Bounds are lowered by a hair against rounding; verification is exact.
-    low = threshold - 1e-9
-    heads = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(low) * F.col("size")) + 1)
-    # Sizes are within threshold of one another, so at most one step of their logarithm apart.
-    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(low)))
-    heads = heads.withColumn("step", step)
-    one, other = (heads.select("token", "step", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "place", *(f"m{k}" for k in range(PARITIES)))]) for s in "ab")
-    both = F.col("size_a") + F.col("size_b")
-    need = F.lit(low / (1 + low)) * both
-    behind = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    apart = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(PARITIES)), F.lit(0))
-    other = other.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    met = one.join(other, ["token", "step"]).where((F.col("id_a") < F.col("id_b")) & (behind >= need) & (F.least("size_a", "size_b") >= F.lit(low) * F.greatest("size_a", "size_b")) & (apart <= both - 2 * need + 1e-6))
-    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    whole = ranked.groupBy("id").agg(F.collect_list("token").alias("tokens"))
-    pairs = met.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    found = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("na"), F.size("y").alias("nb"))
-    return found.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")))
-
-
-def alike_texts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(id, text, digest, copies): a row for each set of tokens, its least id."""
-    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    keyed = docs.select("id", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    return keyed.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+    whole = stage(sets.groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_set(F.xxhash64("token")).alias("h")), "hashed-sets")
+    sketched, links = linked_sets(whole, lambda rows: rows, threshold, True)
+    own = sketched.select("id", F.col("n").cast("long").alias("n"), F.min("id").over(Window.partitionBy("digest")).alias("head"))
+    equal = own.groupBy("head").agg(F.count("*").alias("copies"), F.first("n").alias("n")).where("copies > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), *[F.col("n").alias(c) for c in ("common", "na", "nb")])
+    one, other = (own.select(F.col("head").alias(c), F.col("id").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    every = links.unionByName(equal).join(one, "a").join(other, "b").where("a <> b OR x < y")
+    turned = F.col("x") > F.col("y")
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
 
 
 @query("j3_semantic_jaccard", r"""WITH t AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_extract_all(text, '[^ \n\t\r]+'))) AS ts FROM documents), c AS (SELECT min(id) AS id, ts FROM t WHERE len(ts) > 0 GROUP BY ts),
@@ -81,8 +51,7 @@ SELECT a, b, round(n / (na + nb - n), 4) AS similarity FROM p WHERE 5 * n >= 4 *
 def j3(spark, d):
     """Pairs of documents, one for each set of white-space tokens, that share four fifths of them."""
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    sets = alike_texts(docs, r"[^ \n\t\r]+").select("id", F.explode("tokens").alias("token"))
-    return similar_sets(sets, 0.8).select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
+    return linked_sets(docs, hashed_words, 0.8, True)[1].select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
