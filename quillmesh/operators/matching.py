@@ -147,10 +147,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 10) -> Dat
     """
     rows = stage(docs.select("id", normalised("text").alias("text")).where(F.length("text") >= 10), "normalised")
     long = F.size(F.split("text", " ")) > words
-    word_sets = F.array_sort(F.array_distinct(F.split("text", " ")))
-    far = stage(rows.where(long).select("id", word_sets.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", " "), 256)), "word-sets")
-    heads = far.groupBy("key").agg(F.min("id").alias("head"), F.first("tokens").alias("tokens"))
-    links = similar_sets(heads.select(F.col("head").alias("id"), F.explode("tokens").alias("token")), least)
+    far, links = linked_sets(rows.where(long), hashed_words, least, False)
+    far = far.select("id", F.hex("digest").alias("key"))
+    heads = far.groupBy("key").agg(F.min("id").alias("head"))
     short = rows.where(~long).select("id", F.col("text").alias("key"))
     singles = short.groupBy("key").agg(F.min("id").alias("head"))
     links = links.select("a", "b").unionByName(near_equal(singles.select(F.col("head").alias("id"), F.col("key").alias("text"))))
