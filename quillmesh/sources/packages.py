@@ -228,9 +228,27 @@ def pages_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def in_page_batches(pages: DataFrame, size: int, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """SRC7: `function` over each document's pages, `size` at a time and in order; a task holds one batch at once."""
-    batched = pages.withColumn("batch", F.floor(F.col("page") / size))
-    return batched.groupBy("id", "batch").applyInPandas(lambda rows: function(rows.sort_values("page")), schema)
+    """SRC7: `function` over each document's pages, `size` at a time and in order; a task holds one batch at once, and the Arrow batch that it came in."""
+    batched = pages.withColumn("batch", F.floor(F.col("page") / size)).repartition("id", "batch").sortWithinPartitions("id", "batch", "page")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for rows in frames:
+            if carry is not None:
+                rows = pd.concat([carry, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            before = rows[["id", "batch"]].shift()
+            new = sum((rows[c] != before[c]) & ~(rows[c].isna() & before[c].isna()) for c in ("id", "batch")).to_numpy() > 0
+            cuts = [0, *(k for k in new.nonzero()[0].tolist() if k)]
+            done = [function(rows.iloc[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            carry = rows.iloc[cuts[-1] :]
+        if carry is not None:
+            yield function(carry)
+
+    return batched.mapInPandas(run, schema)
 
 
 @query("src7_page_batches", "WITH p AS (SELECT doc_id, k AS page, length(substring(text, CAST(k * 2000 + 1 AS BIGINT), 2000)) AS n FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS k FROM documents WHERE length(text) > 0)) SELECT doc_id, page // 8 AS batch, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars FROM p GROUP BY 1, 2")
