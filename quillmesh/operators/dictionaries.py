@@ -7,7 +7,7 @@ cost of a text is its length and its hits, whatever the number of terms, and the
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,33 +46,45 @@ def occurrences(docs: DataFrame, forms: DataFrame, whole_words: bool = False) ->
     left = texts.withColumn("_block", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
     right = known.withColumn("_part", F.pmod(F.xxhash64("form"), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
 
-    def scan(own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+    # The forms of a part come before the block's texts, which are read as they come: a task holds an automaton and an Arrow batch.
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    texts_of = left.select("_part", "_block", F.lit(1).alias("_text"), "id", "text", none("canonical", name))
+    forms_of_part = right.select("_part", "_block", F.lit(0).alias("_text"), none("id", kind), F.col("form").alias("text"), "canonical")
+    met = forms_of_part.union(texts_of).repartition("_part", "_block").sortWithinPartitions("_part", "_block", "_text")
+
+    def scan(batches):
         import ahocorasick
 
-        stands: dict[str, list] = {}
-        for form, canonical in zip(met["form"], met["canonical"], strict=True):
-            stands.setdefault(form, []).append(canonical)
-        automaton = ahocorasick.Automaton()
-        for form in stands:
-            automaton.add_word(form, form)
-        out: list[tuple] = []
-        if len(own) and stands:
-            automaton.make_automaton()
-            for doc_id, text in zip(own["id"], own["text"], strict=True):
+        own, stands, automaton = None, {}, None
+        for batch in batches:
+            out: list[tuple] = []
+            for *key, is_text, doc_id, text, canonical in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != own:
+                    own, stands, automaton = key, {}, None
+                if not is_text:
+                    stands.setdefault(text, []).append(canonical)
+                    continue
+                if not stands:
+                    continue
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for form in stands:
+                        automaton.add_word(form, form)
+                    automaton.make_automaton()
                 found: dict = {}
                 for last, form in automaton.iter(text):
                     first = last + 1 - len(form)
                     if whole_words and (first > 0 and _inner(text[first - 1]) or last + 1 < len(text) and _inner(text[last + 1])):
                         continue
-                    for canonical in stands[form]:
-                        n, at = found.get(canonical, (0, first))
-                        found[canonical] = (n + 1, min(at, first))
-                out += [(doc_id, canonical, n, at) for canonical, (n, at) in found.items()]
-        return pd.DataFrame(out, columns=["id", "canonical", "n", "first"])
-
-    keys = ["_part", "_block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    rows = met.applyInPandas(scan, f"id {kind}, canonical {name}, n long, first long")
+                    for c in stands[form]:
+                        n, at = found.get(c, (0, first))
+                        found[c] = (n + 1, min(at, first))
+                out += [(doc_id, c, n, at) for c, (n, at) in found.items()]
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            kinds = (batch.schema.field("id").type, batch.schema.field("canonical").type, pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "canonical", "n", "first"])
+
+    rows = met.mapInArrow(scan, f"id {kind}, canonical {name}, n long, first long")
     return rows.groupBy("id", "canonical").agg(F.sum("n").alias("n"), F.min("first").alias("first"))  # a term's forms may lie in several parts
 
 
