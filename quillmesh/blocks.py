@@ -91,3 +91,21 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
         dense[owner[a:z], ids[a:z] - k * step] = 1
         out += dense[rows] @ dense[columns].T
     return out.astype(np.int64)
+
+
+def products(tokens: list[np.ndarray], weights: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Dot products of row vectors and column vectors, each given by its different tokens and their weights: over the tokens that two of them share."""
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, ids, seen = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = seen[ids] > 1
+    owner, ids, x = owner[shared], (np.cumsum(seen > 1) - 1)[ids[shared]], np.concatenate(weights)[shared]
+    out = np.zeros((len(rows), len(columns)))
+    order = np.argsort(ids, kind="stable")
+    owner, ids, x = owner[order], ids[order], x[order]
+    step = 2048
+    cuts = np.searchsorted(ids, np.arange(0, (ids[-1] + 1 if len(ids) else 0) + step, step))
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        dense = np.zeros((len(tokens), step))
+        dense[owner[a:z], ids[a:z] - k * step] = x[a:z]
+        out += dense[rows] @ dense[columns].T
+    return out

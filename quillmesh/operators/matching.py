@@ -10,26 +10,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.blocks import in_pairs, linked_roots, products, runs, with_blocks
 from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.components import components
 from quillmesh.operators.joins import lengths_of, substrings
-from quillmesh.operators.token_sets import hashed_words, linked_sets
+from quillmesh.operators.token_sets import _sets, hashed_words, linked_sets, only_members
 from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import stage, table
 
 
-def _ranked(sets: DataFrame) -> DataFrame:
-    """(id, token, size, place): tokens of each set from the rarest on; ties by the token."""
-    often = sets.groupBy("token").agg(F.count("*").alias("often"))
-    own = Window.partitionBy("id")  # the tokens of one set
-    return sets.join(often, "token").select("id", "token", *[c for c in sets.columns if c not in ("id", "token")], F.count("*").over(own).alias("size"), F.row_number().over(own.orderBy("often", "token")).alias("place"))
-
-
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, common, na, nb), a < b, of (id, token) sets with a Jaccard similarity of `threshold` or more; exact.
 
@@ -54,56 +49,100 @@ def j3(spark, d):
     return linked_sets(docs, hashed_words, 0.8, True)[1].select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of (id, token, x) vectors of length one whose cosine is over the threshold; exact.
+#: Two vectors whose cosine is over the threshold share products of this sum among the tokens that their heads hold.
+SHARED = 0.05
 
-    The rarest token that two such vectors share lies, in either, before those rest that weigh less
-    than the threshold. Give one vector for each group of equal ones: pairs are emitted.
-    """
-    ranked = stage(_ranked(vectors), "vectors")
-    rest = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id").orderBy("place").rowsBetween(0, Window.unboundedFollowing))
-    heads = ranked.withColumn("rest", rest).where(F.col("rest") > threshold * threshold - 1e-9).select("id", "token")
-    met = heads.select("token", F.col("id").alias("a")).join(heads.select("token", F.col("id").alias("b")), "token").where("a < b").select("a", "b").distinct()
-    whole = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "x"))).alias("v"))
-    side = lambda i, v: whole.select(F.col("id").alias(i), F.col("v.h").alias(f"{v}h"), F.col("v.x").alias(f"{v}x"))
-    both = met.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", "ph", "px", "qh", "qx")
-
-    def compare(batches):
+
+def counted_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """(id, digest, h, tf) of every (id, text) with a token: its different tokens, hashed, and how often each comes. Staged."""
+
+    def run(batches):
         for batch in batches:
-            lists = [batch.column(k) for k in range(2, 6)]
-            keep = []
-            for k in range(batch.num_rows):
-                ph, px, qh, qx = (c[k].values.to_numpy() for c in lists)
-                _, i, j = np.intersect1d(ph, qh, assume_unique=True, return_indices=True)
-                keep.append(bool(px[i] @ qx[j] > threshold))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    kind = vectors.schema["id"].dataType.simpleString()
-    return both.mapInArrow(compare, f"a {kind}, b {kind}")
-
-
-def counted_vectors(docs: DataFrame, pattern: str, idf: bool) -> tuple[DataFrame, DataFrame]:
-    """((id, digest) of every text with a token, (id, token, x) unit vectors of the least id of each bag of tokens)."""
-    bags = docs.select("id", F.array_sort(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("bag")).where(F.size("bag") > 0).select("id", "bag", F.sha2(F.array_join("bag", " "), 256).alias("digest"))
-    bags = stage(bags, "bags")
-    heads = bags.groupBy("digest").agg(F.min("id").alias("id"), F.first("bag").alias("bag"))
-    counts = heads.select("id", F.explode("bag").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    if idf:  # over all texts, copies too
-        often = bags.select(F.explode(F.array_distinct("bag")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-        n = bags.count()
-        counts = counts.join(often, "token").select("id", "token", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("tf"))
-    length = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
-    return bags.select("id", "digest"), counts.select("id", "token", (F.col("tf") / length).alias("x"))
+            bags = [np.unique(h, return_counts=True) for h in _sets(batch.column(1))]
+            ends = pa.array(np.cumsum([0, *(len(h) for h, _ in bags)]).astype(np.int32))
+            h, tf = (np.concatenate([np.zeros(0, np.int64), *c]) for c in ([b[0] for b in bags], [b[1] for b in bags]))
+            digests = [xxhash.xxh3_128_digest(b.tobytes() + n.tobytes()) for b, n in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], names=["id", "digest", "h", "tf"])
+
+    hashed = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w))
+    words = docs.select(F.col("id").cast("long").alias("id"), hashed.alias("bag")).where(F.size("bag") > 0)
+    return stage(words.mapInArrow(run, "id long, digest binary, h array<long>, tf array<int>"), "bags")
+
+
+def _vectors(column: pa.ListArray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens from the rarest on, in how many texts each is, TF-IDF weights of length one) of each row; all texts weigh alike if n is 0."""
+    ends, (h, tf, df) = column.offsets.to_numpy(), (column.values.field(k).to_numpy() for k in range(3))
+    out = []
+    for a, z in zip(ends, ends[1:], strict=False):
+        order = a + np.lexsort((h[a:z], df[a:z]))
+        x = tf[order] * (np.log((1.0 + n) / (1 + df[order])) + 1) if n else tf[order].astype(np.float64)
+        out.append((h[order], df[order], x / np.sqrt(x @ x)))
+    return out
 
 
 def cosine_clusters(docs: DataFrame, threshold: float, pattern: str, idf: bool) -> DataFrame:
-    """(id, cluster) for every (id, text) with a token: texts that cosines over the threshold connect; cluster is the least id."""
-    members, vectors = counted_vectors(docs, pattern, idf)
-    pairs = cosine_pairs(vectors, threshold)
-    heads = members.groupBy("digest").agg(F.min("id").alias("head"))
-    linked = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """(id, cluster) for every (id, text) with a token: texts that cosines over the threshold connect; cluster is the least id. Exact.
+
+    Equal bags of tokens meet as one. A head holds the tokens of a vector, from the rarest on, up to those rest that weigh (threshold - SHARED)
+    squared: what two vectors have in common behind the shorter head is at most threshold - SHARED, so their heads' products sum to more than
+    SHARED if they are linked. Pairs that do hang together in candidate clusters; only vectors in clusters are moved whole, once for
+    each pair of blocks of their cluster, and compared there.
+    """
+    bags = counted_words(docs, pattern)
+    often = stage(bags.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df")), "bag-words")
+    n = bags.count() if idf else 0
+    heads = stage(bags.groupBy("digest").agg(F.min("id").alias("head")), "bag-heads")
+    rest = (threshold - SHARED) ** 2
+
+    def whole(rows: DataFrame, some: DataFrame) -> DataFrame:
+        """(node, v) of the rows whose id is a node of `some`."""
+        words = rows.select("id", F.explode(F.arrays_zip("h", "tf")).alias("t")).select(F.col("id").alias("node"), F.col("t.h").alias("h"), F.col("t.tf").alias("tf"))
+        grouped = words.join(often, "h").groupBy("node").agg(F.collect_list(F.struct("h", "tf", F.col("df"))).alias("v"))
+        return grouped.join(some.select("node"), "node", "left_semi")
+
+    def head(batches):
+        for batch in batches:
+            tokens, weights = [], []
+            for h, df, x in _vectors(batch.column(1), n):
+                behind = np.cumsum((x * x)[::-1])[::-1]
+                keep = (behind > rest - 1e-9) & (df > 1)
+                tokens.append(h[keep])
+                weights.append(x[keep])
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
+            parts = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, k), *c]))) for k, c in ((np.int64, tokens), (np.float64, weights))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["node", "tokens", "weights"])
+
+    one = heads.select(F.col("head").alias("node"))
+    own = stage(whole(only_members(bags.select("id", "h", "tf"), one), one).mapInArrow(head, "node long, tokens array<long>, weights array<double>"), "vector-heads")
+    entries = own.select("node", F.explode(F.arrays_zip("tokens", "weights")).alias("t")).select("node", F.col("t.tokens").alias("token"), F.col("t.weights").alias("x"))
+    met = entries.select("token", F.col("node").alias("a"), "x").join(entries.select("token", F.col("node").alias("b"), F.col("x").alias("y")), "token").where("a < b")
+    near = met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") > SHARED - 1e-9)
+    candidates = components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    sized = candidates.join(bags.select(F.col("id").alias("node"), F.size("h").alias("n")), "node")
+    members = stage(with_blocks(sized, "component", "node", "n"), "vector-clusters")
+    with_vectors = members.join(whole(only_members(bags.select("id", "h", "tf"), members), members), "node")
+
+    def read(batch):
+        vectors = np.empty(batch.num_rows, object)
+        vectors[:] = _vectors(batch.column("v"), n)
+        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "node", "_block")), vectors]
+
+    def verify(batches):
+        for _, i, j, node, block, vectors in runs(batches, 3, read):
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            if len(node) < 2 or not len(left) or not len(right):
+                continue
+            linked = products([v[0] for v in vectors], [v[2] for v in vectors], left, right) > threshold
+            both = np.zeros((len(node), len(node)), bool)
+            both[np.ix_(left, right)] = linked
+            both[np.ix_(right, left)] |= linked.T
+            roots = linked_roots(len(node), lambda row, others, w=both: w[row, others])
+            moved = roots != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[roots[moved]]), pa.array(node[moved])], names=["src", "dst"])
+
+    linked = components(in_pairs(with_vectors, "component", "node").mapInArrow(verify, "src long, dst long"))
     known = heads.join(linked, F.col("node") == F.col("head"), "left").select("digest", F.coalesce("component", "head").alias("cluster"))
-    return members.join(known, "digest").select("id", "cluster")
+    return bags.select("id", "digest").join(known, "digest").select("id", "cluster")
 
 
 def tfidf_clusters(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
