@@ -11,6 +11,8 @@ from quillmesh.runtime import stage, unstage
 
 #: Edges that a task contracts at once, before the first round.
 EDGES = 1 << 20
+#: Edges of a node up to which they may be gathered in a task.
+CROWDED = 100_000
 
 
 def least_linked(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +56,18 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "src long, dst long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, what they read): each node hangs on the least neighbour of the lesser end of its edges (src > dst; `size` of them).
+
+    Nodes of more than CROWDED and a 500th of all edges, 1,000 at most, are looked up by a broadcast: their edges stay where they are.
+    """
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-    return both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src != dst").distinct()
+    least = stage(both.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")).select(F.col("src").alias("node"), F.least("src", "m").alias("m"), "n"), "least-linked")
+    crowded = F.col("n") > max(CROWDED, size // 500)
+    hubs = F.broadcast(least.where(crowded).select(F.col("node").alias("hub"), F.col("m").alias("hub_m")))
+    told = edges.join(hubs, F.col("dst") == F.col("hub"), "left")
+    few = told.where("hub IS NULL").join(least.where(~crowded), F.col("dst") == F.col("node")).select("src", F.col("m").alias("dst"))
+    return told.where("hub IS NOT NULL").select("src", F.col("hub_m").alias("dst")).union(few).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -71,19 +81,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (src, dst) edges of whole numbers: component is its least node.
 
     Edges are first contracted where they stand. A round costs two joins on the node; the edges
-    shrink to one a node, so hubs are met by pre-aggregated minima. Rounds go on until one changes
+    shrink to one a node; hubs are met by pre-aggregated minima, and no task gathers the edges of one. Rounds go on until one changes
     nothing, told by the number and the sum of hashes of the edges; each frees what the one before
     wrote. Self loops name a node without linking it.
     """
     whole = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    first = stage(_contracted(whole).distinct(), "edges")
+    first = stage(_contracted(whole), "edges")  # repeated ones of several tasks go in the first round
     star, kept = first.where("src != dst"), first.where("src = dst")
     seen = staged = None
     while True:
         state = star.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen, star, before = state, stage(_small_star(_large_star(star)), "stars"), staged
+        large, least = _large_star(star, state[0])
+        seen, star, before = state, stage(_small_star(large), "stars"), staged
+        unstage(least)
         if before is not None:
             unstage(before)
         staged = star
