@@ -8,12 +8,14 @@ reach has a lesser head. A round makes all such heads seeds and closes what they
 few are within reach of any cell and no pair of mere events is ever formed.
 
 Rounds follow chains of dependent events; once at most `finish` places are open (a bound, not a share) one task
-ends the pass over those. Tests run it with 0 and get the same rows.
+ends the pass over those. Tests run it with 0 and get the same rows. Groups (sources) are independent: those of at most ALONE places
+need no rounds, as each is passed over in the task that holds it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,10 @@ from quillmesh.runtime import stage, unstage
 
 EARTH_KM = 6371.0
 FINISH = 20_000
+#: Places of a group up to which its pass is one task's; larger groups go by rounds.
+ALONE = 5_000
+#: Places of small groups for which there is a task.
+TASK_PLACES = 20_000
 
 
 def _bands(km: float) -> float:
@@ -65,18 +71,56 @@ def reached(places: DataFrame, km: float) -> DataFrame:
     return rows.withColumn("rx", F.explode(around)).drop("_wide")
 
 
+def _owners(rows: pd.DataFrame, km: float) -> np.ndarray:
+    """For places of one group in the order of (id, lat, lon): the number of the seed that takes each, by one sequential pass."""
+    lat, lon = np.radians(rows.lat.to_numpy()), np.radians(rows.lon.to_numpy())
+    owner, todo = np.full(len(rows), -1), np.arange(len(rows))
+    while len(todo):
+        k = todo[0]
+        a = np.sin((lat[todo] - lat[k]) / 2) ** 2 + np.cos(lat[todo]) * np.cos(lat[k]) * np.sin((lon[todo] - lon[k]) / 2) ** 2
+        near = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, a))) < km
+        near[0] = True
+        owner[todo[near]] = k
+        todo = todo[~near]
+    return owner
+
+
 def _sequential(rows: pd.DataFrame, km: float) -> pd.DataFrame:
     """Seeds of a bounded number of places, one after the other."""
     rows = rows.sort_values(["id", "lat", "lon"], kind="stable")
-    lat, lon = np.radians(rows.lat.to_numpy()), np.radians(rows.lon.to_numpy())
     groups = pd.factorize(rows["by"], use_na_sentinel=False)[0]
-    free, seeds = np.ones(len(rows), bool), []
-    for k in range(len(rows)):
-        if free[k]:
-            seeds.append(k)
-            a = np.sin((lat - lat[k]) / 2) ** 2 + np.cos(lat) * np.cos(lat[k]) * np.sin((lon - lon[k]) / 2) ** 2
-            free &= (groups != groups[k]) | (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, a))) >= km)
-    return rows.iloc[seeds][["by", "id", "lat", "lon"]]
+    seeds = [at[np.unique(_owners(rows.iloc[at], km))] for at in (np.flatnonzero(groups == g) for g in range(groups.max(initial=-1) + 1))]
+    return rows.iloc[np.sort(np.concatenate([np.zeros(0, np.int64), *seeds]))][["by", "id", "lat", "lon"]]
+
+
+def _alone(places: DataFrame, km: float, tasks: int) -> DataFrame:
+    """(by, lat, lon, seed) of places (by, id, lat, lon) whose groups are small: each group's pass in the task that holds it, group by group of a sorted stream."""
+    own = ["by", "id", "lat", "lon"]
+    kinds = {c: places.schema[c].dataType.simpleString() for c in own}
+    sorted_ = places.select(*own).repartition(tasks, "by").sortWithinPartitions(*own)
+
+    def owned(rows: pd.DataFrame) -> pd.DataFrame:
+        at = _owners(rows, km)
+        return pd.DataFrame({"by": rows["by"].to_numpy(), "lat": rows["lat"].to_numpy(), "lon": rows["lon"].to_numpy(), "seed": rows["id"].to_numpy()[at]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for rows in frames:
+            if carry is not None:
+                rows = pd.concat([carry, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            before = rows["by"].shift()
+            new = ((rows["by"] != before) & ~(rows["by"].isna() & before.isna())).to_numpy()
+            cuts = [0, *(k for k in new.nonzero()[0].tolist() if k)]
+            done = [owned(rows.iloc[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            carry = rows.iloc[cuts[-1] :]
+        if carry is not None:
+            yield owned(carry)
+
+    return sorted_.mapInPandas(run, f"by {kinds['by']}, lat double, lon double, seed {kinds['id']}")
 
 
 def _near(seeds: DataFrame, places: DataFrame, km: float) -> DataFrame:
@@ -114,7 +158,7 @@ def greedy_seeds(places: DataFrame, km: float, finish: int = FINISH) -> DataFram
     return found if found is not None else places.select(*own)
 
 
-def greedy_seed_clusters(events: DataFrame, by: str | None, km: float, finish: int = FINISH) -> DataFrame:
+def greedy_seed_clusters(events: DataFrame, by: str | None, km: float, finish: int = FINISH, alone: int = ALONE) -> DataFrame:
     """GR10 in the order of the ids: (by, id, seed) for events (id, lat, lon), alone in their groups where `by` names a column.
 
     Events of one id and place are one cluster's; of one id at several places the least place comes first. An event
@@ -124,8 +168,16 @@ def greedy_seed_clusters(events: DataFrame, by: str | None, km: float, finish: i
     rows = events.select(group.alias("by"), "id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
     places = stage(with_cells(rows.groupBy("by", "lat", "lon").agg(F.min("id").alias("id")), km), "cluster-places")
-    member = _near(greedy_seeds(places, km, finish), places, km).groupBy("by", "lat", "lon").agg(F.min("seed").alias("seed"))
-    told = member.select(F.col("by").alias("_by"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("seed.id").alias("seed"))
+    large, member = places, None
+    if by and alone:
+        large_groups = stage(places.groupBy(F.col("by").alias("_by")).agg(F.count("*").alias("n")).where(F.col("n") > alone).select("_by"), "large-groups")
+        large, small = (places.join(large_groups, F.col("by").eqNullSafe(F.col("_by")), how) for how in ("left_semi", "left_anti"))
+        member = _alone(small, km, -(-places.count() // TASK_PLACES) or 1)
+        large = None if large_groups.isEmpty() else stage(large, "large-places")
+    if large is not None:
+        rounds = _near(greedy_seeds(large, km, finish), large, km).groupBy("by", "lat", "lon").agg(F.min("seed").alias("seed")).select("by", "lat", "lon", F.col("seed.id").alias("seed"))
+        member = rounds if member is None else member.unionByName(rounds)
+    told = member.select(F.col("by").alias("_by"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "seed")
     same = F.col("by").eqNullSafe(F.col("_by")) & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))
     return rows.join(told, same).select(*(["by"] if by else []), "id", "seed")
 
