@@ -111,3 +111,8 @@ def numbered(frame: DataFrame, label: str, *order, rows: int = 50_000) -> DataFr
     )  # fmt: skip  a row a range
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return found.withColumn("_own", own).join(before, "_range").withColumn("_number", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
+
+
+def in_tasks(frame: DataFrame, key: str, rows: int) -> DataFrame:
+    """A frame of costly rows dealt by a key of many values to tasks of about `rows` rows each, however few splits hold it."""
+    return frame.repartition(max(1, -(-frame.count() // rows)), key)

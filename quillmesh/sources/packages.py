@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.catalog import query
-from quillmesh.runtime import table
+from quillmesh.runtime import in_tasks, table
 
 #: Names fixed by the published Office Open XML formats.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -115,6 +115,8 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
 READERS: dict[str, Callable] = {"docx": docx_paragraphs, "xlsx": xlsx_rows}
 #: Rows handed to Arrow at once.
 BATCH = 10_000
+#: Small files that a task writes or reads: a table of few bytes is one split, whatever its files cost.
+TASK_FILES = 5_000
 
 
 def package_rows(files: DataFrame) -> DataFrame:
@@ -215,7 +217,8 @@ def src5b(spark, d):
             files = [(f"{k}.docx", docx_bytes([name, segment])) for k, name, segment in rows.itertuples(index=False)]
             yield pd.DataFrame(files, columns=["path", "content"])
 
-    files = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").mapInPandas(pack, "path string, content binary")
+    rows = in_tasks(table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment"), "c_custkey", TASK_FILES)
+    files = rows.mapInPandas(pack, "path string, content binary")
     key = F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("c_custkey")
     return package_rows(files).select(key, F.col("position").cast("int").alias("position"), F.get("cells", F.lit(0)).alias("text"))
 
