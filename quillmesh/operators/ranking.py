@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.filters import first_pool
-from quillmesh.runtime import table
+from quillmesh.runtime import stage, table
 
 
 def dot(vector: list[float]) -> Column:
@@ -47,10 +47,12 @@ def t2(spark, d):
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, centres: int, probes: int, k: int, seed: int = 7) -> DataFrame:
-    """An inverted file: KMeans cells, the `probes` nearest cells of each query, exact scores inside."""
+    """An inverted file: KMeans cells, the `probes` nearest cells of each query, exact scores inside, block by block of a cell's rows and queries."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from quillmesh.operators.vector_index import in_blocks  # it imports a module that imports this one
+
     frame = vectors.select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=centres, seed=seed, maxIter=10).fit(frame)
     middle = np.array(model.clusterCenters())  # `centres` rows, a parameter
@@ -61,10 +63,30 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, centres: int, probes: int
         distance = ((middle * middle).sum(axis=1) - 2 * x @ middle.T).argsort(axis=1, kind="stable")
         return pd.Series(list(distance[:, :probes].astype(np.int32)))
 
-    cells = model.transform(frame).select("vec_id", "embedding", F.col("prediction").alias("cell"))
-    probed = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(nearest("embedding")).alias("cell"))
-    score = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = probed.join(cells, "cell").where("vec_id != query_id").select("query_id", "vec_id", F.round(score, 6).alias("score"))
+    cells = stage(model.transform(frame).select("vec_id", "embedding", F.col("prediction").alias("cell")), "file-cells")
+    probed = stage(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(nearest("embedding")).alias("cell")), "file-probes")
+    kind, asked = (f.schema["vec_id"].dataType.simpleString() for f in (vectors, queries))
+
+    def compare(key, own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        """Of a block of a cell the rows that may be among the k best of each query of a block: products are added up place by place, as in a fold."""
+        out: list = []
+        if len(own) and len(met):
+            ids, x, q = own["vec_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(np.float64), np.stack(met["q"].to_numpy()).astype(np.float64)
+            score = np.zeros((len(q), len(x)))
+            for a, b in zip(q.T, x.T, strict=True):
+                score += a[:, None] * b[None, :]
+            for query_id, near in zip(met["query_id"].to_numpy(), score, strict=True):
+                most = min(k + 1, len(near))  # itself may be one
+                at = np.flatnonzero(near >= np.partition(near, -most)[-most] - 1e-6)  # those that rounding may put on a par
+                at = at[np.lexsort((ids[at], -near[at]))]
+                first = np.flatnonzero(np.r_[True, near[at][1:] != near[at][:-1]])
+                at = at[np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) <= k]  # of equal scores the least ids
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": near[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    blocks = in_blocks(cells, probed, ["cell"], ["vec_id", "embedding"], ["query_id", "q"])
+    found = blocks.applyInPandas(compare, f"query_id {asked}, vec_id {kind}, score double").where("vec_id != query_id")
+    pairs = found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
