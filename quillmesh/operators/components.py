@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.runtime import stage, unstage
 
-#: Edges that a task contracts at once, before the first round.
+#: Edges that a task contracts at once, before the first round; once no more are left, one task ends the rounds.
 EDGES = 1 << 20
 #: Edges of a node up to which they may be gathered in a task.
 CROWDED = 100_000
@@ -81,7 +81,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (src, dst) edges of whole numbers: component is its least node.
 
     Edges are first contracted where they stand. A round costs two joins on the node; the edges
-    shrink to one a node; hubs are met by pre-aggregated minima, and no task gathers the edges of one. Rounds go on until one changes
+    shrink to one a node, and the last EDGES of them are contracted in one task; hubs are met by pre-aggregated minima, and no task gathers the edges of one. Rounds go on until one changes
     nothing, told by the number and the sum of hashes of the edges; each frees what the one before
     wrote. Self loops name a node without linking it.
     """
@@ -93,6 +93,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = star.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
+        if state[0] <= EDGES:
+            star, last = stage(_contracted(star.coalesce(1)), "stars"), staged
+            if last is not None:
+                unstage(last)
+            break
         large, least = _large_star(star, state[0])
         seen, star, before = state, stage(_small_star(large), "stars"), staged
         unstage(least)
