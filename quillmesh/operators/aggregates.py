@@ -277,12 +277,14 @@ def a29(spark, d):
 
 #: Members of a chunk up to which its pairs are less than bitmaps of its members would take.
 LARGE_CHUNK = 1000
+#: Pairs, repeated ones counted, that one task makes distinct.
+PAIRS = 1_000_000
 
 
 def neighbour_counts(members: DataFrame, large: int = LARGE_CHUNK) -> DataFrame:
     """Of each node v of the distinct (c, v) its other nodes that share a chunk c, as (v, degree); nodes without any are left out.
 
-    Chunks of up to `large` members give pairs, at most `large` a membership. Larger ones give none: their members
+    Chunks of up to `large` members give pairs, at most `large` a membership, made distinct PAIRS a task. Larger ones give none: their members
     are numbered, each chunk is a bitmap by ranges of 32,768 numbers, and nodes of the same large chunks
     are one class, told by two hashes of 64 bits, whose bitmaps are OR-ed once. A pair from a small chunk counts only
     where the bitmap of v's class lacks w. Null chunks and nodes are no members.
@@ -290,7 +292,8 @@ def neighbour_counts(members: DataFrame, large: int = LARGE_CHUNK) -> DataFrame:
     sizes = members.groupBy("c").agg(F.count("*").alias("n"))
     sized = stage(members.join(sizes, "c"), "chunk-members")
     small, big = sized.where(F.col("n") <= large).select("c", "v"), sized.where(F.col("n") > large).select("c", "v")
-    pairs = small.join(small.select("c", F.col("v").alias("w")), "c").where("v != w").select("v", "w").distinct()
+    n_pairs = sized.where(F.col("n") <= large).agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    pairs = small.join(small.select("c", F.col("v").alias("w")), "c").where("v != w").select("v", "w").repartition(max(1, -(-n_pairs // PAIRS)), "v", "w").distinct()
     if big.isEmpty():
         return pairs.groupBy("v").agg(F.count("*").alias("degree"))
     number = F.col("_number") + 1
