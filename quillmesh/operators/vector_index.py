@@ -39,7 +39,9 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     most = F.array_max(F.transform("_x", F.abs))
     square = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v * v)
     rows = vectors.where((F.size("embedding") > 0) & finite).select("vec_id", x.alias("_x")).withColumn("_most", most).where("_most > 0")
-    return rows.select("vec_id", F.transform("_x", lambda v: v / F.col("_most")).alias("_s")).select("vec_id", F.transform("_s", lambda v: v / F.sqrt(square)).alias("u"))
+    # Divisors stand beside the components: inside a lambda they would be worked out for each component anew.
+    over = lambda x, by: F.zip_with(x, F.array_repeat(by, F.size(x)), lambda v, d: v / d)
+    return rows.select("vec_id", over("_x", F.col("_most")).alias("_s")).select("vec_id", over("_s", F.sqrt(square)).alias("u"))
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -148,18 +150,18 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int =
 
     def compare(key, own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         """The best classes of a block for each query, until they hold `keep` rows."""
-        out: list = []
+        at = np.zeros(0, np.int64)
+        of, nears = at, np.zeros(0)
         if len(own) and len(met):
             code, n = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), parts), own["n"].to_numpy()
             x = np.stack(met["u"].to_numpy())
             score = np.repeat((x @ middle[int(key[0])])[:, None], len(own), axis=1)
             for part, (q, w) in enumerate(zip(np.split(x, parts, axis=1), words, strict=True)):
                 score += (q @ w.T)[:, code[:, part]]
-            for q, near in zip(met["vec_id"].to_numpy(), score, strict=True):
-                order = np.argsort(-near, kind="stable")
-                order = order[: int(np.searchsorted(np.cumsum(n[order]), keep)) + 1]
-                out.append(pd.DataFrame({"query_id": q, "cell": int(key[0]), "code": own["code"].to_numpy()[order], "n": n[order], "near": near[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "cell": [], "code": [], "n": [], "near": []})
+            orders = [best_first(near, n, keep) for near in score]
+            at, of = np.concatenate(orders), np.repeat(np.arange(len(met)), [len(order) for order in orders])
+            nears = score[of, at]
+        return pd.DataFrame({"query_id": met["vec_id"].to_numpy()[of], "cell": int(key[0]), "code": own["code"].to_numpy()[at], "n": own["n"].to_numpy()[at], "near": nears})
 
     met = in_blocks(classes, wanted, ["cell"], ["cell", "code", "n"], ["vec_id", "u"])
     found = met.applyInPandas(compare, f"query_id {kind}, cell int, code binary, n long, near double")
@@ -188,6 +190,15 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def best_first(near: np.ndarray, n: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the classes nearest first, of equal ones the first first, until those taken hold `keep` rows: only what may be among them is sorted."""
+    may = np.arange(len(near))
+    if len(near) > keep:
+        may = np.flatnonzero(near >= np.partition(near, len(near) - keep)[len(near) - keep])
+    order = may[np.argsort(-near[may], kind="stable")]
+    return order[: int(np.searchsorted(np.cumsum(n[order]), keep)) + 1]
+
+
 def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], own: list[str], other: list[str]):
     """Rows of both sides with equal keys, cogrouped in blocks of CODE_BLOCK and QUERY_BLOCK rows: each pair of blocks is one group."""
     numbers = left.groupBy(*keys).agg(F.ceil(F.count("*") / CODE_BLOCK).cast("int").alias("_cn")).join(right.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_qn")), keys)
