@@ -8,7 +8,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -58,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def rounded(column: Column | str, digits: int) -> Column:
+    """A double rounded half up as SQL does it: once times the power of ten, in binary. F.round() reads the decimal digits, so ties differ."""
+    return F.round((F.col(column) if isinstance(column, str) else column) * 10**digits) / 10**digits
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
