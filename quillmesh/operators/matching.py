@@ -20,6 +20,7 @@ from quillmesh.catalog import query
 from quillmesh.operators import views
 from quillmesh.operators.components import components
 from quillmesh.operators.joins import lengths_of, substrings
+from quillmesh.operators.sketches import class_sketch, sketched_links
 from quillmesh.operators.token_sets import _sets, hashed_words, linked_sets, only_members
 from quillmesh.operators.trees import tree_depths
 from quillmesh.runtime import stage, table
@@ -49,8 +50,8 @@ def j3(spark, d):
     return linked_sets(docs, hashed_words, 0.8, True)[1].select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4).alias("similarity"))
 
 
-#: Two vectors whose cosine is over the threshold share products of this sum among the tokens that their heads hold.
-SHARED = 0.05
+#: Tokens whose number of texts is broadcast, the most frequent first; the others come in few texts each and are looked up by a join.
+MOST_TERMS = 1 << 20
 
 
 def counted_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -66,73 +67,113 @@ def counted_words(docs: DataFrame, pattern: str) -> DataFrame:
 
     hashed = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w))
     words = docs.select(F.col("id").cast("long").alias("id"), hashed.alias("bag")).where(F.size("bag") > 0)
-    return stage(words.mapInArrow(run, "id long, digest binary, h array<long>, tf array<int>"), "bags")
+    # Tokens repeat from text to text: a dictionary of a few megabytes takes a third of the hashes themselves.
+    return stage(words.mapInArrow(run, "id long, digest binary, h array<long>, tf array<int>"), "bags", **{"parquet.dictionary.page.size": 8 << 20})
 
 
-def _vectors(column: pa.ListArray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens from the rarest on, in how many texts each is, TF-IDF weights of length one) of each row; all texts weigh alike if n is 0."""
-    ends, (h, tf, df) = column.offsets.to_numpy(), (column.values.field(k).to_numpy() for k in range(3))
-    out = []
-    for a, z in zip(ends, ends[1:], strict=False):
-        order = a + np.lexsort((h[a:z], df[a:z]))
-        x = tf[order] * (np.log((1.0 + n) / (1 + df[order])) + 1) if n else tf[order].astype(np.float64)
-        out.append((h[order], df[order], x / np.sqrt(x @ x)))
-    return out
+def common_terms(often: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, ascending, in how many texts each is, the most texts that any other token is in) of (h, df): MOST_TERMS tokens at most."""
+    counts = sorted((r.df, r["count"]) for r in often.groupBy("df").count().collect())
+    most, left = 1, sum(c for _, c in counts)
+    for df, c in counts:
+        if left <= MOST_TERMS:
+            break
+        most, left = df, left - c
+    found = often.where(F.col("df") > most).toArrow()
+    h, df = (found.column(k).to_numpy() for k in ("h", "df"))
+    order = np.argsort(h)
+    return h[order], df[order], most
+
+
+def _texts_of(h: np.ndarray, terms: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """In how many texts each token is, 0 if it is none of the terms."""
+    if not len(terms):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return np.where(terms[at] == h, df[at], 0)
 
 
 def cosine_clusters(docs: DataFrame, threshold: float, pattern: str, idf: bool) -> DataFrame:
     """(id, cluster) for every (id, text) with a token: texts that cosines over the threshold connect; cluster is the least id. Exact.
 
-    Equal bags of tokens meet as one. A head holds the tokens of a vector, from the rarest on, up to those rest that weigh (threshold - SHARED)
-    squared: what two vectors have in common behind the shorter head is at most threshold - SHARED, so their heads' products sum to more than
-    SHARED if they are linked. Pairs that do hang together in candidate clusters; only vectors in clusters are moved whole, once for
+    Equal bags of tokens meet as one. Tokens fall into classes; the product of two vectors is at most that of their norms by class. All pairs of such
+    sketches are compared as products of matrices, in pairs of blocks: this takes the square of the texts in time, but a sketch moves
+    once a block, and blocks are few. What passes hangs together in candidate clusters; only vectors in clusters are moved whole, once for
     each pair of blocks of their cluster, and compared there.
     """
     bags = counted_words(docs, pattern)
-    often = stage(bags.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df")), "bag-words")
-    n = bags.count() if idf else 0
+    spark = bags.sparkSession
+    often = stage(bags.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "bag-words")
+    n, tokens = bags.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
+    terms, texts, most = common_terms(often)
+    shared = spark.sparkContext.broadcast((terms, texts))
     heads = stage(bags.groupBy("digest").agg(F.min("id").alias("head")), "bag-heads")
-    rest = (threshold - SHARED) ** 2
 
-    def whole(rows: DataFrame, some: DataFrame) -> DataFrame:
-        """(node, v) of the rows whose id is a node of `some`."""
-        words = rows.select("id", F.explode(F.arrays_zip("h", "tf")).alias("t")).select(F.col("id").alias("node"), F.col("t.h").alias("h"), F.col("t.tf").alias("tf"))
-        grouped = words.join(often, "h").groupBy("node").agg(F.collect_list(F.struct("h", "tf", F.col("df"))).alias("v"))
-        return grouped.join(some.select("node"), "node", "left_semi")
+    def weights(tf: np.ndarray, df: np.ndarray | int) -> np.ndarray:
+        return tf * (np.log((1.0 + n) / (1 + df)) + 1) if idf else tf.astype(np.float64)
 
-    def head(batches):
+    def sketches(batches):
+        terms, texts = shared.value
         for batch in batches:
-            tokens, weights = [], []
-            for h, df, x in _vectors(batch.column(1), n):
-                behind = np.cumsum((x * x)[::-1])[::-1]
-                keep = (behind > rest - 1e-9) & (df > 1)
-                tokens.append(h[keep])
-                weights.append(x[keep])
-            ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
-            parts = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, k), *c]))) for k, c in ((np.int64, tokens), (np.float64, weights))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["node", "tokens", "weights"])
-
-    one = heads.select(F.col("head").alias("node"))
-    own = stage(whole(only_members(bags.select("id", "h", "tf"), one), one).mapInArrow(head, "node long, tokens array<long>, weights array<double>"), "vector-heads")
-    entries = own.select("node", F.explode(F.arrays_zip("tokens", "weights")).alias("t")).select("node", F.col("t.tokens").alias("token"), F.col("t.weights").alias("x"))
-    met = entries.select("token", F.col("node").alias("a"), "x").join(entries.select("token", F.col("node").alias("b"), F.col("x").alias("y")), "token").where("a < b")
-    near = met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") > SHARED - 1e-9)
-    candidates = components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    sized = candidates.join(bags.select(F.col("id").alias("node"), F.size("h").alias("n")), "node")
+            out: list[list] = [[], [], []]
+            for h, tf in zip(_sets(batch.column(1)), _sets(batch.column(2)), strict=True):
+                df = _texts_of(h, terms, texts)
+                rare = df == 0  # in one text to `most`: the weight is between two bounds
+                high, low = weights(tf, np.where(rare, 1, df)), weights(tf, np.where(rare, most, df))
+                keep = ~rare | (most > 1)
+                for o, x in zip(out, class_sketch(h[keep], high[keep] / np.sqrt(low @ low)), strict=True):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, kind) for o, kind in zip(out, (pa.binary(), pa.binary(), pa.float64()), strict=True))], names=["node", "at", "root", "scale"])
+
+    own = only_members(bags.select("id", "h", "tf"), heads.select(F.col("head").alias("node"))).mapInArrow(sketches, "node long, at binary, root binary, scale double")
+    near = components(sketched_links(own, tokens, threshold))
+    sized = near.join(bags.select(F.col("id").alias("node"), F.size("h").alias("n")), "node")
     members = stage(with_blocks(sized, "component", "node", "n"), "vector-clusters")
-    with_vectors = members.join(whole(only_members(bags.select("id", "h", "tf"), members), members), "node")
+    rows = only_members(bags.select("id", "h", "tf"), members)
+    whole = members.join(rows.withColumnRenamed("id", "node"), "node")
+    if most > 1:
+
+        def others(batches):
+            for batch in batches:
+                ids, h = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy())), batch.column(1).flatten().to_numpy()
+                rare = _texts_of(h, *shared.value) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rare]), pa.array(h[rare])], names=["node", "h"])
+
+        rare = rows.select("id", "h").mapInArrow(others, "node long, h long").join(often.where(F.col("df") <= most), "h")
+        whole = whole.join(rare.groupBy("node").agg(F.collect_list(F.struct("h", "df")).alias("rare")), "node", "left")
+    else:
+        whole = whole.withColumn("rare", F.lit(None).cast("array<struct<h:bigint,df:bigint>>"))
+
+    def vectors(batches):
+        """Weights of length one of each text's tokens that another has."""
+        for batch in batches:
+            out: list[list] = [[], []]
+            for h, tf, rare in zip(_sets(batch.column("h")), _sets(batch.column("tf")), batch.column("rare").to_pylist(), strict=True):
+                df = _texts_of(h, *shared.value)
+                if rare:  # h ascends
+                    df[np.searchsorted(h, [r["h"] for r in rare])] = [r["df"] for r in rare]
+                df = np.maximum(df, 1)
+                x = weights(tf, df)
+                out[0].append(h[df > 1])
+                out[1].append((x / np.sqrt(x @ x))[df > 1])
+            ends = pa.array(np.cumsum([0, *map(len, out[0])]).astype(np.int32))
+            parts = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, k), *c]))) for k, c in zip((np.int64, np.float64), out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("component", "node", "_block", "_blocks")), *parts], names=["component", "node", "_block", "_blocks", "h", "x"])
+
+    with_vectors = whole.select("component", "node", "_block", "_blocks", "h", "tf", "rare").mapInArrow(vectors, "component long, node long, _block int, _blocks int, h array<long>, x array<double>")
 
     def read(batch):
-        vectors = np.empty(batch.num_rows, object)
-        vectors[:] = _vectors(batch.column("v"), n)
-        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "node", "_block")), vectors]
+        both = [np.empty(batch.num_rows, object) for _ in range(2)]
+        for o, k in zip(both, ("h", "x"), strict=True):
+            o[:] = [v.copy() for v in _sets(batch.column(k))]
+        return [*(batch.column(k).to_numpy() for k in ("_group", "_i", "_j", "node", "_block")), *both]
 
     def verify(batches):
-        for _, i, j, node, block, vectors in runs(batches, 3, read):
+        for _, i, j, node, block, h, x in runs(batches, 3, read):
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             if len(node) < 2 or not len(left) or not len(right):
                 continue
-            linked = products([v[0] for v in vectors], [v[2] for v in vectors], left, right) > threshold
+            linked = products(list(h), list(x), left, right) > threshold
             both = np.zeros((len(node), len(node)), bool)
             both[np.ix_(left, right)] = linked
             both[np.ix_(right, left)] |= linked.T

@@ -80,14 +80,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+def stage(frame: DataFrame, label: str, **options) -> DataFrame:
+    """Write a frame as Parquet to the shared folder, with the writer's options, and read it back: cuts lineage, survives lost executors.
 
     The files are removed when the driver's JVM ends.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(frame.schema).parquet(path)
